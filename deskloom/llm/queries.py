@@ -2,16 +2,50 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from deskloom.llm import chat, quality, url_filter
+from deskloom.llm.bpe import bpe_digests
+from deskloom.llm.mixing import mix_sources
 from deskloom.llm.ngram_join import ngram_components
 from deskloom.llm.shared import documents
 
+#: The vocabulary of op3 and the pipeline.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of all conversations as linked, ordered and validated calls of a tool."""
+    calls, results = chat.conversation_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.link_tool_calls(calls, results, chat.REPLY)
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, mixed by source to weights of 5, 2 and 1 in turn."""
+    return mix_sources(documents(spark, sf_dir))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents' token ids and of the texts decoded from them."""
+    return bpe_digests(documents(spark, sf_dir), VOCABULARY)
+
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share 90 % of their 3-word shingles, directly or over others."""
     return ngram_components(documents(spark, sf_dir), n=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_join,)}
-ORACLE: dict[str, str] = {}
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url, by four rules and a list of spam URLs."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.filter_urls(pages, url_filter.spam_list(pages))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of the quality rules on all documents."""
+    return quality.quality_rules(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mix_sources, op3_bpe, op4_ngram_join, op8_url_filter, op10_quality_rules)}
+ORACLE: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op8_url_filter": url_filter.ORACLE, "op10_quality_rules": quality.quality_sql()}
