@@ -119,3 +119,20 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: i
     rows = _same(rows, plan.select("source", "source_size", "target", "whole"))
     copies = (F.col("whole") + (F.col("i") <= F.col("extra")).cast("int")).cast("long")
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
+    """docs with each row as often as the mix takes it.
+
+    Copies are told per doc_id and source, so the rows that repeat one share its
+    copies in the order of their texts.
+    """
+    plan = stored(mix_sources(docs, weights, most, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "plan")
+    key = [F.col("doc_id").eqNullSafe(F.col("__d")), F.col("source").eqNullSafe(F.col("__s")), word_count(F.col("text")) == F.col("__n")]
+    plan = plan.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), "copies", "rows")
+    rows = docs.join(plan, key)
+    turn = F.row_number().over(W.partitionBy("__d", "__s", "__n").orderBy(F.xxhash64("text"))) - 1
+    once = rows.where("rows = 1").withColumn("__take", F.col("copies").cast("int"))
+    more = rows.where("rows > 1").withColumn("__take", (F.floor(F.col("copies") / F.col("rows")) + (turn < F.col("copies") % F.col("rows")).cast("int")).cast("int"))
+    taken = once.unionByName(more).where("__take > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__take"))))
+    return taken.select(*docs.columns)

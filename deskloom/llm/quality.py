@@ -117,6 +117,11 @@ def passes(rules: tuple[Rule, ...] = RULES) -> Column:
     return out
 
 
+def quality_verdict(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & passes(rules))
+
+
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, the measures, base_failed and kept for every row of docs (doc_id, text).
 
@@ -124,9 +129,13 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     windows. kept: not base_failed, and within every threshold. A null text counts
     as empty and fails; repeated rows are judged each; other columns are left out.
     """
-    out = quality_measures(docs.select("doc_id", "text"))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & passes(rules)).drop("text")
+    return quality_verdict(quality_measures(docs.select("doc_id", "text")), rules).drop("text")
+
+
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    row = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__text"))
+    return quality_verdict(quality_measures(row, "__text"), rules).where("kept").select("__row.*")
 
 
 def rules_sql(rules: tuple[Rule, ...] = RULES) -> str:
