@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words whose encodings a worker keeps at least, and at most half of those it holds.
 KEPT = 350_000
-#: Bytes of text after which pending words are encoded.
-CHUNK = 8 << 20
+#: Rows that are turned into Python objects at once, and characters of text after which their words are encoded.
+ROWS, CHUNK = 500, 2 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -186,8 +186,10 @@ def _arrow(df: DataFrame, column: str, made: T.DataType, run) -> DataFrame:
     kept = [f for f in df.schema.fields if f.name != column]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), run(batch)], [*(f.name for f in kept), column])
+        for whole in it:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), run(batch)], [*(f.name for f in kept), column])
 
     return df.mapInArrow(batches, T.StructType([*kept, T.StructField(column, made)]))
 
@@ -214,10 +216,8 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
 
     def run(batch: pa.RecordBatch) -> pa.Array:
         table = merges(path)[0].bytes_of
-        column = batch.column(ids)
-        flat, at = column.values.to_pylist(), column.offsets.to_pylist()
-        out = [b"".join(map(table.__getitem__, flat[a:b])).decode("utf-8", "replace") for a, b in zip(at, at[1:])]
-        return pa.array(out, pa.string())
+        rows = (x.values.to_numpy().tolist() if x.is_valid else [] for x in batch.column(ids))
+        return pa.array([b"".join(map(table.__getitem__, x)).decode("utf-8", "replace") for x in rows], pa.string())
 
     return _arrow(df, text, T.StringType(), run)
 
