@@ -30,7 +30,8 @@ def classified(rows: DataFrame, subject: str = "subject", body: str = "body") ->
     """
     hits = F.array_sort(F.filter(keyword_scores(F.col(subject), F.col(body)), lambda x: x["minus"] < 0))
     rows = rows.withColumn("__hits", hits)
-    conf = lambda i: F.least(-F.get("__hits", F.lit(i))["minus"] / 5, F.lit(0.95))
+    score = lambda i: -F.get("__hits", F.lit(i))["minus"] / 5
+    conf = lambda i: F.when(score(i).isNotNull(), F.least(score(i), F.lit(0.95)))
     tied = F.coalesce(conf(0) - conf(1) <= 0.1, F.lit(False))
     some = F.size("__hits") > 0
     return rows.withColumns(
