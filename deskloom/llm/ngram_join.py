@@ -9,7 +9,8 @@ for each fragment. Two steps work on those fragments:
    two documents agree on a whole segment. Documents that share a segment are
    candidates; all others are out without being compared.
 2. The candidates' overlaps are counted fragment by fragment, each fragment for
-   itself, and the partial counts are summed per pair. The sum is exact.
+   itself, and the partial counts are summed per pair. The sum is exact. Pairs
+   whose parity bits already differ in too many places aren't fetched for that.
 
 Documents with equal sets are one class from the start, and only classes are
 compared. A segment that few classes share gives pairs. One that many share is
@@ -27,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deskloom.llm.bloom import marked
 from deskloom.llm.components import connected_components
 from deskloom.llm.shared import stored
 
@@ -34,6 +36,8 @@ from deskloom.llm.shared import stored
 BAND = 1.4
 #: Fragments in which overlaps are counted.
 PARTS = 8
+#: Bits by which a pair's difference is bounded from below before its sets are fetched.
+ODD = 2048
 #: A segment that more classes share is dealt out in blocks.
 PAIRED = 32
 #: N-grams that one side of a block pair holds at most, or one set if that is larger.
@@ -79,6 +83,12 @@ def ngram_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(out)
 
 
+def odd_bits(s: np.ndarray) -> np.ndarray:
+    """ODD bits in longs: whether an odd number of the set's hashes falls on each. Two sets differ in as many elements as bits at least."""
+    odd = np.bincount((_mixed(s) % np.uint64(ODD)).astype(np.int64), minlength=ODD) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _class(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
@@ -149,8 +159,8 @@ def _segments(n: int):
                 if _class(s) != cls:
                     continue  # another row of the same doc_id
                 for part, x in enumerate(np.split(s, np.searchsorted(s, edges))):
-                    rows.append((cls, len(s), part, x.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["cls", "n", "part", "grams"])
+                    rows.append((cls, len(s), part, x.view(np.int64), None if part else odd_bits(s)))
+            yield pd.DataFrame(rows, columns=["cls", "n", "part", "grams", "odd"])
 
     return run
 
@@ -202,19 +212,26 @@ def class_links(docs: DataFrame, profiles: DataFrame, n: int, num: int, den: int
     """(a, b): links between classes, of which at least a forest for each component."""
     keyed = profiles.select("cls", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key")
-    members = stored(keyed.join(shared, "key", "left_semi").distinct(), "segments")
+    shared = stored(shared, "shared")
+    # the keys that nobody shares, nearly all, don't get past the filter to the second shuffle
+    members = marked(keyed, "key", shared).where("__hit").drop("__hit").join(shared, "key", "left_semi")
+    members = stored(members.distinct(), "segments")
     first = profiles.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(members.select("cls").distinct(), "cls", "left_semi")
     first = stored(first, "candidates")
     few = first.count() <= LISTED
     sets = docs.select("doc_id", "text").join(F.broadcast(first) if few else first, "doc_id")
-    sets = sets.select("cls", "text").mapInPandas(_segments(n), "cls long, n long, part int, grams array<long>")
+    sets = sets.select("cls", "text").mapInPandas(_segments(n), "cls long, n long, part int, grams array<long>, odd array<long>")
     sets = stored(sets.dropDuplicates(["cls", "part"]), "sets")
-    sizes = sets.where("part = 0").select("cls", "n")
+    sizes = sets.where("part = 0").select("cls", "n", "odd")
     often = members.join(sizes, "cls").groupBy("key").agg(F.count("*").alias("k"), F.max("n").alias("largest"))
     members = stored(members.join(often, "key"), "segments")
 
     small = members.where(F.col("k") <= PAIRED)
     pairs = small.select("key", F.col("cls").alias("a")).join(small.select("key", F.col("cls").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    whole = lambda x: sizes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
+    bits = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    near = ((num + den) * bits <= (den - num) * (F.col("n_a") + F.col("n_b"))) & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+    pairs = pairs.join(whole("a"), "a").join(whole("b"), "b").where(near).select("a", "b")
     side = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), "part", F.col("grams").alias(f"grams_{x}"))
     counted = pairs.join(side("a"), "a").join(side("b"), ["b", "part"])
     counted = counted.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("grams_a", "grams_b"))).alias("both"), F.max(F.col("n_a") + F.col("n_b")).alias("total"))
@@ -247,3 +264,16 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     first = first.join(named, "component").select("cls", "component_id")
     kept = filled.select("doc_id", "n_shingles", "cls").join(first, "cls").select("doc_id", "n_shingles", "component_id")
     return kept.unionByName(profiles.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def without_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs (doc_id, text, ...) with one document of each component: that with the smallest doc_id.
+
+    Documents with an empty set or a null doc_id stay. Of rows that repeat a doc_id
+    and text, one stays. The list of those that go is broadcast if it is short.
+    """
+    comps = stored(ngram_components(docs, n, num, den), "components")
+    gone = stored(comps.where("component_id < doc_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= LISTED else gone, "doc_id", "left_anti")
+    repeated = comps.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deskloom.llm.bloom import marked
+
 #: The rules of the query, as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bits of a block, held as four longs, and how many of them a URL sets.
-BITS, SET = 256, 8
-#: Bits for each listed URL, and the most blocks: the filter that is broadcast has 40 bytes a block, 5 MB at most.
-PER_URL, MOST_BLOCKS = 12, 1 << 17
 #: Rules that one projection holds; longer lists belong in the list of URLs.
 MOST_RULES = 1000
 
@@ -35,48 +33,16 @@ def canonical_url(url: Column) -> Column:
     return F.when(url_host(url) != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
 
 
-def _masks(url: Column) -> list[Column]:
-    """The bits that a URL sets in each of the four longs of its block."""
-    h = F.xxhash64(url, F.lit(1))
-    places = [F.shiftrightunsigned(h, 8 * i).bitwiseAND(F.lit(BITS - 1)).cast("int") for i in range(SET)]
-    out = []
-    for word in range(BITS // 64):
-        mask = F.lit(0).cast("long")
-        for p in places:
-            # 1L << (p % 64), where p is in this word
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63)))
-            mask = mask.bitwiseOR(F.when(F.shiftright(p, 6) == word, bit).otherwise(F.lit(0).cast("long")))
-        out.append(mask)
-    return out
-
-
-def _block(url: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(url), F.lit(blocks)).cast("int")
-
-
-def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
-    """(block, w0..w3): the blocks that have bits, at most as many rows as blocks."""
-    rows = listed.select(_block(F.col("canonical"), blocks).alias("block"), *(m.alias(f"w{i}") for i, m in enumerate(_masks(F.col("canonical")))))
-    return rows.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4)))
-
-
 def listed_urls(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """pages (with canonical) and a flag listed: whether canonical is in listed (canonical), nulls never.
 
-    The filter's size follows the list up to a bound, so it can always be
-    broadcast; beyond the bound it only lets more through. URLs that it passes are
-    looked up in the list by a join, whose skew Spark can split; all others are done.
+    URLs that the Bloom filter of the list passes are looked up in the list by a
+    join, whose skew Spark can split; all others are done.
     """
     listed = listed.select("canonical").where("canonical IS NOT NULL").distinct()
-    blocks = max(1, min(MOST_BLOCKS, -(-listed.count() * PER_URL // BITS)))
-    bloom = F.broadcast(bloom_blocks(listed, blocks)).withColumnRenamed("block", "__block")
-    marked = pages.join(bloom, _block(F.col("canonical"), blocks) == F.col("__block"), "left")
-    hit = F.lit(True)
-    for i, m in enumerate(_masks(F.col("canonical"))):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(m) == m)
-    marked = marked.withColumn("__hit", F.coalesce(hit & F.col("canonical").isNotNull(), F.lit(False))).drop("__block", "w0", "w1", "w2", "w3")
-    exact = marked.where("__hit").join(listed.withColumn("listed", F.lit(True)), "canonical", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    return exact.drop("__hit").unionByName(marked.where("NOT __hit").drop("__hit").withColumn("listed", F.lit(False)))
+    found = marked(pages, "canonical", listed)
+    exact = found.where("__hit").join(listed.withColumn("listed", F.lit(True)), "canonical", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    return exact.drop("__hit").unionByName(found.where("NOT __hit").drop("__hit").withColumn("listed", F.lit(False)))
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
