@@ -31,7 +31,7 @@ def rotated_log(spark: SparkSession, folder: str, name: str, email_id: int | Non
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, title, tags, body) of markdown files with a front matter between lines of dashes; without one the whole file is body."""
     head = r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?(.*)$"
-    rows = spark.read.option("wholetext", True).text(path).withColumn("path", F.col("_metadata.file_path"))
+    rows = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     meta = F.regexp_extract("value", head, 1)
     tags = F.transform(F.split(F.regexp_extract(meta, r"(?m)^tags:\s*\[?([^\]\n]*)\]?\s*$", 1), ","), lambda t: F.trim(F.regexp_replace(t, r"[\"']", "")))
     return rows.select(

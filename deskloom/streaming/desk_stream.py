@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def audit_stream(spark: SparkSession, folder: str, schema, files: int = 1000) -> DataFrame:
@@ -27,44 +27,44 @@ def once(events: DataFrame, key: str, at: str = "ts", late: str = "1 day") -> Da
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-class TicketState(StatefulProcessor):
-    """One row of state a ticket: comments seen, and whether it was classified. State that nothing touches for the time to live goes."""
-
-    ttl_ms = 90 * 24 * 3600 * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "comment long", "public boolean", self.ttl_ms)
-        self.known = handle.getValueState("known", "classified boolean", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        fresh = []
-        for batch in rows:
-            for r in batch.sort_values("comment_id").itertuples():
-                if not self.seen.containsKey((r.comment_id,)):
-                    self.seen.updateValue((r.comment_id,), (bool(r.public),))
-                    fresh.append(r)
-        if not fresh:
-            return
-        first = not self.known.exists()
-        self.known.update((True,))
+#: A ticket's state goes when the watermark is so far past its last comment.
+FORGET_MS = 90 * 24 * 3600 * 1000
+
+
+def _ticket(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State: the comments seen; a ticket with a state has been classified."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    known = state.exists
+    seen, last = (set(state.get[0]), state.get[1]) if known else (set(), 0)
+    fresh = []
+    for batch in batches:
+        for row in batch.sort_values("comment_id").itertuples():
+            last = max(last, int(row.created_at.timestamp() * 1000))
+            if row.comment_id not in seen:
+                seen.add(row.comment_id)
+                fresh.append(row)
+    state.update((sorted(seen), last))
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + FORGET_MS)
+    if fresh:
         asked = any(r.public and r.author_id == r.requester_id for r in fresh)
         closed = fresh[-1].status in ("solved", "closed")
-        action = "classify" if first else "surface" if asked and closed else "reprocess" if asked else "append"
+        action = "classify" if not known else "surface" if asked and closed else "reprocess" if asked else "append"
         yield pd.DataFrame({"ticket_id": [int(key[0])], "new_comments": [len(fresh)], "action": [action]})
 
-    def close(self) -> None:
-        pass
-
 
-def ticket_actions(comments: DataFrame) -> DataFrame:
+def ticket_actions(comments: DataFrame, late: str = "1 day") -> DataFrame:
     """(ticket_id, new_comments, action) for each ticket that a micro-batch brings something new for.
 
-    comments: ticket_id, comment_id, author_id, requester_id, public, status. A new
+    comments: ticket_id, comment_id, author_id, requester_id, public, status, created_at. A new
     ticket is classified once; a requester's new public comment has it processed
-    again, or only shown if it is closed.
+    again, or only shown if it is closed. State is kept until the watermark passes
+    the last comment by FORGET_MS; without that it would grow without end.
     """
-    return comments.groupBy("ticket_id").transformWithStateInPandas(
-        TicketState(), outputStructType="ticket_id long, new_comments long, action string", outputMode="Append", timeMode="ProcessingTime"
+    rows = comments.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
+    return rows.groupBy("ticket_id").applyInPandasWithState(
+        _ticket, "ticket_id long, new_comments long, action string", "seen array<long>, last long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
