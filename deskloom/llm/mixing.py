@@ -45,12 +45,12 @@ def _same(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     return a.join(b, F.col("source").eqNullSafe(F.col("__source")), how).drop("__source")
 
 
-def _first(items: DataFrame, goals: DataFrame, nearest: bool) -> DataFrame:
+def _first(items: DataFrame, goals: DataFrame) -> DataFrame:
     """Those items (source, rank, size, ...) that come first in their source's order, up to its goal of words.
 
     The order is cut into BINS intervals, whose words are summed; only the interval
-    in which the goal lies is gone through row by row. nearest: the last item is
-    taken if that comes closer to the goal; else the goal isn't passed.
+    in which the goal lies is gone through row by row. The last item is taken if that
+    comes closer to the goal.
     """
     items = items.withColumn("bin", F.floor(F.col("rank") * BINS).cast("int"))
     bins = items.groupBy("source", "bin").agg(F.sum("size").alias("words"))
@@ -61,7 +61,7 @@ def _first(items: DataFrame, goals: DataFrame, nearest: bool) -> DataFrame:
     whole = items.where("edge IS NULL OR bin < edge")
     within = W.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    fits = before + F.col("size") * F.lit(0.5 if nearest else 1.0) <= F.col("goal")
+    fits = before + F.col("size") * F.lit(0.5) <= F.col("goal")
     part = items.where("bin = edge").withColumn("fits", fits)
     # after the first that doesn't fit, none is taken
     part = part.withColumn("fits", F.min("fits").over(within.rowsBetween(W.unboundedPreceding, 0))).where("fits").drop("fits")
@@ -105,10 +105,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: i
     )
     goals = sums.withColumn("goal", F.least(F.col("large").cast("double"), F.greatest(F.col("inclusion") * F.col("large"), F.col("lack") - F.col("small"))))
     key = ["doc_id", "source", "size", "rank"]
-    large = stored(_first(rest.where("big").select(*key), goals.select("source", "goal"), False), "large")
+    large = stored(_first(rest.where("big").select(*key), goals.select("source", "goal")), "large")
     got = large.groupBy("source").agg(F.sum("size").alias("got"))
     goals = _same(goals.select("source", "lack"), got, "left").select("source", (F.col("lack") - F.coalesce("got", F.lit(0))).alias("goal"))
-    small = _first(rest.where("NOT big").select(*key), goals, True)
+    small = _first(rest.where("NOT big").select(*key), goals)
     chosen = large.unionByName(small).groupBy("doc_id", "source", "size").agg(F.count("*").alias("extra"))
 
     rows = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
