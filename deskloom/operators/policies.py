@@ -130,3 +130,43 @@ def review_state(log: DataFrame, key: str) -> DataFrame:
 def backfilled(rows: DataFrame, target: str, source: str) -> DataFrame:
     """rows where source would change target, with the new value: source is there and differs, null counting as a value."""
     return rows.where(F.col(source).isNotNull() & ~F.col(target).eqNullSafe(F.col(source))).withColumn(target, F.col(source))
+
+
+#: Open suggestions that candidates are compared with at most; the queue of reviewers is short.
+MOST_SUGGESTIONS = 1000
+
+
+def learned(suggestions: DataFrame, candidates: DataFrame, least: float = 0.82) -> DataFrame:
+    """suggestions (id, title, content, seen_count) after candidates (id, title, content, edited, had_placeholder).
+
+    Only candidates from edited drafts with a placeholder count. One whose title and
+    content are similar enough, by characters, to a suggestion raises the count of the
+    first such; any other comes in, seen once, under its own id.
+    """
+    import difflib
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    known = suggestions.select("id", "title", "content").orderBy("id").limit(MOST_SUGGESTIONS + 1).collect()
+    if len(known) > MOST_SUGGESTIONS:
+        raise ValueError(f"more than {MOST_SUGGESTIONS} open suggestions")
+    texts = [(r["id"], f"{r['title']}\n{r['content']}".lower()) for r in known]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for title, content in zip(batch["title"], batch["content"]):
+                text, hit = f"{title}\n{content}".lower(), None
+                for i, other in texts:
+                    match = difflib.SequenceMatcher(None, text, other)
+                    if match.real_quick_ratio() >= least and match.quick_ratio() >= least and match.ratio() >= least:
+                        hit = i
+                        break
+                found.append(hit)
+            yield batch.assign(hit=pd.array(found, "Int64"))
+
+    rows = candidates.where("edited AND had_placeholder").select("id", "title", "content").mapInPandas(run, "id long, title string, content string, hit long")
+    more = rows.where("hit IS NOT NULL").groupBy(F.col("hit").alias("id")).agg(F.count("*").alias("more"))
+    raised = suggestions.join(more, "id", "left").select("id", "title", "content", (F.col("seen_count") + F.coalesce("more", F.lit(0))).cast("long").alias("seen_count"))
+    return raised.unionByName(rows.where("hit IS NULL").select("id", "title", "content", F.lit(1).cast("long").alias("seen_count")))

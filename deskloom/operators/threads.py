@@ -108,3 +108,14 @@ def with_results(emails: DataFrame, messages: DataFrame) -> DataFrame:
     """emails with their messages as an array in order; none where there is none."""
     nested = messages.groupBy("email_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "body"))).alias("thread"))
     return emails.join(nested, "email_id", "left").withColumn("thread", F.coalesce("thread", F.array().cast(nested.schema["thread"].dataType)))
+
+
+def people_once(people: Column) -> Column:
+    """People (name, email, ...), each once by name and email whatever their case, as they come."""
+    key = lambda p: F.lower(F.concat_ws("\x00", F.coalesce(p["name"], F.lit("")), F.coalesce(p["email"], F.lit(""))))
+    return F.filter(people, lambda p, i: F.array_position(F.transform(people, key), key(p)) == i + 1)
+
+
+def notes_of(messages: DataFrame, authors: list[int], after, before) -> DataFrame:
+    """Messages that are surely internal, by the authors and within the turns: a message whose flag is missing isn't."""
+    return messages.where((F.col("public") == F.lit(False)) & F.col("author_id").isin(*authors) & F.col("turn").between(after, before))

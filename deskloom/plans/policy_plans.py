@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from deskloom.operators import mining as mi
 from deskloom.operators import policies as po
+from deskloom.operators import threads as th
 from deskloom.plans.registry import Registry
 from deskloom.sources.tables import table, views_sql
 
@@ -211,3 +212,35 @@ def new_ids(spark, d):
 def users(spark, d):
     known = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"), "c_name")
     return table(spark, d, "events").join(known, "user_id", "left").select("event_id", F.coalesce("c_name", F.lit("unknown")).alias("name"))
+
+
+@R.add("f13_internal_notes", f"{M} SELECT email_id, turn FROM messages WHERE NOT public AND author_id = -1 AND turn BETWEEN 0 AND 2")
+def internal_notes(spark, d):
+    return th.notes_of(table(spark, d, "messages"), [-1], 0, 2).select("email_id", "turn")
+
+
+@R.add("j9_source_ticket", f"{views_sql('audit_log', 'tickets')} SELECT a.id, t.ticket_id FROM audit_log a LEFT JOIN tickets t ON t.id = a.email_id WHERE a.kind = 'edited'")
+def source_ticket(spark, d):
+    log = table(spark, d, "audit_log").where("kind = 'edited'").select("id", "email_id")
+    return log.join(table(spark, d, "tickets").select(F.col("id").alias("email_id"), "ticket_id"), "email_id", "left").select("id", "ticket_id")
+
+
+@R.add("t5_t6_governance_page", f"{A} SELECT id, action, ts FROM audit_log WHERE actor <> 'system' ORDER BY id DESC LIMIT 25 OFFSET 50")
+def governance_page(spark, d):
+    return table(spark, d, "audit_log").where("actor <> 'system'").orderBy(F.desc("id")).offset(50).limit(25).select("id", "action", "ts")
+
+
+@R.add("n12_people_once", "SELECT c_custkey, [{'name': c_name, 'email': 'a@b.c'}, {'name': c_mktsegment, 'email': NULL}] AS people FROM customer")
+def people_once(spark, d):
+    person = lambda n, e: F.struct(n.alias("name"), e.alias("email"))
+    name, none = F.col("c_name"), F.lit(None).cast("string")
+    people = F.array(person(name, F.lit("a@b.c")), person(F.upper(name), F.lit("A@b.C")), person(F.col("c_mktsegment"), none), person(F.lower("c_mktsegment"), none))
+    return table(spark, d, "customer").select("c_custkey", th.people_once(people).alias("people"))
+
+
+@R.add("w13_learned")
+def learned(spark, d):
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 20).alias("title"), F.col("text").alias("content"))
+    old = b.where("id % 2 = 0").withColumn("seen_count", F.lit(1).cast("long"))
+    new = b.select((F.col("id") + 1000).alias("id"), "title", F.concat("content", F.lit(" please")).alias("content"), (F.col("id") % 3 > 0).alias("edited"), F.lit(True).alias("had_placeholder"))
+    return po.learned(old, new)

@@ -135,3 +135,15 @@ def dead_letters(spark, d):
     rows = table(spark, d, "events").select(F.when(F.col("event_id") % 4 != 0, F.to_json(F.struct("event_id", "event_type"))).otherwise(F.lit("{oops")).alias("value"))
     good, bad = st.well_formed(rows, "event_id long, event_type string")
     return good.agg(F.lit("good").alias("kind"), F.count("*").alias("n")).unionByName(bad.agg(F.lit("bad").alias("kind"), F.count("*").alias("n")))
+
+
+@R.add("s7_markdown", "SELECT item_id, 'Item ' || item_id AS title, ['a', 'b'] AS tags, md5(text) AS body FROM benchmark")
+def markdown(spark, d):
+    path = scratch(spark, "markdown")
+    text = F.concat(F.lit("---\ntitle: Item "), F.col("item_id").cast("string"), F.lit("\ntags: [a, \"b\"]\n---\n"), F.col("text"))
+    rows = table(spark, d, "benchmark").select(text.alias("value"), F.col("item_id").alias("part"))
+    # one file for each item, without a line end of its own
+    rows.write.partitionBy("part").option("lineSep", "\x00").text(path)
+    found = files.markdown(spark, f"{path}/*")
+    item = F.regexp_extract("path", r"part=(\d+)", 1).cast("long")
+    return found.select(item.alias("item_id"), "title", "tags", F.md5(F.regexp_replace("body", "\x00$", "")).alias("body"))

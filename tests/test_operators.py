@@ -280,3 +280,10 @@ def test_ticket_actions(spark, tmp_path):
         desk_stream.run_once(desk_stream.ticket_actions(stream), str(tmp_path / "check"), sink=sink)
     seen = [x for x in got if x]
     assert seen == [[(1, 1, "classify"), (2, 1, "classify")], [(1, 1, "reprocess"), (2, 1, "surface")], [(1, 1, "append")]]
+
+
+def test_learned_suggestions(spark):
+    old = spark.createDataFrame([(1, "Late work", "Hand in by Friday noon", 1), (2, "Fees", "Fees are due in May", 4)], "id long, title string, content string, seen_count long")
+    new = [(11, "Late work", "Hand in by Friday noon!", True, True), (12, "late WORK", "hand in by friday noon", True, True), (13, "Visa", "Letters take a week", True, True), (14, "Fees", "Fees are due in May", False, True), (15, "Fees", "Fees are due in May", True, False)]
+    df = spark.createDataFrame(new, "id long, title string, content string, edited boolean, had_placeholder boolean")
+    assert {r.id: r.seen_count for r in policies.learned(old, df).collect()} == {1: 3, 2: 4, 13: 1}
