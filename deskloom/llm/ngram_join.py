@@ -6,8 +6,10 @@ for each fragment. Two steps work on those fragments:
 
 1. A pair that reaches the threshold differs in at most d n-grams, a bound that
    follows from the sizes. The order is cut into more than d fragments, so the
-   two documents agree on a whole segment. Documents that share a segment are
-   candidates; all others are out without being compared.
+   two documents agree on whole segments. As there are some fragments to spare,
+   each document can leave out as many of its segments, those that the most
+   documents share. Documents that still share a segment are candidates; all
+   others are out without being compared.
 2. The candidates' overlaps are counted fragment by fragment, each fragment for
    itself, and the partial counts are summed per pair. The sum is exact. Pairs
    whose parity bits already differ in too many places aren't fetched for that.
@@ -26,6 +28,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deskloom.llm.bloom import marked
@@ -34,6 +37,8 @@ from deskloom.llm.shared import stored
 
 #: Sizes within a band differ by at most this factor; one cut serves a band.
 BAND = 1.4
+#: Fragments beyond the needed ones, as a share of the differences that a pair may have.
+SPARE = 0.2
 #: Fragments in which overlaps are counted.
 PARTS = 8
 #: Bits by which a pair's difference is bounded from below before its sets are fetched.
@@ -45,7 +50,9 @@ BLOCK = 300_000
 #: Candidate classes up to which their list is broadcast; it has 8 bytes a class.
 LISTED = 2_000_000
 #: Hashes of words that a Python worker keeps.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
+#: Rows that a worker turns into sets at once.
+ROWS = 400
 
 _SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -103,22 +110,24 @@ def _top(band: int) -> int:
 
 
 def _cut(band: int, num: int, den: int) -> tuple[int, int]:
-    """Fragments for pairs of at most this band's sizes, and how many empty segments are spared.
+    """Fragments for pairs of at most this band's sizes, and how many of those that must agree are to spare.
 
     At a similarity of num/den, sets of sizes a and b differ in at most
-    (a + b)(den - num)/(den + num) elements.
+    (a + b)(den - num)/(den + num) elements, each of which spoils one fragment.
     """
     most = 2 * _top(band) * (den - num) // (den + num)
-    spare = 2 + most // 400
+    spare = 2 + int(SPARE * most)
     return most + 1 + spare, spare
 
 
-def segment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of a set's segments: of its own band's cut, and the next one's where a partner may be in that.
+def segment_keys(s: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray]]:
+    """The keys of a set's segments by its own band's cut, and by the next one's where a partner may be in that; each with how many keys can be left out.
 
-    Two sets that reach num/den share a key at least. With e fragments empty, and
-    more than e + d fragments, they agree on one that isn't empty; only a set with
-    more empty segments than were spared needs keys for those.
+    Two sets that reach num/den agree on spare + 1 fragments at least, of which no
+    more are empty than either has. So they share more keys than spare less its
+    empty segments, and still share one if each leaves out as many of those keys
+    that come last in an order which is the same for all. A set with more empty
+    segments than are to spare has keys for those too, and leaves out none.
     """
     out = []
     own = _band(len(s))
@@ -131,20 +140,31 @@ def segment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         sums = np.concatenate(([np.uint64(0)], np.cumsum(_mixed(s), dtype=np.uint64)))
         keys = sums[at[1:]] - sums[at[:-1]]
         full = at[1:] > at[:-1]
-        which = np.arange(parts) if (~full).sum() > spare else np.flatnonzero(full)
+        empty = int(parts - full.sum())
+        which = np.arange(parts) if empty > spare else np.flatnonzero(full)
         place = _mixed(which.astype(np.uint64) * _SPREAD[0] + np.uint64((band + 1) * int(_SPREAD[1]) % (1 << 64)))
-        out.append(_mixed(keys[which] ^ place))
-    return np.concatenate(out)
+        out.append((max(0, spare - empty), _mixed(keys[which] ^ place)))
+    return out
+
+
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.iloc[at : at + ROWS]
 
 
 def _profiles(n: int, num: int, den: int):
+    none = (0, np.empty(0, np.int64))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for i, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = ngram_set(text, n)
-                rows.append((i, len(s), _class(s), segment_keys(s, num, den).view(np.int64) if len(s) else np.empty(0, np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "cls", "keys"])
+                cuts = [(drop, k.view(np.int64)) for drop, k in segment_keys(s, num, den)] if len(s) else []
+                own, after = (cuts + [none, none])[:2]
+                rows.append((i, len(s), _class(s), *own, *after))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "cls", "drop_0", "keys_0", "drop_1", "keys_1"])
 
     return run
 
@@ -152,7 +172,7 @@ def _profiles(n: int, num: int, den: int):
 def _segments(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edges = np.array([(i << 64) // PARTS for i in range(1, PARTS)], np.uint64)
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for cls, text in zip(batch["cls"], batch["text"], strict=True):
                 s = ngram_set(text, n)
@@ -204,18 +224,25 @@ def _block_links(num: int, den: int):
 
 
 def ngram_profiles(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, cls, keys): each document's set size, the hash of its set, and its segments' keys."""
-    return docs.select("doc_id", "text").mapInPandas(_profiles(n, num, den), "doc_id long, n_shingles long, cls long, keys array<long>")
+    """Each document's doc_id, n_shingles (set size), cls (the hash of its set), and by two cuts its segments' keys and how many can be left out."""
+    return docs.select("doc_id", "text").mapInPandas(
+        _profiles(n, num, den), "doc_id long, n_shingles long, cls long, drop_0 int, keys_0 array<long>, drop_1 int, keys_1 array<long>"
+    )
 
 
 def class_links(docs: DataFrame, profiles: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(a, b): links between classes, of which at least a forest for each component."""
-    keyed = profiles.select("cls", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key")
-    shared = stored(shared, "shared")
+    cuts = F.array(*(F.struct(F.lit(i).alias("cut"), F.col(f"drop_{i}").alias("drop"), F.col(f"keys_{i}").alias("keys")) for i in (0, 1)))
+    keyed = profiles.select("cls", F.explode(cuts).alias("c")).select("cls", "c.cut", "c.drop", F.explode("c.keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("often")).where("low < high")
+    shared = stored(shared.select("key", "often"), "shared")
     # the keys that nobody shares, nearly all, don't get past the filter to the second shuffle
-    members = marked(keyed, "key", shared).where("__hit").drop("__hit").join(shared, "key", "left_semi")
-    members = stored(members.distinct(), "segments")
+    members = marked(keyed, "key", shared).where("__hit").drop("__hit").join(shared, "key").distinct()
+    # each class leaves out its most frequent keys, such as those of passages that many documents have
+    hottest = F.row_number().over(W.partitionBy("cls", "cut").orderBy(F.desc("often"), F.desc("key")))
+    members = stored(members.withColumn("place", hottest).where("place > drop").select("key", "cls").distinct(), "segments")
+    alone = members.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    members = stored(members.join(alone, "key", "left_semi"), "segments")
     first = profiles.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(members.select("cls").distinct(), "cls", "left_semi")
     first = stored(first, "candidates")
     few = first.count() <= LISTED
