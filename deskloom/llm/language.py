@@ -32,11 +32,15 @@ TRAIN_DOCS = 1500
 #: Languages that a model may have: the most frequent ones beyond that.
 MOST_LANGUAGES = 64
 #: Bytes of text scored at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Rows that a worker scores at once.
+ROWS = 400
 #: Code length in bits a byte above which a text counts as none of the languages, where documents are rejected.
 MOST_BITS = 7.0
 
 _LETTER = re.compile(r"[^\W\d_]")
+#: The columns that identification makes.
+MADE = ("lang_pred", "score", "bits_per_byte")
 #: What stands before a text's first byte.
 _START = b"\n" * ORDER
 
@@ -204,27 +208,29 @@ def train(docs: DataFrame, most_docs: int = TRAIN_DOCS, seed: int = 5) -> PpmMod
         return PpmModel([], np.empty(0, np.uint64), np.empty((0, 0)))
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, most_docs / n))))
     chosen = labelled.where(uniform(F.col("doc_id"), F.col("text"), seed=seed) < F.try_element_at(share, F.col("lang"))).select("lang", "text")
-    counted = chosen.mapInPandas(_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sizes)
-    codes, row = np.unique(counted["code"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-    counts = np.zeros((len(codes), len(languages)))
-    counts[row, np.searchsorted(languages, counted["lang"].to_numpy(str))] = counted["n"]
+    number = F.create_map(*(F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)))
+    counted = chosen.mapInPandas(_counts, "lang string, code long, n long").groupBy(F.try_element_at(number, F.col("lang")).alias("lang"), "code").agg(F.sum("n").alias("n")).toArrow()
+    codes, row = np.unique(counted["code"].to_numpy().view(np.uint64), return_inverse=True)
+    counts = np.zeros((len(codes), len(languages)), np.float32)
+    counts[row, counted["lang"].to_numpy()] = counted["n"].to_numpy()
     return PpmModel(languages, codes, counts)
 
 
 def identify_language(docs: DataFrame, model: PpmModel) -> DataFrame:
-    """doc_id, lang_pred, score and bits_per_byte for each row of docs (doc_id, text); other columns stay.
+    """doc_id, lang_pred, score and bits_per_byte for each row of docs (doc_id, text); other columns stay, and those of these names are replaced.
 
     lang_pred: the language with the shortest code, of equal ones the first by
     name; und for null texts, texts without a letter, or a model without
     languages. score: the language's share in the probabilities of all languages
     that follow from the code lengths; 0 for und.
     """
+    docs = docs.drop(*MADE)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value.prepared()
-        for batch in batches:
+        for batch in (whole.iloc[at : at + ROWS] for whole in batches for at in range(0, len(whole), ROWS)):
             texts = [t if t is not None and m.languages and _LETTER.search(t) else "" for t in batch["text"]]
             raw = [t.encode("utf-8", "replace") for t in texts]
             bits = m.code_lengths(raw) if m.languages else np.zeros((len(raw), 1))
@@ -246,8 +252,10 @@ def in_a_language(docs: DataFrame, model: PpmModel, most_bits: float = MOST_BITS
 
     Rejected are und, and texts that cost more than most_bits a byte in every language.
     """
-    found = identify_language(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= most_bits)).select(*docs.columns)
+    own = docs.columns
+    found = identify_language(docs.withColumnsRenamed({c: f"__own_{c}" for c in own if c not in ("doc_id", "text")}), model)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= most_bits))
+    return kept.drop(*MADE).withColumnsRenamed({f"__own_{c}": c for c in own}).select(*own)
 
 
 def held_out() -> Column:
