@@ -129,10 +129,11 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: in
     """
     plan = stored(mix_sources(docs, weights, most, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "plan")
     key = [F.col("doc_id").eqNullSafe(F.col("__d")), F.col("source").eqNullSafe(F.col("__s")), word_count(F.col("text")) == F.col("__n")]
-    plan = plan.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), "copies", "rows")
+    plan = plan.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("copies").alias("__copies"), F.col("rows").alias("__rows"))
     rows = docs.join(plan, key)
     turn = F.row_number().over(W.partitionBy("__d", "__s", "__n").orderBy(F.xxhash64("text"))) - 1
-    once = rows.where("rows = 1").withColumn("__take", F.col("copies").cast("int"))
-    more = rows.where("rows > 1").withColumn("__take", (F.floor(F.col("copies") / F.col("rows")) + (turn < F.col("copies") % F.col("rows")).cast("int")).cast("int"))
+    once = rows.where("__rows = 1").withColumn("__take", F.col("__copies").cast("int"))
+    share = F.floor(F.col("__copies") / F.col("__rows")) + (turn < F.col("__copies") % F.col("__rows")).cast("int")
+    more = rows.where("__rows > 1").withColumn("__take", share.cast("int"))
     taken = once.unionByName(more).where("__take > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__take"))))
     return taken.select(*docs.columns)
