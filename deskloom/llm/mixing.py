@@ -80,8 +80,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: i
     of that number is certain. For the rest, the inclusion probability is the
     fraction: documents are ranked by Pareto odds, and a source takes the first of
     them up to the words that it still lacks, large documents before small ones,
-    so that the small ones make up for what the large ones leave. A document
-    with more words than its source lacks isn't taken for the rest.
+    so that the small ones make up for what the large ones leave. Of the documents
+    with more words than their source lacks, which come before all others, the
+    first is taken that brings the source nearer to their share.
 
     size counts words (null text: 0), null is a source like others. Ranks follow
     from seed and doc_id, so reruns agree, and repeated rows stand next to each
@@ -96,20 +97,30 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: i
     plan = plan.withColumn("lack", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     plan = plan.withColumn("inclusion", F.when(F.col("source_size") > 0, F.col("lack") / F.col("source_size")))
 
-    rest = _same(sized, plan.where("lack > 0").select("source", "lack", "inclusion")).where("size > 0 AND size <= lack")
+    rest = _same(sized, plan.where("lack > 0").select("source", "lack", "inclusion")).where("size > 0")
     # for one source the odds follow u: its rank among the bins is that of its odds
-    rest = rest.withColumn("odds", pareto_odds(F.col("u"), F.col("inclusion"))).withColumn("big", F.col("size") * LARGE > F.col("lack"))
+    rest = rest.withColumn("odds", pareto_odds(F.col("u"), F.col("inclusion")))
     rest = rest.withColumn("rank", F.col("odds") * F.col("inclusion") / (1 - F.col("inclusion") + F.col("odds") * F.col("inclusion")))
-    sums = rest.groupBy("source", "lack", "inclusion").agg(
-        F.coalesce(F.sum(F.when(F.col("big"), F.col("size"))), F.lit(0)).alias("large"), F.coalesce(F.sum(F.when(~F.col("big"), F.col("size"))), F.lit(0)).alias("small")
-    )
-    goals = sums.withColumn("goal", F.least(F.col("large").cast("double"), F.greatest(F.col("inclusion") * F.col("large"), F.col("lack") - F.col("small"))))
+    over, big = F.col("size") > F.col("lack"), F.col("size") * LARGE > F.col("lack")
+    rest = rest.withColumn("tier", F.when(over, "over").when(big, "large").otherwise("small"))
+    words = [F.coalesce(F.sum(F.when(F.col("tier") == t, F.col("size"))), F.lit(0)).alias(t) for t in ("over", "large", "small")]
+    sums = rest.groupBy("source", "lack", "inclusion").agg(*words)
     key = ["doc_id", "source", "size", "rank"]
-    large = stored(_first(rest.where("big").select(*key), goals.select("source", "goal")), "large")
+
+    # after one document with more words than are lacking, a second comes no nearer
+    share = F.greatest(F.col("inclusion") * F.col("over"), F.col("lack") - F.col("large") - F.col("small"))
+    nearer = _same(rest.where("tier = 'over'").select(*key), sums.select("source", share.alias("goal"))).where("size * 0.5D <= goal")
+    first = nearer.groupBy("source").agg(F.min(F.struct("rank", "doc_id", "size")).alias("first"))
+    over = stored(first.select("first.doc_id", "source", "first.size", "first.rank"), "over")
+
+    goals = _same(sums, over.select("source", F.col("size").alias("got")), "left").withColumn("lack", F.col("lack") - F.coalesce("got", F.lit(0)))
+    share = F.least(F.lit(1.0), F.col("lack") / F.greatest(F.col("large") + F.col("small"), F.lit(1)))
+    goals = goals.withColumn("goal", F.least(F.col("large").cast("double"), F.greatest(share * F.col("large"), F.col("lack") - F.col("small"))))
+    large = stored(_first(rest.where("tier = 'large'").select(*key), goals.select("source", "goal")), "large")
     got = large.groupBy("source").agg(F.sum("size").alias("got"))
     goals = _same(goals.select("source", "lack"), got, "left").select("source", (F.col("lack") - F.coalesce("got", F.lit(0))).alias("goal"))
-    small = _first(rest.where("NOT big").select(*key), goals)
-    chosen = large.unionByName(small).groupBy("doc_id", "source", "size").agg(F.count("*").alias("extra"))
+    small = _first(rest.where("tier = 'small'").select(*key), goals)
+    chosen = over.unionByName(large).unionByName(small).groupBy("doc_id", "source", "size").agg(F.count("*").alias("extra"))
 
     rows = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
     keys = [rows["doc_id"].eqNullSafe(chosen["doc_id"]), rows["source"].eqNullSafe(chosen["source"]), rows["size"] == chosen["size"]]

@@ -302,6 +302,21 @@ def test_mixing_of_odd_rows(spark):
     assert out.count() == sum(r.copies for r in rows)
 
 
+def words_taken(spark, sizes, weights):
+    rows = [(1000 * i + j, "w " * n, s) for i, s in enumerate(sorted(sizes)) for j, n in enumerate(sizes[s])]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
+    return {r.source: (r.taken, round(r.target)) for r in out.collect()}
+
+
+def test_mixing_takes_documents_longer_than_what_is_lacking(spark):
+    assert words_taken(spark, {"a": [100], "b": [100]}, (5, 2)) == {"a": (100, 143), "b": (100, 57)}
+    assert words_taken(spark, {"a": [1000] * 10, "b": [1000] * 2}, (9, 111)) == {"a": (6000, 6000), "b": (6000, 6000)}
+    assert words_taken(spark, {"a": [1000] * 10, "b": [1000] * 10}, (9, 191)) == {"a": (1000, 900), "b": (19000, 19100)}
+    # a dominating document is taken where that is nearer, and leaves the place to the others where it isn't
+    assert words_taken(spark, {"a": [950] + [1] * 50, "b": [1000]}, (9, 11)) == {"a": (950, 900), "b": (1000, 1100)}
+    assert words_taken(spark, {"a": [20000] + [200] * 100, "b": [1600] * 25}, (4, 46)) == {"a": (6400, 6400), "b": (73600, 73600)}
+
+
 def test_pareto_ranks_follow_inclusion(spark):
     """Units with larger inclusion odds are taken more often: the mean rank falls with them."""
     from deskloom.llm.shared import uniform
