@@ -23,14 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskloom.llm.shared import uniform
+from deskloom.llm.shared import stored, uniform
 
 #: Bytes of the longest context.
 ORDER = 4
 #: Documents of each language from which the trees are counted, about; all of them where there are fewer.
 TRAIN_DOCS = 1500
-#: Languages that a model may have: the most frequent ones beyond that.
-MOST_LANGUAGES = 64
+#: Costs (contexts by languages) of a table, about; with more, languages are modelled in groups, of which each scores all documents.
+MOST_COSTS = 1 << 23
 #: Bytes of text scored at once.
 CHUNK = 1 << 18
 #: Rows that a worker scores at once.
@@ -195,59 +195,116 @@ class PpmModel:
         return out
 
 
-def train(docs: DataFrame, most_docs: int = TRAIN_DOCS, seed: int = 5) -> PpmModel:
-    """A model of the languages of docs (doc_id, text, lang); rows without text or lang aren't used.
+class PpmModels:
+    """The models of all languages, in groups that are made when they are asked for."""
+
+    def __init__(self, groups: list[list[str]], counted: DataFrame | None):
+        """groups: all languages, sorted; counted: (lang, code, n) by the language's place among them."""
+        self.groups, self.counted, self.held = groups, counted, None
+        self.languages = [x for group in groups for x in group]
+
+    def parts(self) -> Iterator[PpmModel]:
+        """The model of each group."""
+        if self.held is not None:
+            yield from self.held
+            return
+        at = 0
+        for group in self.groups:
+            counted = self.counted.where((F.col("lang") >= at) & (F.col("lang") < at + len(group))).toArrow()
+            codes, row = np.unique(counted["code"].to_numpy().view(np.uint64), return_inverse=True)
+            counts = np.zeros((len(codes), len(group)), np.float32)
+            counts[row, counted["lang"].to_numpy() - at] = counted["n"].to_numpy()
+            yield PpmModel(group, codes, counts)
+            at += len(group)
+
+    def prepared(self) -> PpmModels:
+        """With all models in memory."""
+        self.held = [part.prepared() for part in self.parts()]
+        return self
+
+    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
+        """Bits of each whole text for each language."""
+        return np.hstack([np.zeros((len(texts), 0)), *(part.prepared().code_lengths(texts) for part in self.parts())])
+
+
+def train(docs: DataFrame, most_docs: int = TRAIN_DOCS, seed: int = 5) -> PpmModels:
+    """Models of all languages of docs (doc_id, text, lang); rows without text or lang aren't used.
 
     The trees are counted from whole texts of about most_docs documents of each
-    language, chosen by a hash of doc_id. The driver gets the counts of their
-    contexts, which that number bounds, and nothing else.
+    language, chosen by a hash of doc_id. The driver gets the names of the
+    languages and, for one group of them after the other, the counts of their
+    contexts, which MOST_COSTS or that number for one language bounds.
     """
     labelled = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = sorted((r["lang"], r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect())
     if not sizes:
-        return PpmModel([], np.empty(0, np.uint64), np.empty((0, 0)))
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, most_docs / n))))
-    chosen = labelled.where(uniform(F.col("doc_id"), F.col("text"), seed=seed) < F.try_element_at(share, F.col("lang"))).select("lang", "text")
-    languages = sorted(sizes)
-    number = F.create_map(*(F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)))
-    counted = chosen.mapInPandas(_counts, "lang string, code long, n long").groupBy(F.try_element_at(number, F.col("lang")).alias("lang"), "code").agg(F.sum("n").alias("n")).toArrow()
-    codes, row = np.unique(counted["code"].to_numpy().view(np.uint64), return_inverse=True)
-    counts = np.zeros((len(codes), len(languages)), np.float32)
-    counts[row, counted["lang"].to_numpy()] = counted["n"].to_numpy()
-    return PpmModel(languages, codes, counts)
-
-
-def identify_language(docs: DataFrame, model: PpmModel) -> DataFrame:
-    """doc_id, lang_pred, score and bits_per_byte for each row of docs (doc_id, text); other columns stay, and those of these names are replaced.
-
-    lang_pred: the language with the shortest code, of equal ones the first by
-    name; und for null texts, texts without a letter, or a model without
-    languages. score: the language's share in the probabilities of all languages
-    that follow from the code lengths; 0 for und.
-    """
-    docs = docs.drop(*MADE)
+        return PpmModels([], None)
+    plan = docs.sparkSession.createDataFrame([(lang, i, min(1.0, most_docs / n)) for i, (lang, n) in enumerate(sizes)], "lang string, number int, share double")
+    chosen = labelled.join(F.broadcast(plan), "lang").where(uniform(F.col("doc_id"), F.col("text"), seed=seed) < F.col("share")).select(F.col("number").alias("lang"), "text")
+    counted = stored(chosen.mapInPandas(_counts, "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "contexts")
+    codes = {r["lang"]: r["codes"] for r in counted.groupBy("lang").agg(F.count("*").alias("codes")).collect()}
+    groups, rows = [], 0
+    for i, (lang, _) in enumerate(sizes):
+        rows += codes.get(i, 0)
+        if not groups or rows * (len(groups[-1]) + 1) > MOST_COSTS:
+            groups.append([])
+            rows = codes.get(i, 0)
+        groups[-1].append(lang)
+    return PpmModels(groups, counted)
+
+
+def _coded(docs: DataFrame, model: PpmModel) -> DataFrame:
+    """docs with the best of model's languages, its bits, all languages' probabilities as multiples of its own, and bytes; a text without a letter has none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value.prepared()
         for batch in (whole.iloc[at : at + ROWS] for whole in batches for at in range(0, len(whole), ROWS)):
-            texts = [t if t is not None and m.languages and _LETTER.search(t) else "" for t in batch["text"]]
-            raw = [t.encode("utf-8", "replace") for t in texts]
-            bits = m.code_lengths(raw) if m.languages else np.zeros((len(raw), 1))
-            size, known = np.array([len(t) for t in raw]), np.array([len(t) > 0 for t in raw], bool)
-            best = bits.argmin(axis=1) if len(raw) else np.empty(0, int)
+            raw = [t.encode("utf-8", "replace") if t is not None and _LETTER.search(t) else b"" for t in batch["text"]]
+            bits = m.code_lengths(raw)
             least = bits.min(axis=1, initial=np.inf)
-            score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
-            names = np.array([*m.languages, "und"], object)
-            yield batch.assign(
-                lang_pred=names[np.where(known, best, -1)], score=np.where(known, score, 0.0), bits_per_byte=np.where(known, least / np.maximum(size, 1), 0.0)
-            )
+            names = np.array(m.languages, object)[bits.argmin(axis=1)]
+            yield batch.assign(__best=names, __bits=least, __sum=np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1), __bytes=[len(t) for t in raw])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(run, f"{fields}, lang_pred string, score double, bits_per_byte double")
+    return docs.mapInPandas(run, f"{fields}, __best string, __bits double, __sum double, __bytes long")
+
 
+def identify_language(docs: DataFrame, model: PpmModels) -> DataFrame:
+    """doc_id, lang_pred, score and bits_per_byte for each row of docs (doc_id, text); other columns stay, and those of these names are replaced.
 
-def in_a_language(docs: DataFrame, model: PpmModel, most_bits: float = MOST_BITS) -> DataFrame:
+    lang_pred: the language with the shortest code, of equal ones the first by
+    name; und for null texts, texts without a letter, or a model without
+    languages. score: the language's share in the probabilities of all languages
+    that follow from the code lengths; 0 for und.
+
+    Several groups of languages score the rows one after the other, and their
+    results are joined to the rows by a number that is stored with them.
+    """
+    docs = docs.drop(*MADE)
+    if len(model.groups) > 1:
+        docs = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        texts, parts = docs.select("__row", "text"), None
+        for i, part in enumerate(model.parts()):
+            found = stored(_coded(texts, part).select("__row", "__bytes", F.struct("__bits", F.lit(i).alias("group"), "__best", "__sum").alias("part")), "codes")
+            parts = found if parts is None else parts.unionByName(found)
+        first = parts.groupBy("__row").agg(F.first("__bytes").alias("__bytes"), F.min("part").alias("first"), F.collect_list("part").alias("all"))
+        total = F.aggregate("all", F.lit(0.0), lambda s, p: s + p["__sum"] * F.pow(F.lit(2.0), F.greatest(F.col("first.__bits") - p["__bits"], F.lit(-1000.0))))
+        docs = docs.join(first.select("__row", "__bytes", "first.__best", "first.__bits", total.alias("__sum")), "__row").drop("__row")
+    elif model.groups:
+        docs = _coded(docs, next(model.parts()))
+    else:
+        docs = docs.withColumns({"__best": F.lit("und"), "__bits": F.lit(0.0), "__sum": F.lit(1.0), "__bytes": F.lit(0)})
+    known = F.col("__bytes") > 0
+    made = {
+        "lang_pred": F.when(known, F.col("__best")).otherwise("und"),
+        "score": F.when(known, 1 / F.col("__sum")).otherwise(0.0),
+        "bits_per_byte": F.when(known, F.col("__bits") / F.col("__bytes")).otherwise(0.0),
+    }
+    return docs.withColumns(made).drop("__best", "__bits", "__sum", "__bytes")
+
+
+def in_a_language(docs: DataFrame, model: PpmModels, most_bits: float = MOST_BITS) -> DataFrame:
     """The rows of docs (doc_id, text, ...) that the model takes for one of its languages, with docs' columns alone.
 
     Rejected are und, and texts that cost more than most_bits a byte in every language.

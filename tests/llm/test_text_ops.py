@@ -253,6 +253,29 @@ def test_language_of_odd_rows(spark):
     assert kept.columns == docs.columns and {(r.score, r.lang_pred) for r in kept.collect()} == {("mine", "mine")}
 
 
+def many_languages():
+    """70 languages, each with a script of its own; the last ones are the rarest."""
+    words = lambda i, j: " ".join(chr(0x4E00 + 100 * i + (7 * j + k * k) % 90) * 3 for k in range(12))
+    return [(1000 * i + j, words(i, j), f"l{i:02}", "s", None) for i in range(70) for j in range(6 if i < 64 else 5)]
+
+
+@pytest.mark.parametrize("most", [1 << 23, 20_000])
+def test_every_language_is_learned(spark, monkeypatch, most):
+    monkeypatch.setattr(language, "MOST_COSTS", most)
+    docs = odd(spark, many_languages())
+    model = language.train(docs)
+    assert model.languages == [f"l{i:02}" for i in range(70)] and (len(model.groups) > 1) == (most == 20_000)
+    rows = docs.collect()
+    got = {r.doc_id: r for r in language.identify_language(docs.unionByName(odd(spark, [(-1, "...", None, "s", None)])), model).collect()}
+    assert len(got) == len(rows) + 1 and got[-1].lang_pred == "und" and got[-1].score == 0
+    assert all(got[r.doc_id].lang_pred == r.lang for r in rows)
+    for r in rows[::50]:
+        raw = r.text.encode()
+        bits = model.code_lengths([raw])[0]
+        assert got[r.doc_id].bits_per_byte == pytest.approx(min(bits) / len(raw)) and got[r.doc_id].score == pytest.approx(1 / sum(2 ** (min(bits) - x) for x in bits))
+    assert language.in_a_language(docs, model).count() == len(rows)
+
+
 def targets(sizes, weights=(5, 2, 1), most=3):
     """By taking out sources over their cap until none is left."""
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
