@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -33,8 +35,6 @@ CLOSES = {
     "tfoot": (("thead", "tbody", "tfoot", "caption"), ("table",)),
     "body": (("head",), ()),
 }
-#: Elements deeper than this are taken as part of the one above.
-DEEPEST = 150
 
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)")
@@ -54,17 +54,28 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        #: Where elements of a tag are open, apart from the root: looked up, as pages may nest without end.
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+
+    def _push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.open))
+        self.open.append(node)
+
+    def _cut(self, at: int) -> None:
+        """Closes the open elements from the one at a depth."""
+        while len(self.open) > at:
+            self.at[self.open.pop().tag].pop()
+
+    def _last(self, tags: tuple[str, ...]) -> int:
+        """The depth of the innermost open element of these tags, or 0."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
     def _close(self, tags: tuple[str, ...], barriers: tuple[str, ...]) -> None:
         """Closes the outermost open element of these tags that no barrier shields."""
-        at = 0
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in barriers:
-                break
-            if self.open[i].tag in tags:
-                at = i
-        if at:
-            del self.open[at:]
+        shield = self._last(barriers)
+        found = [at[i] for t in tags if (at := self.at.get(t)) and (i := bisect_right(at, shield)) < len(at)]
+        if found:
+            self._cut(min(found))
 
     def handle_starttag(self, tag, attrs):
         if tag == "html":
@@ -74,28 +85,27 @@ class TreeBuilder(HTMLParser):
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         if tag in BLOCKS and self.open[-1].tag == "head":
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEEPEST:
-            self.open.append(node)
+        if tag not in VOID:
+            self._push(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # a slash doesn't close an element in HTML
 
     def handle_endtag(self, tag):
         barriers = ("table",) if tag not in ("table", "body", "html") else ()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in barriers or self.open[i].tag in ("td", "th") and tag not in CLOSES["td"][1] + ("thead", "tbody", "tfoot"):
-                return
+        if tag not in CLOSES["td"][1] + ("thead", "tbody", "tfoot"):
+            barriers += ("td", "th")
+        at = self._last((tag,))
+        if at and at >= self._last(barriers):
+            self._cut(at)
 
     def handle_data(self, data):
         top = self.open[-1]
         if top.tag == "head" and data.strip():
-            self.open.pop()
+            self._cut(len(self.open) - 1)
             top = self.open[-1]
         top.children.append(data)
 
@@ -160,15 +170,32 @@ def _number(value: str | None, least: int, most: int) -> int:
     return min(most, max(least, int(value))) if value and value.strip().isdigit() and len(value) < 7 else least
 
 
-def _table(node: Node, visible: bool) -> list[str]:
+#: A part of the layout: it yields the parts that it needs, and is sent what they return.
+Part = Generator["Part", object, object]
+
+
+def _finished(part: Part) -> object:
+    """What a part returns, worked out with a stack of its own, as pages may nest deeper than calls can."""
+    stack, value = [part], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
+def _table(node: Node, visible: bool) -> Part:
     """Rows of cells, padded to their column's width; a cell may have many lines, and may span columns."""
     captions, rows = [], []
 
-    def walk(parent: Node, seen: bool) -> None:
+    def walk(parent: Node, seen: bool) -> Part:
         for child in parent.children:
             if isinstance(child, str):
                 if child.strip() and seen:
-                    captions.extend(_lines([child], seen))
+                    captions.extend((yield _lines([child], seen)))
                 continue
             there, shows = _shown(child, seen)
             if not there:
@@ -178,18 +205,18 @@ def _table(node: Node, visible: bool) -> list[str]:
                 for cell in child.children:
                     if isinstance(cell, str):
                         if cell.strip():
-                            cells.append((_lines([cell], shows), 1))
+                            cells.append(((yield _lines([cell], shows)), 1))
                         continue
                     fine, shown = _shown(cell, shows)
                     if fine:
-                        cells.append((_lines([cell] if cell.tag not in ("td", "th") else cell.children, shown), _number(cell.attrs.get("colspan"), 1, 50)))
+                        cells.append(((yield _lines([cell] if cell.tag not in ("td", "th") else cell.children, shown)), _number(cell.attrs.get("colspan"), 1, 50)))
                 rows.append(cells)
             elif child.tag in ("thead", "tbody", "tfoot", "colgroup", "col"):
-                walk(child, shows)
+                yield walk(child, shows)
             else:
-                captions.extend(_lines([child], shows))
+                captions.extend((yield _lines([child], shows)))
 
-    walk(node, visible)
+    yield walk(node, visible)
     widths: dict[int, int] = {}
     for cells in rows:
         at = 0
@@ -209,13 +236,13 @@ def _table(node: Node, visible: bool) -> list[str]:
     return out
 
 
-def _lines(nodes: list, visible: bool) -> list[str]:
+def _lines(nodes: list, visible: bool) -> Part:
     box = Box()
-    _render(nodes, box, visible, False)
+    yield _render(nodes, box, visible, False)
     return box.done()
 
 
-def _render(nodes: list, box: Box, visible: bool, pre: bool) -> None:
+def _render(nodes: list, box: Box, visible: bool, pre: bool) -> Part:
     for node in nodes:
         if isinstance(node, str):
             if not visible:
@@ -244,24 +271,25 @@ def _render(nodes: list, box: Box, visible: bool, pre: bool) -> None:
         if block:
             box.end_line(blank)
         if tag == "table":
-            box.add(_table(node, shows))
+            box.add((yield _table(node, shows)))
         elif tag in ("ul", "ol", "menu"):
             number = _number(node.attrs.get("start"), 1, 10**6)
             for child in node.children:
                 if isinstance(child, str) or child.tag != "li":
-                    box.add(_lines([child], shows))
+                    box.add((yield _lines([child], shows)))
                     continue
                 fine, shown = _shown(child, shows)
                 mark = f"{number}. " if tag == "ol" else "- "
                 number += fine
-                lines = _lines(child.children, shown) if fine else []
+                lines = (yield _lines(child.children, shown)) if fine else []
                 box.add([(mark if i == 0 else " " * len(mark)) + x if x else x for i, x in enumerate(lines)])
         elif tag in ("dd", "blockquote"):
-            box.add(["  " + x if x else x for x in _lines(node.children, shows)])
+            lines = yield _lines(node.children, shows)
+            box.add(["  " + x if x else x for x in lines])
         elif tag == "details" and "open" not in node.attrs:
-            _render([c for c in node.children if not isinstance(c, str) and c.tag == "summary"], box, shows, pre)
+            yield _render([c for c in node.children if not isinstance(c, str) and c.tag == "summary"], box, shows, pre)
         else:
-            _render(node.children, box, shows, pre or tag in ("pre", "textarea"))
+            yield _render(node.children, box, shows, pre or tag in ("pre", "textarea"))
         if block:
             box.end_line(blank)
 
@@ -273,7 +301,7 @@ def visible_text(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    lines = [x.rstrip() for x in _lines([builder.root], True)]
+    lines = [x.rstrip() for x in _finished(_lines([builder.root], True))]
     return "\n".join(lines).strip("\n")
 
 

@@ -205,6 +205,20 @@ def test_html(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("depth", [100, 160, 3000, 20_000])
+@pytest.mark.parametrize("tag", ["font", "div", "section"])
+def test_html_at_any_depth(depth, tag):
+    inside = '<script>var a</script><style>b{}</style><template>t</template><div style="display:none">no</div>seen<ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c<td>d</table>'
+    assert html_text.visible_text(f"<{tag}>" * depth + inside) == "seen\n\n- one\n- two\n\na  b\nc  d"
+    # an end tag closes its own element, and not the hidden one around it
+    assert html_text.visible_text("<i>" * depth + f"<div hidden><{tag}>no</{tag}>no</div>seen") == "seen"
+
+
+def test_html_of_nested_containers():
+    for a, b in (("<ul><li>", "</li></ul>"), ("<blockquote>", "</blockquote>"), ("<table><tr><td>", "</td></tr></table>"), ("<details open>", "</details>")):
+        assert html_text.visible_text("<script>no</script>" + a * 2000 + "x" + b * 2000 + "y").split()[-2:] == ["x", "y"]
+
+
 def test_html_leaves_no_markup(spark, small):
     rows = spark.read.parquet(f"{small}/pages.parquet").collect()
     for r in rows:
