@@ -132,41 +132,45 @@ def backfilled(rows: DataFrame, target: str, source: str) -> DataFrame:
     return rows.where(F.col(source).isNotNull() & ~F.col(target).eqNullSafe(F.col(source))).withColumn(target, F.col(source))
 
 
-#: Open suggestions that candidates are compared with at most; the queue of reviewers is short.
-MOST_SUGGESTIONS = 1000
-
-
 def learned(suggestions: DataFrame, candidates: DataFrame, least: float = 0.82) -> DataFrame:
     """suggestions (id, title, content, seen_count) after candidates (id, title, content, edited, had_placeholder).
 
     Only candidates from edited drafts with a placeholder count. One whose title and
     content are similar enough, by characters, to a suggestion raises the count of the
-    first such; any other comes in, seen once, under its own id.
+    first such; any other comes in, seen once, under its own id. Candidates meet the
+    suggestions whose length lets them be similar enough, by a join on its logarithm.
     """
     import difflib
+    import math
     from collections.abc import Iterator
 
+    import numpy as np
     import pandas as pd
 
-    known = suggestions.select("id", "title", "content").orderBy("id").limit(MOST_SUGGESTIONS + 1).collect()
-    if len(known) > MOST_SUGGESTIONS:
-        raise ValueError(f"more than {MOST_SUGGESTIONS} open suggestions")
-    texts = [(r["id"], f"{r['title']}\n{r['content']}".lower()) for r in known]
+    step = math.log(1.01 * (2 - least) / least)  # lengths further apart than this can't reach least
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [f"{title}\n{content}".lower() for title, content in zip(batch["title"], batch["content"])]
+            yield batch.assign(lower=texts, size=[math.floor(math.log(len(t)) / step) for t in texts])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for title, content in zip(batch["title"], batch["content"]):
-                text, hit = f"{title}\n{content}".lower(), None
-                for i, other in texts:
-                    match = difflib.SequenceMatcher(None, text, other)
-                    if match.real_quick_ratio() >= least and match.quick_ratio() >= least and match.ratio() >= least:
-                        hit = i
-                        break
-                found.append(hit)
-            yield batch.assign(hit=pd.array(found, "Int64"))
-
-    rows = candidates.where("edited AND had_placeholder").select("id", "title", "content").mapInPandas(run, "id long, title string, content string, hit long")
+            good = []
+            for text, other in zip(batch["lower"], batch["other"]):
+                match = difflib.SequenceMatcher(None, text, other)
+                good.append(match.real_quick_ratio() >= least and match.quick_ratio() >= least and match.ratio() >= least)
+            yield batch.loc[np.array(good, bool), ["row", "hit"]]
+
+    fields = "id long, title string, content string, lower string, size long"
+    known = suggestions.select("id", "title", "content").mapInPandas(keyed, fields).select(F.col("id").alias("hit"), F.col("lower").alias("other"), "size")
+    asked = candidates.where("edited AND had_placeholder").select("id", "title", "content")
+    # equal candidates are one row here, so that it has a key
+    asked = asked.groupBy("id", "title", "content").agg(F.count("*").alias("times")).withColumn("row", F.xxhash64("id", "title", "content"))
+    near = asked.select("id", "title", "content", "row").mapInPandas(keyed, f"{fields.replace('lower', 'row long, lower')}")
+    near = near.select("row", "lower", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+    hits = near.join(known, "size").select("row", "lower", "hit", "other").mapInPandas(similar, "row long, hit long").groupBy("row").agg(F.min("hit").alias("hit"))
+    rows = asked.join(hits, "row", "left").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     more = rows.where("hit IS NOT NULL").groupBy(F.col("hit").alias("id")).agg(F.count("*").alias("more"))
     raised = suggestions.join(more, "id", "left").select("id", "title", "content", (F.col("seen_count") + F.coalesce("more", F.lit(0))).cast("long").alias("seen_count"))
     return raised.unionByName(rows.where("hit IS NULL").select("id", "title", "content", F.lit(1).cast("long").alias("seen_count")))

@@ -287,3 +287,18 @@ def test_learned_suggestions(spark):
     new = [(11, "Late work", "Hand in by Friday noon!", True, True), (12, "late WORK", "hand in by friday noon", True, True), (13, "Visa", "Letters take a week", True, True), (14, "Fees", "Fees are due in May", False, True), (15, "Fees", "Fees are due in May", True, False)]
     df = spark.createDataFrame(new, "id long, title string, content string, edited boolean, had_placeholder boolean")
     assert {r.id: r.seen_count for r in policies.learned(old, df).collect()} == {1: 3, 2: 4, 13: 1}
+
+
+def test_learned_with_many_suggestions(spark):
+    old = spark.range(1500).selectExpr("id", "concat('t', id) AS title", "sha2(cast(id AS string), 256) AS content", "1L AS seen_count")
+    new = old.where("id IN (3, 1400)").selectExpr("id + 5000 AS id", "title", "concat(content, ' !') AS content", "true AS edited", "true AS had_placeholder")
+    got = {r.id: r.seen_count for r in policies.learned(old, new.unionByName(new)).collect()}
+    assert len(got) == 1500 and got[3] == got[1400] == 3 and sum(got.values()) == 1504
+
+
+def test_dense_with_many_queries(spark, monkeypatch):
+    v = spark.range(40).selectExpr("id AS doc_id", "array(cos(id), sin(id)) AS vector")
+    q = v.withColumnRenamed("doc_id", "query_id")
+    want = sorted(map(tuple, retrieval.dense(q, v, 3).collect()))
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 12)
+    assert len(want) == 120 and sorted(map(tuple, retrieval.dense(q, v, 3).collect())) == want
