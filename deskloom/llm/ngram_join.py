@@ -1,202 +1,151 @@
 """N-gram Jaccard join by vertical partitioning.
 
-Every distinct n-gram has a place in one global order, that of its 64-bit hash.
-The order is cut into fragments, and each document's set falls into one segment
-for each fragment. Two steps work on those fragments:
-
-1. A pair that reaches the threshold differs in at most d n-grams, a bound that
-   follows from the sizes. The order is cut into more than d fragments, so the
-   two documents agree on whole segments. As there are some fragments to spare,
-   each document can leave out as many of its segments, those that the most
-   documents share. Documents that still share a segment are candidates; all
-   others are out without being compared.
+Every distinct n-gram has a place in one global order, that of its 64-bit hash, and
+the order is cut into fragments. The steps:
+
+1. Of each set only a prefix of the order is looked at. Two sets that reach the
+   threshold share so many n-grams that their prefixes share some, and, as the
+   prefixes have some n-grams to spare, each can leave out those that the most
+   documents have. Classes that still share n-grams enough are candidates.
 2. The candidates' overlaps are counted fragment by fragment, each fragment for
-   itself, and the partial counts are summed per pair. The sum is exact. Pairs
-   whose parity bits already differ in too many places aren't fetched for that.
+   itself, and the partial counts are summed per pair. The sum is exact.
 
 Documents with equal sets are one class from the start, and only classes are
-compared. A segment that few classes share gives pairs. One that many share is
-dealt out as pairs of bounded blocks, each of which is counted in one matrix and
-returns a forest of its links instead of all of them.
+compared. First each n-gram's members are compared with one of them, its hub; what
+that links is one component. Only n-grams whose members are still in several
+components are looked at further: those with few members give pairs of different
+components, and those with many are gathered and dealt out as pairs of bounded
+blocks, each of which is counted in one matrix and returns a forest of its links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deskloom.llm.bloom import marked
 from deskloom.llm.components import connected_components
 from deskloom.llm.shared import stored
+from deskloom.llm.shingles import ngram_sets
 
-#: Sizes within a band differ by at most this factor; one cut serves a band.
-BAND = 1.4
-#: Fragments beyond the needed ones, as a share of the differences that a pair may have.
-SPARE = 0.2
+#: A prefix has one n-gram to spare for so many in which a set may differ from a partner; as many are left out as the most frequent.
+SPARE = 3
 #: Fragments in which overlaps are counted.
 PARTS = 8
-#: Bits by which a pair's difference is bounded from below before its sets are fetched.
-ODD = 2048
-#: A segment that more classes share is dealt out in blocks.
-PAIRED = 32
-#: N-grams that one side of a block pair holds at most, or one set if that is larger.
-BLOCK = 300_000
-#: Candidate classes up to which their list is broadcast; it has 8 bytes a class.
-LISTED = 2_000_000
-#: Hashes of words that a Python worker keeps.
-WORDS_KEPT = 200_000
+#: An n-gram that more classes share is dealt out in blocks.
+PAIRED = 200
+#: N-grams that one side of a block pair holds at most, or one set if that is larger, and classes.
+BLOCK, CLASSES = 300_000, 1000
+#: Times the members of its largest key that a group of such n-grams has at most.
+GATHERED = 4
+#: Documents up to which a list of their ids is broadcast; beyond, a Bloom filter is, and the ids are joined by shuffle.
+LISTED = 100_000
 #: Rows that a worker turns into sets at once.
 ROWS = 400
 
-_SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_words = _WordHashes()
-
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+def _class(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def ngram_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted hashes of a text's distinct n-grams: A-Z lower-cased, words cut at ASCII white space.
+def prefix_length(size: int, num: int, den: int) -> int:
+    """How many of a set's n-grams, first in the order, are looked at.
 
-    With fewer than n words, the whole sequence is the one n-gram; without words there is none.
+    A partner shares at least o = num/den of the set's n-grams, rounded up. Without
+    the o - 1 last ones, two such sets still share one n-gram; with s more, s + 1.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    size = min(n, len(h))
-    out = np.full(len(h) - size + 1, size, np.uint64)
-    for i in range(size):
-        out = _mixed((out ^ h[i : len(h) - size + 1 + i]) * _SPREAD[i % 3])
-    return np.unique(out)
+    least = -(-num * size // den)
+    return size - least + 1 + min((size - least) // SPARE, least - 1)
 
 
-def odd_bits(s: np.ndarray) -> np.ndarray:
-    """ODD bits in longs: whether an odd number of the set's hashes falls on each. Two sets differ in as many elements as bits at least."""
-    odd = np.bincount((_mixed(s) % np.uint64(ODD)).astype(np.int64), minlength=ODD) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def _least(size: str, num: int, den: int) -> str:
+    return f"(({num} * {size} + {den - 1}) div {den})"
 
 
-def _class(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def _spare(size: str, num: int, den: int) -> str:
+    least = _least(size, num, den)
+    return f"least(({size} - {least}) div {SPARE}, {least} - 1)"
 
 
-def _band(size: int) -> int:
-    return int(np.ceil(np.log(size) / np.log(BAND) - 1e-9))
+def shared_enough(a: str, b: str, num: int, den: int) -> Column:
+    """How many of their kept n-grams two sets of sizes a and b share at least if they reach num/den.
 
+    The pair shares at least o n-grams, so of that set whose prefix ends first, all
+    but size - o of the prefix are in the other's prefix too. Of these each set
+    leaves out as many as it has to spare, the most frequent ones; both leave out
+    the same end of one order.
+    """
+    both = f"(({num} * ({a} + {b}) + {num + den - 1}) div {num + den})"
+    spare = [_spare(x, num, den) for x in (a, b)]
+    ahead = f"least({spare[0]} - {_least(a, num, den)}, {spare[1]} - {_least(b, num, den)})"
+    return F.expr(f"greatest(1, {both} + 1 + {ahead} - greatest({spare[0]}, {spare[1]}))")
 
-def _top(band: int) -> int:
-    """The largest size in a band."""
-    return int(np.floor(BAND**band * (1 + 1e-9)))
 
+def _alike(a: str, b: str, num: int, den: int) -> Column:
+    """Whether two sizes alone allow the threshold."""
+    return den * F.least(a, b) >= num * F.greatest(a, b)
 
-def _cut(band: int, num: int, den: int) -> tuple[int, int]:
-    """Fragments for pairs of at most this band's sizes, and how many of those that must agree are to spare.
-
-    At a similarity of num/den, sets of sizes a and b differ in at most
-    (a + b)(den - num)/(den + num) elements, each of which spoils one fragment.
-    """
-    most = 2 * _top(band) * (den - num) // (den + num)
-    spare = 2 + int(SPARE * most)
-    return most + 1 + spare, spare
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
-def segment_keys(s: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray]]:
-    """The keys of a set's segments by its own band's cut, and by the next one's where a partner may be in that; each with how many keys can be left out.
 
-    Two sets that reach num/den agree on spare + 1 fragments at least, of which no
-    more are empty than either has. So they share more keys than spare less its
-    empty segments, and still share one if each leaves out as many of those keys
-    that come last in an order which is the same for all. A set with more empty
-    segments than are to spare has keys for those too, and leaves out none.
-    """
-    out = []
-    own = _band(len(s))
-    for band in (own, own + 1):
-        if band > own and len(s) * den < num * (_top(own) + 1):
-            break  # the largest partner is in the set's own band
-        parts, spare = _cut(band, num, den)
-        edges = (np.arange(1, parts, dtype=object) * (1 << 64)) // parts
-        at = np.concatenate(([0], np.searchsorted(s, edges.astype(np.uint64)), [len(s)]))
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(_mixed(s), dtype=np.uint64)))
-        keys = sums[at[1:]] - sums[at[:-1]]
-        full = at[1:] > at[:-1]
-        empty = int(parts - full.sum())
-        which = np.arange(parts) if empty > spare else np.flatnonzero(full)
-        place = _mixed(which.astype(np.uint64) * _SPREAD[0] + np.uint64((band + 1) * int(_SPREAD[1]) % (1 << 64)))
-        out.append((max(0, spare - empty), _mixed(keys[which] ^ place)))
-    return out
-
-
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for at in range(0, len(batch), ROWS):
-            yield batch.iloc[at : at + ROWS]
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)))
 
 
 def _profiles(n: int, num: int, den: int):
-    none = (0, np.empty(0, np.int64))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            rows = []
-            for i, text in zip(batch["doc_id"], batch["text"], strict=True):
-                s = ngram_set(text, n)
-                cuts = [(drop, k.view(np.int64)) for drop, k in segment_keys(s, num, den)] if len(s) else []
-                own, after = (cuts + [none, none])[:2]
-                rows.append((i, len(s), _class(s), *own, *after))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "cls", "drop_0", "keys_0", "drop_1", "keys_1"])
+            sizes, classes, keys = [], [], []
+            for s in ngram_sets(batch.column("text"), n):
+                sizes.append(len(s))
+                classes.append(_class(s))
+                keys.append(s[: prefix_length(len(s), num, den)] if len(s) else s)
+            made = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_shingles", "cls", "keys"])
 
     return run
 
 
 def _segments(n: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        edges = np.array([(i << 64) // PARTS for i in range(1, PARTS)], np.uint64)
+    edges = np.array([(i << 64) // PARTS for i in range(1, PARTS)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            rows = []
-            for cls, text in zip(batch["cls"], batch["text"], strict=True):
-                s = ngram_set(text, n)
-                if _class(s) != cls:
-                    continue  # another row of the same doc_id
-                for part, x in enumerate(np.split(s, np.searchsorted(s, edges))):
-                    rows.append((cls, len(s), part, x.view(np.int64), None if part else odd_bits(s)))
-            yield pd.DataFrame(rows, columns=["cls", "n", "part", "grams", "odd"])
+            owners, grams = [], []
+            for cls, s in zip(batch.column("cls").to_pylist(), ngram_sets(batch.column("text"), n), strict=True):
+                if _class(s) == cls:  # else it is another row of the same doc_id
+                    owners.append(cls)
+                    grams += np.split(s, np.searchsorted(s, edges))
+            part = np.tile(np.arange(PARTS, dtype=np.int32), len(owners))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(owners, np.int64), PARTS)), pa.array(part), _lists(grams)], ["cls", "part", "grams"])
 
     return run
 
 
 def _block_links(num: int, den: int):
-    """Links of one block pair: within its first block, or between the two; each class with the least that it reaches."""
+    """Links of one block pair: each class with the least that it reaches within the pair."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         classes, row = np.unique(pdf["cls"].to_numpy(), return_inverse=True)
-        size = np.zeros(len(classes), np.int64)
-        size[row] = pdf["n"].to_numpy()
-        overlap = np.zeros((len(classes), len(classes)), np.float32)
+        overlap, size = np.zeros((len(classes), len(classes)), np.float32), np.zeros(len(classes), np.int64)
         for _, part in pdf.assign(row=row).groupby("part"):
             lengths = part["grams"].map(len).to_numpy()
             if not lengths.sum():
                 continue
+            np.add.at(size, part["row"].to_numpy(), lengths)
             _, ids, often = np.unique(np.concatenate(part["grams"].to_list()), return_inverse=True, return_counts=True)
             owner = np.repeat(part["row"].to_numpy(), lengths)
             shared = often[ids] > 1
@@ -208,12 +157,14 @@ def _block_links(num: int, den: int):
                 x = np.zeros((len(classes), 2048), np.float32)
                 x[owner[a:b], ids[a:b] - low] = 1
                 overlap += x @ x.T
-        total = size[:, None] + size[None, :]
-        linked = (num + den) * overlap.astype(np.int64) >= num * total
         label = np.arange(len(classes))
         while True:
-            least = np.where(linked, label[None, :], len(classes)).min(axis=1)
-            least = np.minimum(label, least)[np.minimum(label, least)]
+            least = label.copy()
+            for i in range(len(classes)):
+                linked = (num + den) * overlap[i].astype(np.int64) >= num * (size[i] + size)
+                linked[i] = True
+                least[i] = label[linked].min()
+            least = least[least]
             if (least == label).all():
                 break
             label = least
@@ -224,52 +175,121 @@ def _block_links(num: int, den: int):
 
 
 def ngram_profiles(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Each document's doc_id, n_shingles (set size), cls (the hash of its set), and by two cuts its segments' keys and how many can be left out."""
-    return docs.select("doc_id", "text").mapInPandas(
-        _profiles(n, num, den), "doc_id long, n_shingles long, cls long, drop_0 int, keys_0 array<long>, drop_1 int, keys_1 array<long>"
+    """Each document's doc_id, n_shingles (set size), cls (the hash of its set) and keys (its prefix in the global order)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        _profiles(n, num, den), "doc_id long, n_shingles long, cls long, keys array<long>"
     )
 
 
-def class_links(docs: DataFrame, profiles: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b): links between classes, of which at least a forest for each component."""
-    cuts = F.array(*(F.struct(F.lit(i).alias("cut"), F.col(f"drop_{i}").alias("drop"), F.col(f"keys_{i}").alias("keys")) for i in (0, 1)))
-    keyed = profiles.select("cls", F.explode(cuts).alias("c")).select("cls", "c.cut", "c.drop", F.explode("c.keys").alias("key"))
+def _kept_keys(profiles: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, cls, n, weight): each class with those of its keys that others have, without its most frequent ones.
+
+    weight says how much a class has in common with others, the same in all its rows.
+    """
+    keyed = profiles.select("cls", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("often")).where("low < high")
     shared = stored(shared.select("key", "often"), "shared")
     # the keys that nobody shares, nearly all, don't get past the filter to the second shuffle
-    members = marked(keyed, "key", shared).where("__hit").drop("__hit").join(shared, "key").distinct()
-    # each class leaves out its most frequent keys, such as those of passages that many documents have
-    hottest = F.row_number().over(W.partitionBy("cls", "cut").orderBy(F.desc("often"), F.desc("key")))
-    members = stored(members.withColumn("place", hottest).where("place > drop").select("key", "cls").distinct(), "segments")
-    alone = members.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    members = stored(members.join(alone, "key", "left_semi"), "segments")
-    first = profiles.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(members.select("cls").distinct(), "cls", "left_semi")
-    first = stored(first, "candidates")
-    few = first.count() <= LISTED
-    sets = docs.select("doc_id", "text").join(F.broadcast(first) if few else first, "doc_id")
-    sets = sets.select("cls", "text").mapInPandas(_segments(n), "cls long, n long, part int, grams array<long>, odd array<long>")
-    sets = stored(sets.dropDuplicates(["cls", "part"]), "sets")
-    sizes = sets.where("part = 0").select("cls", "n", "odd")
-    often = members.join(sizes, "cls").groupBy("key").agg(F.count("*").alias("k"), F.max("n").alias("largest"))
-    members = stored(members.join(often, "key"), "segments")
-
-    small = members.where(F.col("k") <= PAIRED)
-    pairs = small.select("key", F.col("cls").alias("a")).join(small.select("key", F.col("cls").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    whole = lambda x: sizes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
-    bits = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    near = ((num + den) * bits <= (den - num) * (F.col("n_a") + F.col("n_b"))) & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-    pairs = pairs.join(whole("a"), "a").join(whole("b"), "b").where(near).select("a", "b")
-    side = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), "part", F.col("grams").alias(f"grams_{x}"))
-    counted = pairs.join(side("a"), "a").join(side("b"), ["b", "part"])
-    counted = counted.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("grams_a", "grams_b"))).alias("both"), F.max(F.col("n_a") + F.col("n_b")).alias("total"))
-    links = counted.where((num + den) * F.col("both") >= num * F.col("total")).select("a", "b")
-
-    blocks = F.ceil(F.col("k") * F.col("largest") / F.lit(BLOCK)).cast("int")
-    large = members.where(F.col("k") > PAIRED).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls", "key"), "blocks").cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select("cls", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    found = large.join(sets, "cls").groupBy("key", "p", "q").applyInPandas(_block_links(num, den), "a long, b long")
-    return links.unionByName(found.distinct())
+    rows = marked(keyed, "key", shared).where("__hit").drop("__hit").join(shared, "key").distinct()
+    mine = W.partitionBy("cls")
+    rows = rows.withColumn("place", F.row_number().over(mine.orderBy(F.desc("often"), F.desc("key")))).withColumn("weight", F.sum("often").over(mine))
+    return stored(rows.where(F.col("place") > F.expr(_spare("n", num, den))).select("key", "cls", "n", "weight"), "members")
+
+
+class _Sets:
+    """The sets of those classes that are compared, cut into fragments."""
+
+    def __init__(self, docs: DataFrame, names: DataFrame, n: int, repeated: bool):
+        self.docs, self.names, self.n, self.repeated = docs, names, n, repeated
+
+    def of(self, classes: DataFrame) -> DataFrame:
+        """(cls, part, grams) for classes (cls), from one document of each."""
+        first = stored(self.names.join(classes.distinct(), "cls", "left_semi"), "compared")
+        docs = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        if first.count() <= LISTED:
+            docs = docs.join(F.broadcast(first), "doc_id")
+        else:
+            docs = marked(docs, "doc_id", first).where("__hit").drop("__hit").join(first, "doc_id")
+        sets = docs.select("cls", "text").mapInArrow(_segments(self.n), "cls long, part int, grams array<long>")
+        return stored(sets.dropDuplicates(["cls", "part"]) if self.repeated else sets, "sets")
+
+
+def _verified(pairs: DataFrame, sets: _Sets, num: int, den: int) -> DataFrame:
+    """Those of pairs (a, b, n_a, n_b) that reach the threshold: overlaps by fragment, summed."""
+    found = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
+    side = lambda x: found.select(F.col("cls").alias(x), "part", F.col("grams").alias(f"grams_{x}"))
+    counted = pairs.withColumn("part", F.explode(F.array(*map(F.lit, range(PARTS))))).join(side("a"), ["a", "part"]).join(side("b"), ["b", "part"])
+    both = F.sum(F.size(F.array_intersect("grams_a", "grams_b"))).alias("both")
+    counted = counted.groupBy("a", "b").agg(both, F.max(F.col("n_a") + F.col("n_b")).alias("total"))
+    return counted.where((num + den) * F.col("both") >= num * F.col("total")).select("a", "b")
+
+
+def _hub_links(members: DataFrame, sets: _Sets, num: int, den: int) -> DataFrame:
+    """Links of each key's members with its hub: the member that has most in common with others."""
+    hubs = members.groupBy("key").agg(F.max(F.struct("weight", "cls", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1")
+    hubs = hubs.select("key", F.col("hub.cls").alias("a"), F.col("hub.n").alias("n_a"))
+    pairs = members.withColumnsRenamed({"cls": "b", "n": "n_b"}).join(hubs, "key").where("a <> b").where(_alike("n_a", "n_b", num, den))
+    pairs = pairs.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.count("*").alias("keys"))
+    # a key may have another hub, so pairs count that have some of the keys that they need
+    pairs = pairs.where(3 * F.col("keys") >= shared_enough("n_a", "n_b", num, den))
+    return stored(_verified(stored(pairs, "pairs"), sets, num, den), "links")
+
+
+def _open_keys(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, cls, n, component, k, keys): the k members of keys that lie in several components; of keys with equal members one, and how many there are."""
+    parts = connected_components(links)
+    rows = members.join(parts.withColumnsRenamed({"node": "cls"}), "cls", "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("component"))
+    same = [F.sum(F.xxhash64("cls", F.lit(i)).cast("decimal(20,0)")).alias(f"h{i}") for i in range(2)]
+    keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k"), *same).where("low < high")
+    keys = keys.groupBy("k", "h0", "h1").agg(F.min("key").alias("key"), F.count("*").alias("keys"))
+    return stored(rows.join(keys.select("key", "k", "keys"), "key"), "open")
+
+
+def _pair_links(small: DataFrame, sets: _Sets, num: int, den: int) -> DataFrame:
+    a = small.select("key", "keys", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("__a"))
+    b = small.select("key", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("__b"))
+    pairs = a.join(b, "key").where("a < b AND __a <> __b").where(_alike("n_a", "n_b", num, den))
+    pairs = pairs.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("keys").alias("keys"))
+    return _verified(stored(pairs.where(F.col("keys") >= shared_enough("n_a", "n_b", num, den)).drop("keys"), "pairs"), sets, num, den)
+
+
+def _gathered(large: DataFrame) -> DataFrame:
+    """(cls, n, key): the members of keys with many members, where keys that share members are one, unless that is far larger than each of them.
+
+    All keys of a group of near copies have much the same members, which are so
+    compared once and not once for each key.
+    """
+    spread = large.withColumn("first", F.min("cls").over(W.partitionBy("key")))
+    groups = connected_components(spread.select(F.col("cls").alias("a"), F.col("first").alias("b"))).withColumnsRenamed({"node": "cls", "component": "group"})
+    rows = large.join(groups, "cls")
+    sizes = rows.groupBy("group").agg(F.countDistinct("cls").alias("all"), F.max("k").alias("most"))
+    one = F.col("all") <= GATHERED * F.col("most")
+    rows = rows.join(sizes, "group").select("cls", "n", F.when(one, F.col("group")).otherwise(F.col("key")).alias("key"))
+    return stored(rows.distinct(), "many")
+
+
+def _block_pairs(large: DataFrame, sets: _Sets, num: int, den: int) -> DataFrame:
+    keys = large.groupBy("key").agg(F.max("n").alias("largest"), F.count("*").alias("k")).where("k > 1")
+    blocks = F.greatest(F.ceil(F.col("k") * F.col("largest") / F.lit(BLOCK)), F.ceil(F.col("k") / F.lit(CLASSES))).cast("int")
+    rows = large.join(keys, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls", "key"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cls", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    found = rows.join(sets.of(large.select("cls")), "cls")
+    return found.groupBy("key", "p", "q").applyInPandas(_block_links(num, den), "a long, b long")
+
+
+def class_links(docs: DataFrame, profiles: DataFrame, names: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(a, b): links between classes, of which at least a forest for each component."""
+    repeated = bool(profiles.groupBy("doc_id").count().where("count > 1").limit(1).count())
+    sets = _Sets(docs, names, n, repeated)
+    members = _kept_keys(profiles, num, den)
+    links = _hub_links(members, sets, num, den)
+    rest = _open_keys(members, links)
+    small, large = rest.where(F.col("k") <= PAIRED), rest.where(F.col("k") > PAIRED)
+    links = links.unionByName(_pair_links(small, sets, num, den))
+    if large.limit(1).count():
+        links = links.unionByName(_block_pairs(_gathered(large), sets, num, den))
+    return links
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -278,29 +298,32 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     docs has doc_id and text; other columns are left out. Two documents link when
     den * intersection >= num * union of their sets. Null and empty texts have an
     empty set and link with nothing, not even each other. Repeated rows are
-    repeated in the result; rows with a null doc_id are kept, as their own
-    component null unless they have a twin.
+    repeated in the result. A row with a null doc_id can't be named, so it links
+    with nothing, and its component is null.
     """
     profiles = stored(ngram_profiles(docs, n, num, den), "profiles")
-    filled = profiles.where("n_shingles > 0")
-    links = class_links(docs, filled, n, num, den)
-    comps = stored(connected_components(links), "components").withColumnRenamed("node", "cls")
-    first = filled.groupBy("cls").agg(F.min("doc_id").alias("first")).join(comps, "cls", "left")
-    first = first.withColumn("component", F.coalesce("component", "cls"))
-    named = first.groupBy("component").agg(F.min("first").alias("component_id"))
-    first = first.join(named, "component").select("cls", "component_id")
+    filled = profiles.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    names = stored(filled.groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "classes")
+    parts = stored(connected_components(class_links(docs, filled, names, n, num, den)), "components").withColumnRenamed("node", "cls")
+    named = names.join(parts, "cls").select("component", F.col("doc_id").alias("component_id")).groupBy("component").agg(F.min("component_id").alias("component_id"))
+    linked = parts.join(named, "component").select("cls", "component_id")
+    first = names.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "doc_id").alias("component_id"))
     kept = filled.select("doc_id", "n_shingles", "cls").join(first, "cls").select("doc_id", "n_shingles", "component_id")
-    return kept.unionByName(profiles.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return kept.unionByName(profiles.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def without_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs (doc_id, text, ...) with one document of each component: that with the smallest doc_id.
 
     Documents with an empty set or a null doc_id stay. Of rows that repeat a doc_id
-    and text, one stays. The list of those that go is broadcast if it is short.
+    and text, one stays.
     """
     comps = stored(ngram_components(docs, n, num, den), "components")
     gone = stored(comps.where("component_id < doc_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= LISTED else gone, "doc_id", "left_anti")
+    if gone.count() <= LISTED:
+        kept = docs.join(F.broadcast(gone), "doc_id", "left_anti")
+    else:
+        asked = marked(docs, "doc_id", gone)
+        kept = asked.where("NOT __hit").unionByName(asked.where("__hit").join(gone, "doc_id", "left_anti")).drop("__hit")
     repeated = comps.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
