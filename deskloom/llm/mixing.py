@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deskloom.llm.shared import stored, uniform, word_count
+from deskloom.llm.shared import numbered, stored, word_count
 
-#: Intervals of the random order, in each of which the words are summed before one of them is looked into.
-BINS = 4096
+#: Intervals of the ranks in which words are summed before one of them is looked into, and how often.
+BINS, LEVELS = 4096, 2
 #: A document is large if it has more than one part in so many of what its source lacks.
 LARGE = 64
+#: Inclusion probabilities of the rest lie between this and 1 less it.
+LEAST = 1e-9
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
@@ -19,23 +21,20 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), m
 
     The sources, ordered by code point with null last, weigh weights in turn and
     share all words. A target stops at most times its source's size; what is over
-    goes to the others by weight, until none is above. That is one level: a source
-    is at its cap if the level that the earlier ones leave, in order of cap by
-    weight, reaches it. The table has a row for each source, and two windows over
-    it order them.
+    goes to the others by weight, until none is above. Each round is a sum over
+    the table of sources.
     """
-    turn = (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    rows = sources.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (turn + 1).cast("int")))
-    rows = rows.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    all_rows = W.partitionBy()
-    by = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    total, weight = F.sum("source_size").over(all_rows), F.sum("weight").over(all_rows)
-    left = total - F.coalesce(F.sum("cap").over(by), F.lit(0.0))
-    share = weight - F.coalesce(F.sum("weight").over(by), F.lit(0.0))
-    rows = rows.withColumns({"__left": left, "__share": share}).withColumn("__full", F.col("cap") * F.col("__share") <= F.col("weight") * F.col("__left"))
-    # the first source below its cap sees the level that holds for all the rest
-    level = F.min(F.when(~F.col("__full"), F.struct(F.col("cap") / F.col("weight"), F.col("__left") / F.col("__share")))).over(all_rows)["col2"]
-    target = F.when(F.col("__full"), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * level))
+    rows = numbered(sources, F.col("source").asc_nulls_last(), name="turn")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("turn") % len(weights) + 1).cast("int"))
+    rows = stored(rows.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most))), "sources")
+    total, level, full = rows.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while True:
+        over = F.col("cap") < F.col("weight") * F.lit(level)
+        capped, left, count = rows.agg(F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight"))), F.count_if(over)).first()
+        if count == full or not left:
+            break
+        full, level = count, (total - (capped or 0.0)) / left
+    target = F.least(F.col("cap"), F.col("weight") * F.lit(level))
     return rows.withColumn("target", target.cast("double")).select("source", "source_size", "target")
 
 
@@ -45,106 +44,131 @@ def _same(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     return a.join(b, F.col("source").eqNullSafe(F.col("__source")), how).drop("__source")
 
 
-def _first(items: DataFrame, goals: DataFrame) -> DataFrame:
-    """Those items (source, rank, size, ...) that come first in their source's order, up to its goal of words.
+def pareto_odds(u: Column, inclusion: Column) -> Column:
+    """The rank of Pareto order sampling: random odds divided by inclusion odds."""
+    return (u / (1 - u)) / (inclusion / (1 - inclusion))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """rows (size, hash, lack, scale) with inclusion, tier and rank: the Pareto quotient q as q / (1 + q)."""
+    inclusion = F.least(F.lit(1 - LEAST), F.greatest(F.lit(LEAST), F.col("scale") * F.col("size")))
+    u = (F.shiftrightunsigned("hash", 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
+    rows = rows.withColumn("inclusion", inclusion).withColumn("rank", pareto_odds(u, F.col("inclusion")))
+    over, large = F.col("size") > F.col("lack"), F.col("size") * LARGE > F.col("lack")
+    tier = F.when((F.col("size") <= 0) | (F.col("lack") <= 0), F.lit(None)).when(over, "over").when(large, "large").otherwise("small")
+    return rows.withColumn("rank", F.col("rank") / (1 + F.col("rank"))).withColumn("tier", tier)
+
 
-    The order is cut into BINS intervals, whose words are summed; only the interval
-    in which the goal lies is gone through row by row. The last item is taken if that
-    comes closer to the goal.
+def _place() -> Column:
+    return F.struct("rank", "hash")
+
+
+def _cuts(items: DataFrame, goals: DataFrame, name: str) -> DataFrame:
+    """(source, name): the last place of those items (source, rank, hash, size) that come first in their source, up to its goal of words.
+
+    Ranks are cut into intervals, whose words are summed, and the one in which the
+    goal lies is cut again; what is left of it is gone through row by row. The last
+    item is in if that comes closer to the goal.
     """
-    items = items.withColumn("bin", F.floor(F.col("rank") * BINS).cast("int"))
-    bins = items.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(W.partitionBy("source").orderBy("bin"))
-    bins = _same(bins.withColumn("upto", upto), goals).withColumn("before", F.col("upto") - F.col("words"))
-    edges = bins.where("before <= goal AND goal < upto").select("source", F.col("bin").alias("edge"), "before")
-    items = _same(_same(items, goals.where("goal > 0")), edges, "left")
-    whole = items.where("edge IS NULL OR bin < edge")
-    within = W.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    before = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    fits = before + F.col("size") * F.lit(0.5) <= F.col("goal")
-    part = items.where("bin = edge").withColumn("fits", fits)
+    goals = goals.where("goal > 0")
+    rows, low = _same(items, goals.withColumn("before", F.lit(0).cast("long"))), None
+    for level in range(1, LEVELS + 1):
+        rows = rows.withColumn("bin", F.floor(F.col("rank") * float(BINS**level)))
+        bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("goal").alias("goal"), F.first("before").alias("before"))
+        upto = F.col("before") + F.sum("words").over(W.partitionBy("source").orderBy("bin"))
+        bins = bins.withColumn("upto", upto).where("upto - words <= goal AND goal < upto")
+        edges = stored(bins.select("source", F.col("bin").alias("edge"), (F.col("upto") - F.col("words")).alias("start")), "edges")
+        low = edges if low is None else low
+        rows = _same(rows, edges).where("bin = edge").drop("before", "edge", "bin").withColumnRenamed("start", "before")
+    whole = _same(goals.select("source"), low.select("source"), "left_anti").select("source", F.struct(F.lit(2.0).alias("rank"), F.lit(0).cast("long").alias("hash")).alias(name))
+    none = F.struct((F.col("edge") / float(BINS**LEVELS)).alias("rank"), F.lit(-(1 << 63)).alias("hash"))
+    begun = edges.select("source", none.alias(name))
+    within = W.partitionBy("source").orderBy("rank", "hash").rowsBetween(W.unboundedPreceding, -1)
+    fits = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") * F.lit(0.5) <= F.col("goal")
     # after the first that doesn't fit, none is taken
-    part = part.withColumn("fits", F.min("fits").over(within.rowsBetween(W.unboundedPreceding, 0))).where("fits").drop("fits")
-    return whole.unionByName(part).drop("bin", "goal", "edge", "before")
+    rows = rows.withColumn("fits", fits).withColumn("fits", F.min("fits").over(within.rowsBetween(W.unboundedPreceding, 0)))
+    some = rows.where("fits").select("source", _place().alias(name))
+    return whole.unionByName(begun.unionByName(some).groupBy("source").agg(F.max(name).alias(name)))
 
 
-def pareto_odds(u: Column, inclusion: Column) -> Column:
-    """The rank of Pareto order sampling: random odds divided by inclusion odds."""
-    return (u / (1 - u)) / (inclusion / (1 - inclusion))
+def _words(sized: DataFrame, plan: DataFrame, tier: str) -> DataFrame:
+    """(source, got): the words of a tier up to its cut."""
+    rows = _ranked(_same(sized, plan)).where(f"tier = '{tier}'").where(_place() <= F.col(tier))
+    return rows.groupBy("source").agg(F.sum("size").alias("got"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
-    """One row for each of docs (doc_id, source, text): doc_id, source, size, source_size, target, copies, taken.
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    """docs with size and hash added: a random number that depends on seed, doc_id and text alone."""
+    return docs.withColumns({"size": word_count(F.col("text")), "hash": F.xxhash64(F.lit(seed), "doc_id", "text")})
+
+
+def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3, seed: int = 17) -> DataFrame:
+    """One row for each source of docs: its size and target, how many whole copies are certain, and the last places that the rest takes.
 
     A document is expected to be taken target / source_size times. The whole part
-    of that number is certain. For the rest, the inclusion probability is the
-    fraction: documents are ranked by Pareto odds, and a source takes the first of
-    them up to the words that it still lacks, large documents before small ones,
-    so that the small ones make up for what the large ones leave. Of the documents
-    with more words than their source lacks, which come before all others, the
-    first is taken that brings the source nearer to their share.
-
-    size counts words (null text: 0), null is a source like others. Ranks follow
-    from seed and doc_id, so reruns agree, and repeated rows stand next to each
-    other. An empty table gives an empty result.
+    of that number is certain. What a source then lacks is a sample with a fixed
+    size in words: a document's inclusion probability is proportional to its own
+    words, and documents are taken by Pareto rank. Large documents are drawn before
+    small ones, which make up for what the large ones leave. Of the documents with
+    more words than their source lacks, which come before all others, the first
+    is taken that brings the source nearer to what is expected of them.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sized = stored(sized.withColumn("u", uniform(F.col("doc_id"), seed=seed)), "sized")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = stored(source_targets(sources, weights, float(most)), "targets")
-    times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = plan.withColumn("whole", F.floor(times + 1e-12).cast("int"))
-    plan = plan.withColumn("lack", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    plan = plan.withColumn("inclusion", F.when(F.col("source_size") > 0, F.col("lack") / F.col("source_size")))
-
-    rest = _same(sized, plan.where("lack > 0").select("source", "lack", "inclusion")).where("size > 0")
-    # for one source the odds follow u: its rank among the bins is that of its odds
-    rest = rest.withColumn("odds", pareto_odds(F.col("u"), F.col("inclusion")))
-    rest = rest.withColumn("rank", F.col("odds") * F.col("inclusion") / (1 - F.col("inclusion") + F.col("odds") * F.col("inclusion")))
-    over, big = F.col("size") > F.col("lack"), F.col("size") * LARGE > F.col("lack")
-    rest = rest.withColumn("tier", F.when(over, "over").when(big, "large").otherwise("small"))
-    words = [F.coalesce(F.sum(F.when(F.col("tier") == t, F.col("size"))), F.lit(0)).alias(t) for t in ("over", "large", "small")]
-    sums = rest.groupBy("source", "lack", "inclusion").agg(*words)
-    key = ["doc_id", "source", "size", "rank"]
+    sized = stored(_sized(docs.select("doc_id", "source", "text"), seed).select("source", "size", "hash"), "sized")
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") * F.col("size")).cast("decimal(38,0)")).cast("double").alias("squares"))
+    sources = stored(sources, "sizes")
+    plan = _same(source_targets(sources.select("source", "source_size"), weights, most), sources.select("source", "squares"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)
+    plan = plan.withColumn("whole", whole.cast("int")).withColumn("lack", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
+    # the probabilities add up to as many words as are lacking
+    plan = stored(plan.withColumn("scale", F.when(F.col("squares") > 0, F.col("lack") / F.col("squares")).otherwise(0.0)).drop("squares"), "plan")
+
+    rest = _ranked(_same(sized, plan)).where("tier IS NOT NULL")
+    tier = lambda t, x: F.coalesce(F.sum(F.when(F.col("tier") == t, x)), F.lit(0)).alias
+    expected = (F.col("inclusion") * F.col("size") * 1024).cast("long")
+    sums = rest.groupBy("source").agg(*(tier(t, F.col("size"))(t) for t in ("over", "large", "small")), *(tier(t, expected)(f"want_{t}") for t in ("over", "large", "small")))
+    sums = stored(_same(sums, plan.select("source", "lack")), "sums")
 
     # after one document with more words than are lacking, a second comes no nearer
-    share = F.greatest(F.col("inclusion") * F.col("over"), F.col("lack") - F.col("large") - F.col("small"))
-    nearer = _same(rest.where("tier = 'over'").select(*key), sums.select("source", share.alias("goal"))).where("size * 0.5D <= goal")
-    first = nearer.groupBy("source").agg(F.min(F.struct("rank", "doc_id", "size")).alias("first"))
-    over = stored(first.select("first.doc_id", "source", "first.size", "first.rank"), "over")
-
-    goals = _same(sums, over.select("source", F.col("size").alias("got")), "left").withColumn("lack", F.col("lack") - F.coalesce("got", F.lit(0)))
-    share = F.least(F.lit(1.0), F.col("lack") / F.greatest(F.col("large") + F.col("small"), F.lit(1)))
-    goals = goals.withColumn("goal", F.least(F.col("large").cast("double"), F.greatest(share * F.col("large"), F.col("lack") - F.col("small"))))
-    large = stored(_first(rest.where("tier = 'large'").select(*key), goals.select("source", "goal")), "large")
-    got = large.groupBy("source").agg(F.sum("size").alias("got"))
-    goals = _same(goals.select("source", "lack"), got, "left").select("source", (F.col("lack") - F.coalesce("got", F.lit(0))).alias("goal"))
-    small = _first(rest.where("tier = 'small'").select(*key), goals)
-    chosen = over.unionByName(large).unionByName(small).groupBy("doc_id", "source", "size").agg(F.count("*").alias("extra"))
-
-    rows = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
-    keys = [rows["doc_id"].eqNullSafe(chosen["doc_id"]), rows["source"].eqNullSafe(chosen["source"]), rows["size"] == chosen["size"]]
-    rows = rows.join(chosen, keys, "left").select(rows["doc_id"], rows["source"], rows["size"], "rows", F.coalesce("extra", F.lit(0)).alias("extra"))
-    # repeated rows are one row here, of which the first ones are taken once more
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    rows = _same(rows, plan.select("source", "source_size", "target", "whole"))
-    copies = (F.col("whole") + (F.col("i") <= F.col("extra")).cast("int")).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    share = F.greatest(F.col("want_over") / 1024, F.col("lack") - F.col("large") - F.col("small"))
+    nearer = _same(rest.where("tier = 'over'").select("source", "rank", "hash", "size"), sums.select("source", share.alias("goal"))).where("size * 0.5D <= goal")
+    over = stored(nearer.groupBy("source").agg(F.min(F.struct("rank", "hash", "size")).alias("first")), "over")
+    plan = _same(plan, over.select("source", F.struct("first.rank", "first.hash").alias("over")), "left")
 
+    goals = _same(sums.drop("over"), over.select("source", F.col("first.size").alias("got")), "left").withColumn("lack", F.col("lack") - F.coalesce("got", F.lit(0)))
+    share = F.least(F.lit(1.0), F.col("want_large") / F.greatest(F.col("want_large") + F.col("want_small"), F.lit(1))) * F.col("lack")
+    goals = goals.withColumn("goal", F.least(F.col("large").cast("double"), F.greatest(share, F.col("lack") - F.col("small"))))
+    place = ["source", "rank", "hash", "size"]
+    cuts = stored(_cuts(rest.where("tier = 'large'").select(*place), goals.select("source", "goal"), "large"), "large")
+    plan = stored(_same(plan, cuts, "left"), "plan")
+    goals = _same(goals.select("source", "lack"), _words(sized, plan, "large"), "left")
+    goals = goals.select("source", (F.col("lack") - F.coalesce("got", F.lit(0))).alias("goal"))
+    return stored(_same(plan, _cuts(rest.where("tier = 'small'").select(*place), goals, "small"), "left"), "plan")
+
+
+def _with_copies(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """sized (source, size, hash, ...) with the columns of plan, rank and copies. The plan has a row for each source, and Spark broadcasts it if its file is small."""
+    rows = _ranked(_same(sized, plan))
+    extra = F.when(F.col("tier") == "over", _place() == F.col("over")).when(F.col("tier") == "large", _place() <= F.col("large")).when(F.col("tier") == "small", _place() <= F.col("small"))
+    return rows.withColumn("copies", F.col("whole").cast("long") + F.coalesce(extra, F.lit(False)).cast("long"))
 
-def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
-    """docs with each row as often as the mix takes it.
 
-    Copies are told per doc_id and source, so the rows that repeat one share its
-    copies in the order of their texts.
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
+    """One row for each of docs (doc_id, source, text): doc_id, source, size, source_size, target, rank, copies, taken.
+
+    The mix is that of mix_plan. size counts words (null text: 0), null is a source
+    like others, rank is the Pareto rank within the source's tier, taken is copies
+    times size. Ranks follow from seed, doc_id and text, so reruns agree, and rows
+    that repeat both within a source are taken together. An empty table gives an
+    empty result.
     """
-    plan = stored(mix_sources(docs, weights, most, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "plan")
-    key = [F.col("doc_id").eqNullSafe(F.col("__d")), F.col("source").eqNullSafe(F.col("__s")), word_count(F.col("text")) == F.col("__n")]
-    plan = plan.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("copies").alias("__copies"), F.col("rows").alias("__rows"))
-    rows = docs.join(plan, key)
-    turn = F.row_number().over(W.partitionBy("__d", "__s", "__n").orderBy(F.xxhash64("text"))) - 1
-    once = rows.where("__rows = 1").withColumn("__take", F.col("__copies").cast("int"))
-    share = F.floor(F.col("__copies") / F.col("__rows")) + (turn < F.col("__copies") % F.col("__rows")).cast("int")
-    more = rows.where("__rows > 1").withColumn("__take", share.cast("int"))
-    taken = once.unionByName(more).where("__take > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__take"))))
-    return taken.select(*docs.columns)
+    plan = mix_plan(docs, weights, most, seed)
+    rows = _with_copies(_sized(docs.select("doc_id", "source", "text"), seed).drop("text"), plan)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "rank", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
+    """docs with each row as often as the mix takes it, with docs' columns alone. The rows stay where they are: only the plan is sent."""
+    plan = mix_plan(docs, weights, most, seed)
+    rows = _sized(docs.select(F.struct("*").alias("__row"), "doc_id", "source", "text"), seed).drop("doc_id", "text")
+    taken = _with_copies(rows, plan).where("copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select("__row.*")

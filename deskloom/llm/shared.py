@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space, \t, \n, \v, \f and \r.
@@ -13,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset in a local session (tests) one of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='deskloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,3 +48,13 @@ def uniform(*cols: Column, seed: int) -> Column:
     """A number in (0, 1) that depends on the values and the seed alone, so reruns agree."""
     h = F.xxhash64(F.lit(seed), *cols)
     return (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
+
+
+def numbered(df: DataFrame, *order: Column, name: str) -> DataFrame:
+    """df with its rows numbered from 0 in an order: ranges are sorted and numbered each, and only their sizes meet."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    parts = stored(parts, "ranges")
+    sizes = parts.groupBy("__part").agg(F.min("__at").alias("__low"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("__before", before).drop("__n")
+    return parts.join(F.broadcast(sizes), "__part").withColumn(name, F.col("__before") + F.col("__at") - F.col("__low")).drop("__part", "__at", "__low", "__before")

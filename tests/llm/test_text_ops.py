@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from deskloom.llm import bloom, bpe, components, language, mixing, ngram_join, quality
+from deskloom.llm import shingles as ngrams
 from deskloom.llm.queries import ORACLE, QUERIES, VOCABULARY
-from deskloom.llm.shared import documents
+from deskloom.llm.shared import documents, numbered
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -105,6 +109,30 @@ def test_ngram_join_of_a_large_group(spark, monkeypatch, paired):
     assert got == classes(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize("chunk", [1 << 19, 64, 1000])
+def test_ngram_sets(monkeypatch, chunk):
+    monkeypatch.setattr(ngrams, "CHUNK", chunk)
+    monkeypatch.setattr(ngrams._Powers, "up", np.ones(1, np.uint64))
+    r = random.Random(1)
+    words = ["a", "A", "bb", "é", "É", "x y", "日本", "q" * 40, "-", " ", "\n", "\t \r", "\x0b"]
+    texts = [None if r.random() < 0.05 else "".join(r.choice(words) + r.choice(["", " ", "  ", "\n"]) for _ in range(r.randint(0, 14))) for _ in range(1500)]
+    texts += ["w" * 3000 + " b c d " + "z" * 100, "b c d " * 50, ("w" * 50 + " ") * 300, "w" * 2000]
+    for n in (1, 3, 5):
+        seen, back = {}, {}
+        for text, got in zip(texts[3:], ngrams.ngram_sets(pa.array(texts).slice(3), n), strict=True):
+            want, key = shingles(text, n), got.tobytes()
+            assert len(got) == len(want) and seen.setdefault(key, want) == want and back.setdefault(want, key) == key
+
+
+def test_ngram_join_of_templated_documents(spark, monkeypatch):
+    """Many short documents with one template: no block holds more than CLASSES of them on a side."""
+    monkeypatch.setattr(ngram_join, "CLASSES", 150)
+    monkeypatch.setattr(ngram_join, "PAIRED", 20)
+    rows = [(i, f"dear customer {i // 2} your parcel number has now arrived safely here {'today' if i % 2 else 'again'} and we thank you for all your patience") for i in range(800)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == classes(rows, 3, 90, 100)
+
+
 def test_ngram_join_of_odd_rows(spark):
     rows = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(odd(spark), 3, 90, 100).collect()]
     assert len(rows) == len(ODD)
@@ -340,6 +368,52 @@ def test_mixing_takes_documents_longer_than_what_is_lacking(spark):
     assert words_taken(spark, {"a": [20000] + [200] * 100, "b": [1600] * 25}, (4, 46)) == {"a": (6400, 6400), "b": (73600, 73600)}
 
 
+def test_mixing_takes_by_pareto_rank(spark):
+    """The rest of a source is a prefix of the ranks that odds over inclusion odds give, of large documents and then of small ones."""
+    r = random.Random(3)
+    sizes = [r.choice([5, 20, 60, 150, 400, 900]) for _ in range(400)]
+    docs = spark.createDataFrame([(i, "w " * n, "a" if i % 2 else "b") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    rows = mixing.mix_sources(docs, (3, 7)).collect()
+    for source in ("a", "b"):
+        own = [x for x in rows if x.source == source]
+        whole = int(own[0].target // own[0].source_size)
+        lack = own[0].target - whole * own[0].source_size
+        scale = lack / sum(x.size**2 for x in own)
+        hashes = {x.doc_id: x.h for x in docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("h")).collect()}
+        for x in own:
+            u, p = ((hashes[x.doc_id] % (1 << 64) >> 11) + 0.5) * 2.0**-53, min(1 - 1e-9, max(1e-9, scale * x.size))
+            q = (u / (1 - u)) / (p / (1 - p))
+            assert x.rank == pytest.approx(q / (1 + q), rel=1e-9)
+        large = [x for x in own if lack < 64 * x.size <= 64 * lack]
+        small = [x for x in own if 64 * x.size <= lack]
+        want = [sum(min(1, scale * x.size) * x.size for x in some) for some in (large, small)]
+        left = lack
+        goal, taken = min(sum(x.size for x in large), max(lack * want[0] / sum(want), lack - sum(x.size for x in small))), set()
+        for some in (large, small):
+            upto = 0
+            for x in sorted(some, key=lambda x: x.rank):
+                if upto + x.size / 2 > goal:
+                    break
+                upto += x.size
+                taken.add(x.doc_id)
+            goal = left = left - upto
+        assert {x.doc_id for x in own if x.copies > whole} == taken and abs(left) <= 10
+
+
+def test_pareto_inclusion_follows_size(spark):
+    """Documents three times as long are taken three times as often."""
+    docs = spark.createDataFrame([(i, "w " * (30 if i % 2 else 10), "a" if i < 4000 else "b") for i in range(6000)], "doc_id long, text string, source string")
+    rows = mixing.mix_sources(docs, (1, 4)).where("source = 'a'").groupBy("size").agg(F.avg("copies").alias("share"), F.first("target").alias("target")).collect()
+    for x in rows:
+        assert x.share == pytest.approx(x.size * x.target / (2000 * (30**2 + 10**2)), abs=0.03)
+
+
+def test_numbered(spark):
+    rows = [(i * 37 % 1000, str(i)) for i in range(1000)] + [(None, "n")]
+    got = numbered(spark.createDataFrame(rows, "k long, v string").repartition(7), F.col("k").asc_nulls_last(), name="at").collect()
+    assert [r.k for r in sorted(got, key=lambda r: r["at"])] == [*range(1000), None] and sorted(r["at"] for r in got) == list(range(1001))
+
+
 def test_pareto_ranks_follow_inclusion(spark):
     """Units with larger inclusion odds are taken more often: the mean rank falls with them."""
     from deskloom.llm.shared import uniform
