@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 
 #: Fixed value: the pattern that splits text into words before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct words whose encodings a worker keeps at least, and at most half of those it holds.
-KEPT = 350_000
+#: Distinct words whose encodings a worker keeps at least, and at most half of those it holds; pairs of tokens that it keeps. Both together take about 80 MB.
+KEPT, PAIRS_KEPT = 100_000, 200_000
+#: Characters of the longest word that is kept.
+LONGEST_KEPT = 200
 #: Rows that are turned into Python objects at once, and characters of text after which their words are encoded.
 ROWS, CHUNK = 500, 2 << 20
 
@@ -42,6 +44,8 @@ class Merges:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if spec.get("normalizer") or spec["model"].get("ignore_merges") or any(not x["special"] for x in spec["added_tokens"]):
+            raise ValueError(f"{path} has a normalizer, ignore_merges or added tokens that aren't special, which aren't supported")
         letters = byte_letters()
         self.id_of = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"] if x["special"]}
@@ -85,7 +89,7 @@ class Merges:
                 undone, a, from_right = pa_[0], pa_[2], False
             else:
                 undone, b, from_right = pb_[0], pb_[1], True
-        if len(self.fits_cache) > 2_000_000:
+        if len(self.fits_cache) >= PAIRS_KEPT:
             self.fits_cache.clear()
         self.fits_cache[key] = out
         return out
@@ -148,12 +152,14 @@ def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, list[i
         if len(kept[0]) > KEPT:
             kept[:] = [{}, kept[0]]
         known, older = kept
-        todo = {}
+        todo, long = {}, []
         for w in words - known.keys():
             if (ids := older.get(w)) is not None:
                 known[w] = ids
             else:
                 todo[w.encode("utf-8")] = w
+                if len(w) > LONGEST_KEPT:
+                    long.append(w)
         for b, ids in vocabulary.encode_words(list(todo)).items():
             known[todo[b]] = array("i", ids).tobytes()
         known.update(specials)
@@ -161,6 +167,8 @@ def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, list[i
             got = b"".join(map(known.__getitem__, pieces))
             out.append(got)
             lengths.append(len(got) // 4)
+        for w in long:
+            del known[w]
 
     pending, size = [], 0
     for text in texts:
@@ -181,17 +189,28 @@ def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, list[i
     return np.frombuffer(b"".join(out), np.int32), lengths
 
 
-def _arrow(df: DataFrame, column: str, made: T.DataType, run) -> DataFrame:
-    """df with a column, replaced if there is one: run(batch's other column) for each Arrow batch."""
-    kept = [f for f in df.schema.fields if f.name != column]
+def _arrow(df: DataFrame, made: dict[str, T.DataType], run) -> DataFrame:
+    """df with columns, replaced if there are such: what run makes of each part of an Arrow batch."""
+    kept = [f for f in df.schema.fields if f.name not in made]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), run(batch)], [*(f.name for f in kept), column])
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *run(batch)], [*(f.name for f in kept), *made])
 
-    return df.mapInArrow(batches, T.StructType([*kept, T.StructField(column, made)]))
+    return df.mapInArrow(batches, T.StructType([*kept, *(T.StructField(x, t) for x, t in made.items())]))
+
+
+def _encoded(texts: pa.Array, path: str) -> pa.Array:
+    flat, lengths = encode_texts(texts.to_pylist(), path)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(flat))
+
+
+def _decoded(ids: pa.Array, path: str) -> pa.Array:
+    table = merges(path)[0].bytes_of
+    rows = (x.values.to_numpy().tolist() if x.is_valid else [] for x in ids)
+    return pa.array([b"".join(map(table.__getitem__, x)).decode("utf-8", "replace") for x in rows], pa.string())
 
 
 def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -204,26 +223,27 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -
     column ids is replaced.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.Array:
-        flat, lengths = encode_texts(batch.column(text).to_pylist(), path)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(flat))
-
-    return _arrow(df, ids, T.ArrayType(T.IntegerType()), run)
+    return _arrow(df, {ids: T.ArrayType(T.IntegerType())}, lambda batch: [_encoded(batch.column(text), path)])
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text of each array of ids, special tokens included; bytes that aren't UTF-8 become U+FFFD. A null array is empty."""
 
-    def run(batch: pa.RecordBatch) -> pa.Array:
-        table = merges(path)[0].bytes_of
-        rows = (x.values.to_numpy().tolist() if x.is_valid else [] for x in batch.column(ids))
-        return pa.array([b"".join(map(table.__getitem__, x)).decode("utf-8", "replace") for x in rows], pa.string())
+    return _arrow(df, {text: T.StringType()}, lambda batch: [_decoded(batch.column(ids), path)])
+
+
+def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """df with the ids of each text as of bpe_encode and what bpe_decode makes of them, in one pass over the rows."""
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        found = _encoded(batch.column(text), path)
+        return [found, _decoded(found, path)]
 
-    return _arrow(df, text, T.StringType(), run)
+    return _arrow(df, {ids: T.ArrayType(T.IntegerType()), decoded: T.StringType()}, run)
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of docs (doc_id, text), encoded and decoded."""
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    coded = bpe_round_trip(docs.select("doc_id", "text"), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
