@@ -133,9 +133,14 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
+    """The rows of docs that are kept, with all their columns.
+
+    The verdict becomes an element of an array that is exploded: a filter on it
+    can't be merged with the measures, which would then be computed for each use.
+    """
     row = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__text"))
-    return quality_verdict(quality_measures(row, "__text"), rules).where("kept").select("__row.*")
+    judged = quality_verdict(quality_measures(row, "__text"), rules)
+    return judged.select("__row", F.explode(F.array("kept")).alias("kept")).where("kept").select("__row.*")
 
 
 def rules_sql(rules: tuple[Rule, ...] = RULES) -> str:
