@@ -23,7 +23,7 @@ LEAKS = (
 #: Patterns of placeholders, policy keys, links and addresses.
 PLACEHOLDER = r"\[CHAIR:\s*([^\]]*)\]"
 POLICY_KEY = r"policy_\d+|int_[a-z0-9-]+"
-FORUM_ID = r"openreview\.net/(?:forum|pdf)\?id=([A-Za-z0-9]{10})(?:[^A-Za-z0-9]|$)"
+FORUM_ID = r"(?i:openreview\.net/(?:forum|pdf)\?id=)([A-Za-z0-9]{10})(?![A-Za-z0-9])"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 LINK = r"https?://\S+"
 #: Lines that begin a quoted tail.

@@ -88,7 +88,7 @@ def claims(spark, d):
 
 @R.add(
     "w8_governance",
-    """WITH RECURSIVE e AS (SELECT 'policy_' || user_id AS root_key, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_id % 10 = 0),
+    """WITH RECURSIVE e AS (SELECT 'policy_' || user_id AS root_key, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
     s AS (SELECT DISTINCT root_key, CAST(0 AS BIGINT) AS i, 1 AS tip, 1 AS most, true AS live, [0] AS back FROM e
         UNION ALL SELECT s.root_key, e.i, CASE WHEN event_type = 'click' THEN most + 1 WHEN event_type = 'view' AND back[-1] > 0 THEN back[-1] ELSE tip END, CASE WHEN event_type = 'click' THEN most + 1 ELSE most END,
         CASE WHEN event_type = 'click' THEN true WHEN event_type = 'view' AND back[-1] > 0 THEN true WHEN event_type = 'purchase' THEN false WHEN event_type = 'signup' THEN true ELSE live END,
@@ -98,7 +98,7 @@ def claims(spark, d):
 )
 def governance(spark, d):
     kinds = F.create_map(*(F.lit(x) for kv in (("click", "edit"), ("view", "revert"), ("purchase", "delete"), ("signup", "reactivate")) for x in kv))
-    rows = table(spark, d, "events").where("event_id % 10 = 0")
+    rows = table(spark, d, "events")
     return po.after_governance(rows.select(F.concat(F.lit("policy_"), F.col("user_id").cast("string")).alias("root_key"), F.col("event_id").alias("seq"), F.coalesce(F.try_element_at(kinds, "event_type"), F.lit("note")).alias("action")))
 
 

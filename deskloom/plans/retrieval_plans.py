@@ -146,12 +146,12 @@ def multi_query(spark, d):
 
 @R.add(
     "j1_hydrate",
-    f"""{D} SELECT t.id, list({{'policy_key': p.policy_key, 'title': p.title}} ORDER BY pos) AS chunks FROM (SELECT doc_id AS id, unnest([doc_id + 5, doc_id + 2, doc_id + 100000000, doc_id]) AS k, unnest([1, 2, 3, 4]) AS pos FROM documents WHERE doc_id % 9 = 0) t
+    f"""{D} SELECT t.id, list({{'policy_key': p.policy_key, 'title': p.title}} ORDER BY pos) AS chunks FROM (SELECT doc_id AS id, unnest([doc_id + 5, doc_id + 2, doc_id + 100000000, doc_id]) AS k, unnest([1, 2, 3, 4]) AS pos FROM documents) t
     JOIN policies p ON p.id = t.k GROUP BY t.id""",
 )
 def hydrate(spark, d):
     key = lambda n: F.concat(F.lit("policy_"), (F.col("doc_id") + n).cast("string"))
-    rows = table(spark, d, "documents").where("doc_id % 9 = 0").select(F.col("doc_id").alias("id"), F.array(key(5), key(2), key(100000000), key(0)).alias("ids"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array(key(5), key(2), key(100000000), key(0)).alias("ids"))
     return re_.hydrate(rows, table(spark, d, "policies"), "ids", "policy_key", ["title"]).select("id", "chunks")
 
 
@@ -174,12 +174,12 @@ def reevaluation(spark, d):
 
 @R.add(
     "r18_r19_conflict_candidates",
-    f"""WITH {BM25.replace("SELECT item_id AS query_id, term", "SELECT query_id, term").replace("SELECT item_id, unnest", "SELECT doc_id AS query_id, unnest").replace("FROM benchmark) GROUP BY 1, 2", "FROM documents WHERE doc_id % 97 = 3) GROUP BY 1, 2").replace("FROM score WHERE score > 0", "FROM score WHERE score > 0 AND doc_id <> query_id")}
+    f"""WITH {BM25.replace("SELECT item_id AS query_id, term", "SELECT query_id, term").replace("SELECT item_id, unnest", "SELECT doc_id AS query_id, unnest").replace("FROM benchmark) GROUP BY 1, 2", "FROM documents WHERE doc_id % 20 = 0) GROUP BY 1, 2").replace("FROM score WHERE score > 0", "FROM score WHERE score > 0 AND doc_id <> query_id")}
     SELECT query_id, doc_id, score, rank FROM bm""",
 )
 def conflict_candidates(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    asked = docs.where("doc_id % 97 = 3").select(F.col("doc_id").alias("query_id"), "text")
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
     return re_.top_k(re_.bm25_scores(asked, docs, "doc_id", F.col("text"), F.col("text")).where("score > 0 AND doc_id <> query_id"), 10)
 
 

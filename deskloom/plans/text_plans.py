@@ -124,12 +124,12 @@ def send(spark, d):
 
 @R.add(
     "c15_c19_reply_parts",
-    r"""WITH x AS (SELECT doc_id, 'Reply:' || chr(10) || '[CHAIR: ' || source || ' ] ' || left(text, 80) || ' (see policy_' || doc_id || ', int_a-b) we will  check policy_7 , and policy_7 cannot confirm. [Sender name]' AS t FROM documents)
+    r"""WITH x AS (SELECT doc_id, 'Reply:' || chr(10) || '[CHAIR: ' || source || ' ] ' || text || ' (see policy_' || doc_id || ', int_a-b) we will  check policy_7 , and policy_7 cannot confirm. [Sender name]' AS t FROM documents)
     SELECT doc_id, list_transform(regexp_extract_all(t, '\[CHAIR:\s*([^\]]*)\]', 1), lambda h: trim(h)) AS placeholders,
     list_sort(list_distinct(regexp_extract_all(t, 'policy_\d+|int_[a-z0-9-]+'))) AS citations, len(regexp_extract_all(t, '(?i)\bwe\s+(?:will|''ll)\s+(?:look\s+into|check|verify|confirm|investigate|follow\s+up)')) + len(regexp_extract_all(t, '(?i)\b(?:cannot|can''?t|unable\s+to)\s+(?:confirm|verify|determine)\b')) AS n_leaks FROM x""",
 )
 def reply_parts(spark, d):
-    t = F.concat(F.lit("Reply:\n[CHAIR: "), F.col("source"), F.lit(" ] "), F.substring("text", 1, 80), F.lit(" (see policy_"), F.col("doc_id").cast("string"), F.lit(", int_a-b) we will  check policy_7 , and policy_7 cannot confirm. [Sender name]"))
+    t = F.concat(F.lit("Reply:\n[CHAIR: "), F.col("source"), F.lit(" ] "), F.col("text"), F.lit(" (see policy_"), F.col("doc_id").cast("string"), F.lit(", int_a-b) we will  check policy_7 , and policy_7 cannot confirm. [Sender name]"))
     return table(spark, d, "documents").select("doc_id", tx.placeholders(t).alias("placeholders"), F.array_sort(tx.citations(t)).alias("citations"), F.size(tx.leaks(t)).cast("long").alias("n_leaks"))
 
 
@@ -170,12 +170,12 @@ def method(spark, d):
     return table(spark, d, "tickets").select("id", F.when(F.col("n_placeholders") > 0, "llm").when(F.col("has_notes"), "regex").otherwise("none").alias("method"))
 
 
-@R.add("c20_labelled_lines", "SELECT item_id, CASE WHEN item_id % 5 = 0 THEN NULL ELSE [left(regexp_replace(text, '\\s+', ' ', 'g'), 20)] END AS queries FROM benchmark")
+@R.add("c20_labelled_lines", "SELECT item_id, CASE WHEN item_id % 5 = 0 THEN NULL ELSE [regexp_replace(text, '\\s+', ' ', 'g')] END AS queries FROM benchmark")
 def labelled_lines(spark, d):
-    body = F.trim(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 20))
+    body = F.trim(F.regexp_replace("text", r"\s+", " "))
     t = F.concat(F.when(F.col("item_id") % 5 == 0, F.lit("Q: ")).otherwise(F.lit("query:  ")), body, F.lit("\nQUERY: none\nINTENT: x"))
     t = F.when(F.col("item_id") % 5 == 0, F.lit("INTENT: x")).otherwise(t)
-    out = table(spark, d, "benchmark").select("item_id", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 20).alias("p"), tx.labelled_lines(t, "QUERY").alias("q"))
+    out = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", r"\s+", " ").alias("p"), tx.labelled_lines(t, "QUERY").alias("q"))
     return out.select("item_id", F.when(F.col("q").isNotNull(), F.array("p")).alias("queries"))
 
 
@@ -209,9 +209,9 @@ def stripped(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(tx.stripped_html(F.col("html"))).alias("preview"))
 
 
-@R.add("c25_paragraphs", "SELECT item_id, '<p>' || replace(replace(replace(trim(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 60)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p><p>a &lt; b<br>c</p>' AS html FROM benchmark")
+@R.add("c25_paragraphs", "SELECT item_id, '<p>' || replace(replace(replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p><p>a &lt; b<br>c</p>' AS html FROM benchmark")
 def paragraphs(spark, d):
-    t = F.concat(F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 60), F.lit("\n\n\na < b\nc"))
+    t = F.concat(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit("\n\n\na < b\nc"))
     return table(spark, d, "benchmark").select("item_id", tx.paragraphs(t).alias("html"))
 
 
@@ -264,11 +264,10 @@ def display(spark, d):
     return rows.select("id", tx.display_label(F.col("intent")).alias("label"), tx.initials(F.substring("sender", 1, 8)).alias("initials"), F.regexp_extract(age, r"^\d+([mhd]) ago$", 1).alias("unit"))
 
 
-@R.add("c37_template_draft", f"{D} SELECT category, md5('Thank you.' || chr(10) || chr(10) || string_agg(left(content, 30), chr(10) || chr(10) ORDER BY id) || chr(10) || chr(10) || 'Kind regards') AS draft FROM policies WHERE id % 20 = 1 GROUP BY category")
+@R.add("c37_template_draft", f"{D} SELECT id, md5('Thank you.' || chr(10) || chr(10) || concat_ws(chr(10) || chr(10), title, content) || chr(10) || chr(10) || 'Kind regards') AS draft FROM policies")
 def template_draft(spark, d):
-    chunks = F.transform(F.array_sort(F.collect_list(F.struct("id", F.substring("content", 1, 30).alias("t")))), lambda x: x["t"])
-    rows = table(spark, d, "policies").where("id % 20 = 1").groupBy("category").agg(F.array_join(chunks, "\n\n").alias("body"))
-    return rows.select("category", F.md5(F.concat_ws("\n\n", F.lit("Thank you."), "body", F.lit("Kind regards"))).alias("draft"))
+    """The draft that assembles a policy's two parts."""
+    return table(spark, d, "policies").select("id", F.md5(F.concat_ws("\n\n", F.lit("Thank you."), "title", "content", F.lit("Kind regards"))).alias("draft"))
 
 
 @R.add("c41_c42_c38_history", f"{T} SELECT id, CASE WHEN status = 'SENT' THEN CAST([] AS VARCHAR[]) ELSE [lane] END AS history, CASE WHEN owner_id IS NULL THEN NULL ELSE owner_id = 3 END AS by_requester, CASE lane WHEN 'faq' THEN 'DRAFT_GENERATED' ELSE 'DRAFT_FAILED' END AS lifecycle FROM tickets")

@@ -193,7 +193,7 @@ def test_submission_numbers(spark):
 
 
 def test_forum_ids_keep_their_case(spark):
-    t = "openreview.net/forum?id=Ab3xY9kLm2 openreview.net/pdf?id=ab3xy9klm2 openreview.net/group?id=Ab3xY9kLm2 openreview.net/forum?id=Ab3xY9kLm2xx"
+    t = "openreview.net/forum?id=Ab3xY9kLm2 OpenReview.net/PDF?id=ab3xy9klm2 openreview.net/group?id=Ab3xY9kLm2 openreview.net/forum?id=Ab3xY9kLm2xx"
     assert spark.createDataFrame([(t,)], "t string").select(text.forum_ids(F.col("t"))).first()[0] == ["Ab3xY9kLm2", "ab3xy9klm2"]
 
 
