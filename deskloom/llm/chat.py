@@ -33,6 +33,9 @@ def argument_error(name: Column, arguments: Column, schemas: dict[str, Schema])
             typed = F.lit(False)
             for t in TYPES[kind]:
                 typed = typed | F.schema_of_variant(value).startswith(t)
+            if kind == "integer":  # 1.0 is one too
+                number = F.try_variant_get(parsed, f"$.{key}", "double")
+                typed = typed | (F.schema_of_variant(value).rlike("^(DOUBLE|DECIMAL)") & (number == F.floor(number)))
             rest = F.when(~absent & ~typed, F.lit(f"{key} is not {kind}")).otherwise(rest)
             if required:
                 rest = F.when(absent, F.lit(f"{key} is missing")).otherwise(rest)
@@ -72,7 +75,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, Sch
     or call_id can't be linked: such calls are pending, such results orphans. Sorting
     by conv_id, level, call_turn and call_id orders calls topologically.
     """
-    key = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("call_id").cast("string"))
+    # the conversation's length keeps ids with colons apart
+    key_of = lambda call: F.concat(F.length(F.col("conv_id").cast("string")), F.lit(":"), F.col("conv_id").cast("string"), F.lit(":"), F.col(call).cast("string"))
+    key = key_of("call_id")
     first = F.min(F.struct("turn", "name", "arguments", "after_id"))
     calls = calls.withColumn("key", key)
     whole = calls.where("key IS NOT NULL").groupBy("key", "conv_id", "call_id").agg(first.alias("c")).select("key", "conv_id", "call_id", "c.*")
@@ -80,8 +85,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, Sch
     results = results.withColumn("key", key)
     answers = results.where("key IS NOT NULL").groupBy("key", "conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
     answers = answers.select("key", F.col("conv_id").alias("__conv"), F.col("call_id").alias("__call"), F.col("r.turn").alias("result_turn"), "r.content")
-    after = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("after_id").cast("string"))
-    levels = topological_levels(whole.select(F.col("key").alias("call_id"), after.alias("after_id"))).withColumnRenamed("call_id", "key")
+    levels = topological_levels(whole.select(F.col("key").alias("call_id"), key_of("after_id").alias("after_id"))).withColumnRenamed("call_id", "key")
     loose = calls.where("key IS NULL").select("key", "conv_id", "call_id", "turn", "name", "arguments", F.lit(0).cast("long").alias("level"), F.lit(True).alias("known"))
     known = whole.join(levels, "key").select("key", "conv_id", "call_id", "turn", "name", "arguments", "level", F.lit(True).alias("known")).unionByName(loose)
     rows = known.join(answers.hint("shuffle_hash"), "key", "full_outer")

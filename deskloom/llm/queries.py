@@ -64,7 +64,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives, read back and merged into capture histories."""
     merged = archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured")
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "range", "position")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

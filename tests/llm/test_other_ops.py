@@ -55,6 +55,14 @@ def test_tool_calls(spark):
     assert linked(spark, [], []) == {}
 
 
+def test_tool_calls_whose_ids_hold_colons(spark):
+    calls = spark.createDataFrame([("a:b", "c", "b:c", 1, "add", '{"a": 1, "b": 2.0}'), ("a", "b:c", None, 2, "add", None)], CALLS.replace("conv_id long", "conv_id string"))
+    results = spark.createDataFrame([("a", "b:c", 3, "mine")], RESULTS.replace("conv_id long", "conv_id string"))
+    got = {(r.conv_id, r.call_id): r for r in chat.link_tool_calls(calls, results, TOOLS).collect()}
+    assert (got["a:b", "c"].status, got["a:b", "c"].level, got["a:b", "c"].error) == ("pending", 0, None)
+    assert (got["a", "b:c"].status, got["a", "b:c"].result_turn, got["a", "b:c"].error) == ("linked", 3, "not an object")
+
+
 def test_levels_of_a_long_chain(spark):
     calls = [(1, str(i), str(i - 1) if i else None, i, "ping", "{}") for i in range(70)]
     assert [r.level for (_, i), r in sorted(linked(spark, calls, []).items(), key=lambda x: int(x[0][1]))] == list(range(70))
