@@ -25,9 +25,10 @@ idf AS (SELECT term, CASE WHEN w < 0 THEN 0.25 * (SELECT avg(w) FROM idf0) ELSE
 ask AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '' AND x NOT IN ({STOP}))) AS term FROM benchmark) GROUP BY 1, 2),
 score AS (SELECT query_id, doc_id, round(sum(times * w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))), 6) AS score FROM ask JOIN idf USING (term) JOIN post USING (term), st GROUP BY query_id, doc_id),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0 QUALIFY rank <= 10)"""
-PROXY = """
-px AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-    SELECT item_id AS query_id, doc_id, -abs(length(d.text) - length(b.text)) AS score FROM benchmark b JOIN documents d ON d.doc_id % 37 = b.item_id % 37) QUALIFY rank <= 10)"""
+WORDS = """
+own AS (SELECT doc_id, count(*) AS n FROM post GROUP BY doc_id), askn AS (SELECT query_id, count(*) AS n FROM ask GROUP BY query_id),
+co AS (SELECT query_id, doc_id, round(count(*) / sqrt(CAST(any_value(own.n) AS DOUBLE) * any_value(askn.n)), 6) AS score FROM ask JOIN post USING (term) JOIN own USING (doc_id) JOIN askn USING (query_id) GROUP BY query_id, doc_id),
+px AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM co QUALIFY rank <= 10)"""
 FUSED = """
 fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
     SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM px) GROUP BY 1, 2) QUALIFY rank <= 5)"""
@@ -45,11 +46,9 @@ def _bm25(spark, d, k=10):
     return re_.bm25(_asked(spark, d), table(spark, d, "documents").select("doc_id", "text"), k)
 
 
-def _proxy(spark, d):
-    """A second ranking of the same documents, by nearness of length, of those that share a remainder with the query."""
-    b = _asked(spark, d).select("query_id", F.length("text").alias("q"), (F.col("query_id") % 37).alias("m"))
-    x = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"), (F.col("doc_id") % 37).alias("m"))
-    return re_.top_k(b.join(x, "m").select("query_id", "doc_id", (-F.abs(F.col("n") - F.col("q"))).alias("score")), 10)
+def _words(spark, d):
+    """A second ranking of all documents, by the cosine of their words with the query's."""
+    return re_.word_cosine(_asked(spark, d), table(spark, d, "documents").select("doc_id", "text"), 10)
 
 
 def _dense(spark, d, k=5):
@@ -68,19 +67,19 @@ def dense(spark, d):
     return _dense(spark, d)
 
 
-@R.add("r3_fusion", f"WITH {BM25}, {PROXY}, {FUSED} SELECT query_id, doc_id, score, rank FROM fu")
+@R.add("r3_fusion", f"WITH {BM25}, {WORDS}, {FUSED} SELECT query_id, doc_id, score, rank FROM fu")
 def fusion(spark, d):
-    return re_.fuse([_bm25(spark, d), _proxy(spark, d)], 5)
+    return re_.fuse([_bm25(spark, d), _words(spark, d)], 5)
 
 
 @R.add(
     "r4_intent_prior",
-    f"""WITH {BM25}, {PROXY}, s AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM px) GROUP BY 1, 2),
+    f"""WITH {BM25}, {WORDS}, s AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM px) GROUP BY 1, 2),
     p AS (SELECT query_id, doc_id, CASE WHEN doc_id % 14 = query_id % 14 THEN round(score + 1 / 61, 9) ELSE score END AS score FROM s)
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM p QUALIFY rank <= 5""",
 )
 def intent_prior(spark, d):
-    a, b = _bm25(spark, d), _proxy(spark, d)
+    a, b = _bm25(spark, d), _words(spark, d)
     pairs = a.select("query_id", "doc_id").unionByName(b.select("query_id", "doc_id")).distinct()
     prior = pairs.where("doc_id % 14 = query_id % 14").withColumn("bonus", F.lit(1 / 61))
     return re_.fuse([a, b], 5, prior=prior)
@@ -127,12 +126,12 @@ def coverage(spark, d):
 
 @R.add(
     "u1_interleave",
-    f"""WITH {BM25}, {PROXY}, dep AS (SELECT query_id, least((SELECT max(rank) FROM bm WHERE bm.query_id = i.item_id), (SELECT max(rank) FROM px WHERE px.query_id = i.item_id)) AS depth FROM (SELECT item_id, item_id AS query_id FROM benchmark) i),
+    f"""WITH {BM25}, {WORDS}, dep AS (SELECT query_id, least((SELECT max(rank) FROM bm WHERE bm.query_id = i.item_id), (SELECT max(rank) FROM px WHERE px.query_id = i.item_id)) AS depth FROM (SELECT item_id, item_id AS query_id FROM benchmark) i),
     r AS (SELECT query_id, doc_id, min(place) AS place FROM (SELECT query_id, doc_id, rank, 2 * rank - 1 AS place FROM bm UNION ALL SELECT query_id, doc_id, rank, 2 * rank FROM px) JOIN dep USING (query_id) WHERE rank <= depth GROUP BY 1, 2)
     SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS place FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place) <= 20""",
 )
 def interleave(spark, d):
-    return re_.interleave(_bm25(spark, d), _proxy(spark, d))
+    return re_.interleave(_bm25(spark, d), _words(spark, d))
 
 
 @R.add(
@@ -185,12 +184,12 @@ def conflict_candidates(spark, d):
 
 @R.add(
     "r21_ablation_grid",
-    f"""WITH {BM25}, {PROXY}, {FUSED}, {GOLD}, r AS (SELECT 'bm25' AS variant, query_id, doc_id, rank FROM bm UNION ALL SELECT 'proxy', query_id, doc_id, rank FROM px UNION ALL SELECT 'fusion', query_id, doc_id, rank FROM fu)
+    f"""WITH {BM25}, {WORDS}, {FUSED}, {GOLD}, r AS (SELECT 'bm25' AS variant, query_id, doc_id, rank FROM bm UNION ALL SELECT 'words', query_id, doc_id, rank FROM px UNION ALL SELECT 'fusion', query_id, doc_id, rank FROM fu)
     SELECT variant, k, count(DISTINCT CASE WHEN rank <= k THEN query_id END) AS hits FROM r JOIN gold USING (query_id, doc_id), (VALUES (1), (3), (5)) v(k) GROUP BY ALL""",
 )
 def ablation(spark, d):
-    a, b = _bm25(spark, d), _proxy(spark, d)
-    runs = [x.select(F.lit(name).alias("variant"), "query_id", "doc_id", "rank") for name, x in (("bm25", a), ("proxy", b), ("fusion", re_.fuse([a, b], 5)))]
+    a, b = _bm25(spark, d), _words(spark, d)
+    runs = [x.select(F.lit(name).alias("variant"), "query_id", "doc_id", "rank") for name, x in (("bm25", a), ("words", b), ("fusion", re_.fuse([a, b], 5)))]
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     gold = table(spark, d, "documents").join(F.broadcast(items), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
     rows = runs[0].unionByName(runs[1]).unionByName(runs[2]).join(gold, ["query_id", "doc_id"]).withColumn("k", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))))
