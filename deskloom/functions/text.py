@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deskloom.functions.vocabulary import RANKING_STOP_WORDS
+from deskloom.functions.vocabulary import NO_REFERENCE, OUTCOMES, RANKING_STOP_WORDS
 
 #: Language for the desk's staff that a reply must not hold.
 LEAKS = (
@@ -184,6 +184,35 @@ def json_slice(text: Column) -> Column:
     return F.try_parse_json(F.regexp_extract(text, r"(?s)\{.*\}", 0))
 
 
+def model_record(record: Column) -> Column:
+    """The five fields of a mined thread, from a variant that holds an object; null if it doesn't.
+
+    Texts are trimmed and anything else counts as empty. Lists may be given as one
+    text and keep their texts that aren't empty; references without any are null. An
+    outcome that isn't of the vocabulary is its last one.
+    """
+    part = lambda name: F.try_variant_get(record, f"$.{name}", "variant")
+    is_text = lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+    said = lambda v: F.when(is_text(v), F.regexp_replace(F.try_variant_get(v, "$", "string"), r"(?U)^\s+|\s+$", "")).otherwise(F.lit(""))
+    none = F.array().cast("array<string>")
+
+    def texts(name: str) -> Column:
+        v = part(name)
+        several = F.transform(F.try_variant_get(v, "$", "array<variant>"), said)
+        return F.filter(F.coalesce(F.when(is_text(v), F.array(said(v))).otherwise(several), none), lambda t: t != "")
+
+    used = F.filter(texts("policy_or_reference_used"), lambda t: ~F.lower(t).isin(*NO_REFERENCE))
+    outcome = F.lower(said(part("outcome_type")))
+    fields = F.struct(
+        said(part("what_was_asked")).alias("what_was_asked"),
+        texts("steps_taken").alias("steps_taken"),
+        said(part("resolution")).alias("resolution"),
+        F.when(F.size(used) > 0, used).alias("policy_or_reference_used"),
+        F.when(outcome.isin(*OUTCOMES), outcome).otherwise(F.lit(OUTCOMES[-1])).alias("outcome_type"),
+    )
+    return F.when(F.schema_of_variant(record).startswith("OBJECT"), fields)
+
+
 def spoken(snippets: Column, source: Column) -> Column:
     """Those snippets that the source holds."""
     return F.filter(snippets, lambda s: source.contains(s))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+#: Outcomes of a mined thread; the last one stands for any other.
+OUTCOMES = ("resolved_directly", "needed_follow_up", "escalated", "no_clear_resolution")
+#: What a model writes where it has no reference.
+NO_REFERENCE = ("null", "none", "n/a")
+
 #: Intents with their families, in the order in which ties are decided.
 INTENTS = (
     ("reviewer_assignment", "review_workflow"),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from deskloom.operators.threads import numbered
+
 #: Upper edges of the ten bins of a probability.
 EDGES = tuple(i / 10 for i in range(1, 11))
 
@@ -104,7 +106,7 @@ def ranking_metrics(ranked: DataFrame, gold: DataFrame, queries: DataFrame, ks:
 def complete_blocks(rows: DataFrame, key: str, config: str, configs: int, size: int) -> DataFrame:
     """Rows of keys that have all configs, with their batch and blinded letter: letters turn with the key, so a config's letter tells nothing."""
     whole = rows.groupBy(key).agg(F.countDistinct(config).alias("c")).where(F.col("c") == configs).select(key)
-    numbered = whole.withColumn("batch", F.floor((F.row_number().over(W.orderBy(key)) - 1) / size).cast("long"))
+    batches = numbered(whole, key, "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
     place = F.dense_rank().over(W.partitionBy(key).orderBy(config)) - 1
     letter = F.element_at(F.array(*(F.lit(chr(65 + i)) for i in range(configs))), (F.pmod(place + F.pmod(F.col(key), F.lit(configs)), F.lit(configs)) + 1).cast("int"))
-    return rows.join(numbered, key).withColumn("letter", letter)
+    return rows.join(batches, key).withColumn("letter", letter)

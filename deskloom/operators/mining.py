@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -148,6 +149,30 @@ def isotonic(rows: DataFrame, p: str = "p", truth: str = "truth") -> DataFrame:
     return IsotonicRegression(featuresCol=p, labelCol="__y", predictionCol="calibrated").fit(data).transform(data).drop("__y")
 
 
+def platt(rows: DataFrame, p: str = "p", truth: str = "truth") -> DataFrame:
+    """rows with calibrated: a logistic curve of p, its slope under a unit penalty. One class alone gives its rate, a null p null."""
+    values = rows.where(F.col(p).isNotNull() & F.col(truth).isNotNull())
+    n, kinds, rate = values.agg(F.count("*"), F.countDistinct(truth), F.avg(truth)).first()
+    if kinds < 2:
+        return rows.withColumn("calibrated", F.lit(float(rate) if n else None).cast("double"))
+    data = values.select(F.array(F.col(p).cast("double")).alias("x"), F.col(truth).cast("double").alias("__y")).select(array_to_vector("x").alias("__x"), "__y")
+    model = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=1.0 / n, standardization=False, maxIter=1000, tol=1e-9).fit(data)
+    slope, shift = float(model.coefficients[0]), float(model.intercept)
+    return rows.withColumn("calibrated", 1 / (1 + F.exp(-(F.lit(slope) * F.col(p) + F.lit(shift)))))
+
+
+def kmeans_by_silhouette(vectors: DataFrame, ks: tuple[int, ...] = (12, 20, 28, 36), seed: int = 42, vector: str = "embedding") -> tuple[DataFrame, dict[int, float]]:
+    """kmeans for that k of ks with the best mean silhouette (squared distances), of equal ones the first, and the silhouettes by k. Every vector counts."""
+    rows = vectors.withColumn("__x", array_to_vector(F.col(vector).cast("array<double>")))
+    judge, found, best = ClusteringEvaluator(featuresCol="__x", predictionCol="cluster"), {}, None
+    for k in ks:
+        model = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="cluster").fit(rows)
+        found[k] = judge.evaluate(model.transform(rows))
+        if best is None or found[k] > found[best[0]]:
+            best = k, model
+    return best[1].transform(rows).drop("__x"), found
+
+
 def chosen_trials(trials: DataFrame, group: str, plateau: float = 0.01) -> DataFrame:
     """Each group's chosen trial (coverage, run_length, size): the best coverage within plateau, then the longest run, then the smallest size."""
     best = F.max("coverage").over(W.partitionBy(group))

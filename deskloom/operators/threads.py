@@ -89,9 +89,25 @@ def quota(rows: DataFrame, cell: list[str], preferred: Column, key: str, n: int)
     return rows.withColumn("place", place).where(F.col("place") <= n)
 
 
+def numbered(rows: DataFrame, order: str, name: str, ranges: int = 200) -> DataFrame:
+    """rows with name: their places from 0 by order (a number, date or timestamp; nulls first), without one task that sees all.
+
+    Cut points part the rows into ranges, each of which numbers its own and starts
+    where the earlier ones end; rows of one value of order lie in one range.
+    """
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = rows.agg(F.percentile_approx(order, shares, 100 * ranges).alias("cuts")).first()["cuts"] or []
+    # a null passes no cut, so it lies in the first range
+    parts = rows.withColumn("__range", F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col(order))) if cuts else F.lit(0))
+    sizes = parts.groupBy("__range").agg(F.count("*").alias("__n"))
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    place = F.row_number().over(W.partitionBy("__range").orderBy(order)) - 1 + F.col("__start")
+    return parts.join(F.broadcast(starts), "__range").withColumn(name, place.cast("long")).drop("__range", "__start")
+
+
 def deal(rows: DataFrame, order: str, hands: int) -> DataFrame:
     """rows with batch: dealt out in turn."""
-    return rows.withColumn("batch", F.pmod(F.row_number().over(W.orderBy(order)) - 1, F.lit(hands)).cast("long"))
+    return numbered(rows, order, "batch").withColumn("batch", F.pmod("batch", F.lit(hands)))
 
 
 def assign_once(rows: DataFrame, rules: list[tuple[str, Column, int]], key: str) -> DataFrame:

@@ -242,6 +242,16 @@ def trained(spark, d):
     return mi.trained_labels(table(spark, d, "embeddings")).select("vec_id", "label", "predicted")
 
 
+@R.add("r10_kmeans_by_silhouette")
+def kmeans_chosen(spark, d):
+    return mi.kmeans_by_silhouette(table(spark, d, "embeddings"))[0].select("vec_id", "cluster")
+
+
+@R.add("r16_platt")
+def platt(spark, d):
+    return mi.platt(table(spark, d, "judged")).select("doc_id", "p", "truth", F.round("calibrated", 6).alias("calibrated"))
+
+
 @R.add("r16_isotonic")
 def isotonic(spark, d):
     return mi.isotonic(table(spark, d, "judged").withColumn("p", F.col("p"))).select("doc_id", "p", "truth", "calibrated")

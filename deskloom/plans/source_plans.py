@@ -16,11 +16,13 @@ R = Registry()
 
 
 def scratch(spark, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one where none is set."""
+    """A new path in the folder that driver and executors share; a local one where none is set and the session is local."""
     import tempfile
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         base = f"file://{tempfile.mkdtemp(prefix='deskloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

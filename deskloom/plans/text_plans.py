@@ -247,6 +247,19 @@ def json_slice(spark, d):
     return table(spark, d, "events").select("event_id", F.try_variant_get(tx.json_slice(t), "$.k", "int").alias("k"), tx.spoken(F.array(F.lit("k"), F.lit("not there")), F.col("props")).alias("spoken"))
 
 
+@R.add(
+    "c34_model_record",
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'q' || event_id WHEN 1 THEN '' WHEN 2 THEN '' END AS what_was_asked, CASE event_id % 5 WHEN 0 THEN ['one'] WHEN 1 THEN ['x', 'y'] WHEN 2 THEN CAST([] AS VARCHAR[]) END AS steps_taken,
+    CASE WHEN event_id % 5 < 3 THEN '' END AS resolution, CASE WHEN event_id % 5 = 0 THEN ['p1'] END AS policy_or_reference_used, CASE event_id % 5 WHEN 0 THEN 'escalated' WHEN 1 THEN 'no_clear_resolution' WHEN 2 THEN 'no_clear_resolution' END AS outcome_type FROM events""",
+)
+def model_record(spark, d):
+    i = F.col("event_id")
+    full = F.concat(F.lit('{"what_was_asked": " q'), i.cast("string"), F.lit(' ", "steps_taken": "one", "resolution": 5, "policy_or_reference_used": ["N/A", " p1 ", ""], "outcome_type": " Escalated "}'))
+    said = F.when(i % 5 == 0, full).when(i % 5 == 1, F.lit('{"steps_taken": [" x ", "", 7, "y"], "policy_or_reference_used": "none", "outcome_type": "bogus"}'))
+    said = said.when(i % 5 == 2, F.lit("{}")).when(i % 5 == 3, F.lit("no record")).otherwise(F.lit("[1]"))
+    return table(spark, d, "events").select("event_id", tx.model_record(F.try_parse_json(said)).alias("r")).select("event_id", "r.*")
+
+
 @R.add(
     "c39_c40_labels",
     f"""{T} SELECT id, CASE WHEN id % 3 = 0 THEN 'cms_support' ELSE intent END AS label, id % 3 = 0 OR intent = 'cms_support' AS is_fallback, CASE WHEN intent IN ('paper_bidding', 'cms_support') THEN [intent] ELSE CAST([] AS VARCHAR[]) END AS known FROM tickets""",

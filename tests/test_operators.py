@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +234,53 @@ def test_isotonic_with_one_class(spark):
     assert {r.calibrated for r in mining.isotonic(rows).collect()} == {1.0}
 
 
+def test_platt_is_the_penalised_logistic_curve(spark):
+    rows = [(round(0.05 * i, 2), int(i % 3 == 0 or i > 12)) for i in range(20)] + [(None, 1)]
+    got = {r.p: r.calibrated for r in mining.platt(spark.createDataFrame(rows, "p double, truth int")).collect()}
+    x, y = np.array([p for p, _ in rows[:-1]]), np.array([t for _, t in rows[:-1]])
+    a = b = 0.0
+    for _ in range(200):  # Newton's method on the loss plus half the squared slope
+        q = 1 / (1 + np.exp(-(a * x + b)))
+        w = q * (1 - q)
+        step = np.linalg.solve([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum()]], [((q - y) * x).sum() + a, (q - y).sum()])
+        a, b = a - step[0], b - step[1]
+    assert got[None] is None
+    assert all(abs(got[p] - 1 / (1 + math.exp(-(a * p + b)))) < 1e-4 for p in x)
+    assert {r.calibrated for r in mining.platt(spark.createDataFrame([(0.2, 0), (0.9, 0)], "p double, truth int")).collect()} == {0.0}
+    assert mining.platt(spark.createDataFrame([], "p double, truth int")).collect() == []
+
+
+def test_silhouette_chooses_the_true_number(spark):
+    rows = [(10 * a + i, [10.0 * (a == 0) + 0.01 * i, 10.0 * (a == 1), 10.0 * (a == 2) - 0.01 * i]) for a in range(3) for i in range(6)]
+    got, found = mining.kmeans_by_silhouette(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), (2, 3, 5))
+    assert max(found, key=found.get) == 3
+    assert len({(r.vec_id // 10, r.cluster) for r in got.collect()}) == 3
+
+
+@pytest.mark.parametrize("ranges", [2, 7])
+def test_numbered_by_ranges(spark, ranges):
+    values = [5, None, 3, 3, 3, 9, 1, None, 7, 3]
+    rows = threads.numbered(spark.createDataFrame([(v,) for v in values], "k long"), "k", "at", ranges).collect()
+    assert [r.k for r in sorted(rows, key=lambda r: r.at)] == [None, None, 1, 3, 3, 3, 3, 5, 7, 9]
+    assert sorted(r.at for r in rows) == list(range(10))
+    assert threads.numbered(spark.createDataFrame([], "k long"), "k", "at").collect() == []
+
+
+def test_model_record(spark):
+    said = ['{"steps_taken": [[1], null, "a"], "resolution": " done\\n", "policy_or_reference_used": ["None"], "outcome_type": null}', '"text"', None]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").select("i", text.model_record(F.try_parse_json("s")).alias("r"))
+    got = {r.i: r.r for r in rows.collect()}
+    assert got[0].asDict() == {"what_was_asked": "", "steps_taken": ["a"], "resolution": "done", "policy_or_reference_used": None, "outcome_type": "no_clear_resolution"}
+    assert got[1] is None and got[2] is None
+
+
+def test_word_cosine_sees_every_document(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["alpha beta", "alpha", None, "beta gamma delta", ""])], "doc_id long, text string")
+    asked = spark.createDataFrame([(38, "Alpha alpha beta")], "query_id long, text string")
+    got = [(r.doc_id, r.score, r.rank) for r in retrieval.word_cosine(asked, docs, 5).orderBy("rank").collect()]
+    assert got == [(0, 1.0, 1), (1, round(1 / math.sqrt(2), 6), 2), (3, round(1 / math.sqrt(6), 6), 3)]
+
+
 def write_pages(folder, pages):
     for i, p in enumerate(pages):
         (folder / f"{i}.json").write_text(json.dumps(p))
