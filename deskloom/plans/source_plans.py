@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from deskloom.functions.chunks import chunked
 from deskloom.plans.registry import Registry
 from deskloom.sources import files
+from deskloom.sources.export import TicketExport
 from deskloom.sources.tables import table
 from deskloom.streaming import desk_stream as st
 
@@ -73,6 +74,36 @@ def child_events(spark, d):
     return files.child_events(exports).select("ticket_id", "event_id", "body")
 
 
+def _export(spark, d, ends: bool) -> str:
+    """A folder with an export of the events: 500 to a page, whose cursors are opaque; without the last page's end if it broke off."""
+    path, at = scratch(spark, "export"), F.floor(F.col("event_id") / 500).cast("long")
+    record = F.struct(F.col("event_id").alias("id"), F.when(F.col("event_id") % 11 == 0, "deleted").otherwise("open").alias("status"), F.col("event_type").alias("subject"), F.col("user_id").alias("requester_id"))
+    user = F.struct(F.col("user_id").alias("id"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("name"))
+    pages = table(spark, d, "events").groupBy(at.alias("page")).agg(F.collect_list(record).alias("records"), F.collect_set(user).alias("users"))
+    last = pages.agg(F.max("page").alias("last"))
+    cursor = lambda n: F.when(n == 0, "first").otherwise(F.concat(F.lit("c"), n.cast("string")))
+    ended = F.col("page") == F.col("last")
+    body = F.to_json(F.struct("records", "users", F.when(~ended, cursor(F.col("page") + 1)).alias("after_cursor"), (ended & F.lit(ends)).alias("end_of_stream")))
+    pages.crossJoin(F.broadcast(last)).select(body.alias("value"), cursor(F.col("page")).alias("cursor")).write.partitionBy("cursor").text(path)
+    spark.dataSource.register(TicketExport)
+    return path
+
+
+EXPORTED = "SELECT event_id AS id, event_type AS subject, user_id AS requester_id, 'user ' || user_id AS requester_name, {complete} AS complete FROM events WHERE event_id % 11 <> 0"
+
+
+@R.add("s8_s10_export", EXPORTED.format(complete="true"))
+def exported(spark, d):
+    rows = spark.read.format("ticket_export").option("path", _export(spark, d, True)).option("start", "first").option("pages", 1_000_000).load()
+    return rows.select("id", "subject", "requester_id", "requester_name", "complete")
+
+
+@R.add("s13_truncated_export", EXPORTED.format(complete="event_id // 500 < (SELECT max(event_id) // 500 FROM events)"))
+def truncated(spark, d):
+    rows = spark.read.format("ticket_export").option("path", _export(spark, d, False)).option("start", "first").option("pages", 1_000_000).load()
+    return rows.select("id", "subject", "requester_id", "requester_name", "complete")
+
+
 @R.add("s10_users_once", "SELECT DISTINCT user_id FROM events")
 def users_once(spark, d):
     return table(spark, d, "events").dropDuplicates(["user_id"]).select("user_id")

@@ -1,7 +1,7 @@
 """A cursor export as a Spark data source, for batches and streams.
 
 An export is a chain of pages: {"records": [...], "users": [...], "after_cursor": ...,
-"end_of_stream": ...}. Pages come from a folder of page files (0.json, 1.json, ...),
+"end_of_stream": ...}. Pages come from a folder of page files (0.json, 1.json, ...) that executors can open,
 or over HTTP, where calls are repeated on 429 and 5xx. The stream's offset is the
 cursor, so Spark's checkpoint is the export's.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 from pathlib import Path
@@ -33,12 +34,22 @@ def fetch(url: str, attempts: int = 6, pause: float = 1.0) -> dict:
     raise AssertionError("unreachable")
 
 
-def page(where: str, cursor: int) -> dict | None:
-    """A page by its cursor, or None past the last one."""
+def page(where: str, cursor: int | str) -> dict | None:
+    """A page by its cursor, or None past the last one: its file, or the file that Spark wrote in the folder of that cursor."""
     if where.startswith(("http://", "https://")):
-        return fetch(f"{where}?cursor={cursor}")
-    file = Path(where.removeprefix("file://")) / f"{cursor}.json"
-    return json.loads(file.read_text()) if file.exists() else None
+        return fetch(f"{where}?cursor={urllib.parse.quote(str(cursor), safe='')}")
+    folder = Path(where.removeprefix("file://"))
+    files = [f for f in (folder / f"{cursor}.json", *sorted((folder / f"cursor={cursor}").glob("part-*"))) if f.exists()]
+    return json.loads(files[0].read_text()) if files else None
+
+
+def following(found: dict, cursor: int | str) -> int | str | None:
+    """The cursor after a page: the one that it names, else the next number; None after the end."""
+    if found.get("after_cursor") is not None:
+        return found["after_cursor"]
+    if found.get("end_of_stream"):
+        return None
+    return int(cursor) + 1 if str(cursor).isdigit() else None
 
 
 def rows_of(found: dict, complete: bool) -> Iterator[tuple]:
@@ -50,17 +61,35 @@ def rows_of(found: dict, complete: bool) -> Iterator[tuple]:
 
 
 class _Batch(DataSourceReader):
-    """One partition for each range of pages, so a long export is read in parallel where its cursors are numbers."""
+    """One partition follows the cursors of the pages; several take numbered pages in turn, so a long export is read in parallel."""
 
-    def __init__(self, where: str, start: int, most: int, parts: int):
+    def __init__(self, where: str, start: int | str, most: int, parts: int):
         self.where, self.start, self.most, self.parts = where, start, most, parts
+        if parts > 1 and not str(start).isdigit():
+            raise ValueError("pages are read in parallel only where cursors are numbers")
 
     def partitions(self):
         return [InputPartition(i) for i in range(self.parts)]
 
     def read(self, partition):
-        at = self.start + partition.value
-        while at < self.start + self.most and (found := page(self.where, at)) is not None:
+        yield from self._chain() if self.parts == 1 else self._numbered(partition.value)
+
+    def _chain(self):
+        at, found = self.start, page(self.where, self.start)
+        for _ in range(self.most):
+            if found is None:
+                return
+            ended = bool(found.get("end_of_stream"))
+            at = following(found, at)
+            later = None if ended or at is None else page(self.where, at)
+            yield from rows_of(found, ended or later is not None)
+            found = later
+
+    def _numbered(self, first: int):
+        at = int(self.start) + first
+        while at < int(self.start) + self.most and (found := page(self.where, at)) is not None:
+            if not str(found.get("after_cursor", at + 1)).isdigit():
+                raise ValueError("pages are read in parallel only where cursors are numbers")
             ended = bool(found.get("end_of_stream"))
             yield from rows_of(found, ended or page(self.where, at + 1) is not None)
             if ended:
@@ -69,27 +98,34 @@ class _Batch(DataSourceReader):
 
 
 class _Stream(SimpleDataSourceStreamReader):
-    def __init__(self, where: str, start: int, most: int):
+    """Offsets are cursors. A page that ends without a cursor keeps its own number's successor, where a later page would be."""
+
+    def __init__(self, where: str, start: int | str, most: int):
         self.where, self.start, self.most = where, start, most
 
     def initialOffset(self):
         return {"cursor": self.start}
 
+    def _after(self, found: dict, at: int | str):
+        later = following(found, at)
+        return later if later is not None or not str(at).isdigit() else int(at) + 1
+
     def read(self, start):
         out, at = [], start["cursor"]
         for _ in range(self.most):
-            if (found := page(self.where, at)) is None:
+            if at is None or (found := page(self.where, at)) is None:
                 break
             out += rows_of(found, bool(found.get("end_of_stream")))
-            at += 1
+            at = self._after(found, at)
             if found.get("end_of_stream"):
                 break
         return iter(out), {"cursor": at}
 
     def readBetweenOffsets(self, start, end):
-        for at in range(start["cursor"], end["cursor"]):
-            if (found := page(self.where, at)) is not None:
-                yield from rows_of(found, bool(found.get("end_of_stream")))
+        at = start["cursor"]
+        while at is not None and at != end["cursor"] and (found := page(self.where, at)) is not None:
+            yield from rows_of(found, bool(found.get("end_of_stream")))
+            at = self._after(found, at)
 
 
 class TicketExport(DataSource):
@@ -107,7 +143,8 @@ class TicketExport(DataSource):
         return SCHEMA
 
     def _where(self):
-        return self.options["path"], int(self.options.get("start", 0)), int(self.options.get("pages", 1000))
+        start = self.options.get("start", "0")
+        return self.options["path"], int(start) if start.isdigit() else start, int(self.options.get("pages", 1000))
 
     def reader(self, schema):
         return _Batch(*self._where(), int(self.options.get("parts", 1)))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import http.server
 import json
 import math
+import threading
+import urllib.error
 
 import numpy as np
 import pytest
@@ -350,3 +353,51 @@ def test_dense_with_many_queries(spark, monkeypatch):
     want = sorted(map(tuple, retrieval.dense(q, v, 3).collect()))
     monkeypatch.setattr(retrieval, "MOST_QUERIES", 12)
     assert len(want) == 120 and sorted(map(tuple, retrieval.dense(q, v, 3).collect())) == want
+
+
+def test_export_follows_named_cursors(spark, tmp_path):
+    (tmp_path / "first.json").write_text(json.dumps({"records": [{"id": 1}], "after_cursor": "x=="}))
+    (tmp_path / "x==.json").write_text(json.dumps({"records": [{"id": 2}], "after_cursor": "y", "end_of_stream": True}))
+    spark.dataSource.register(export.TicketExport)
+    read = lambda: spark.readStream.format("ticket_export").option("path", str(tmp_path)).option("start", "first").load()
+    batch = spark.read.format("ticket_export").option("path", str(tmp_path)).option("start", "first").load()
+    assert sorted((r.id, r.complete) for r in batch.collect()) == [(1, True), (2, True)]
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+
+    def catch_up():
+        query = read().writeStream.format("parquet").option("path", out).option("checkpointLocation", check).start()
+        query.processAllAvailable()
+        query.stop()
+        return sorted(r.id for r in spark.read.parquet(out).collect())
+
+    assert catch_up() == [1, 2]
+    (tmp_path / "y.json").write_text(json.dumps({"records": [{"id": 3}], "end_of_stream": True}))
+    assert catch_up() == [1, 2, 3]
+
+
+@pytest.mark.parametrize("codes, ok", [([429, 503, 200], True), ([404], False), ([500, 500, 500], False)])
+def test_fetch_tries_again(codes, ok):
+    asked = []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            code = codes[len(asked)]
+            asked.append(self.path)
+            self.send_response(code)
+            self.end_headers()
+            if code == 200:
+                self.wfile.write(b'{"records": []}')
+
+        def log_message(self, *args):
+            pass
+
+    with http.server.HTTPServer(("127.0.0.1", 0), Server) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        url = f"http://127.0.0.1:{server.server_port}/?cursor=0"
+        if ok:
+            assert export.fetch(url, 3, 0.01) == {"records": []}
+        else:
+            with pytest.raises(urllib.error.HTTPError):
+                export.fetch(url, 3, 0.01)
+        server.shutdown()
+    assert len(asked) == len(codes)
