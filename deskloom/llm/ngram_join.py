@@ -235,9 +235,8 @@ def _hub_links(members: DataFrame, sets: _Sets, num: int, den: int) -> DataFrame
     return stored(_verified(stored(pairs, "pairs"), sets, num, den), "links")
 
 
-def _open_keys(members: DataFrame, links: DataFrame) -> DataFrame:
+def _open_keys(members: DataFrame, parts: DataFrame) -> DataFrame:
     """(key, cls, n, component, k, keys): the k members of keys that lie in several components; of keys with equal members one, and how many there are."""
-    parts = connected_components(links)
     rows = members.join(parts.withColumnsRenamed({"node": "cls"}), "cls", "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("component"))
     same = [F.sum(F.xxhash64("cls", F.lit(i)).cast("decimal(20,0)")).alias(f"h{i}") for i in range(2)]
     keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k"), *same).where("low < high")
@@ -279,13 +278,14 @@ def _block_pairs(large: DataFrame, sets: _Sets, num: int, den: int) -> DataFrame
 
 
 def class_links(docs: DataFrame, profiles: DataFrame, names: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b): links between classes, of which at least a forest for each component."""
+    """(a, b): links between classes, of which a forest for each component; what hubs link comes as stars."""
     repeated = bool(profiles.groupBy("doc_id").count().where("count > 1").limit(1).count())
     sets = _Sets(docs, names, n, repeated)
     members = _kept_keys(profiles, num, den)
-    links = _hub_links(members, sets, num, den)
-    rest = _open_keys(members, links)
+    parts = connected_components(_hub_links(members, sets, num, den))
+    rest = _open_keys(members, parts)
     small, large = rest.where(F.col("k") <= PAIRED), rest.where(F.col("k") > PAIRED)
+    links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
     links = links.unionByName(_pair_links(small, sets, num, den))
     if large.limit(1).count():
         links = links.unionByName(_block_pairs(_gathered(large), sets, num, den))
