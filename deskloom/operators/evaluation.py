@@ -83,11 +83,15 @@ def ranking_metrics(ranked: DataFrame, gold: DataFrame, queries: DataFrame, ks:
 
     ranked: query_id, doc_id, rank (from 1); gold: query_id, doc_id; queries: query_id.
     Queries without gold count as 0. Misses are 0 in MRR and left out of the mean
-    rank. The ideal DCG has min(gold, k) documents; gold is joined to ranks once,
-    and everything else follows from the ranks of a query's hits.
+    rank. The ideal DCG has min(gold, k) documents; gold is joined to ranks once.
     """
     sizes = gold.groupBy("query_id").agg(F.count("*").alias("golds"))
-    ranks = ranked.join(gold, ["query_id", "doc_id"]).groupBy("query_id").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+    return hit_metrics(ranked.join(gold, ["query_id", "doc_id"]), sizes, queries, ks)
+
+
+def hit_metrics(hits: DataFrame, sizes: DataFrame, queries: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """ranking_metrics where the ranks of hits (query_id, rank) and the number of gold documents (query_id, golds) are known, so gold needn't exist as pairs."""
+    ranks = hits.groupBy("query_id").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
     rows = queries.select("query_id").join(sizes, "query_id", "left").join(ranks, "query_id", "left")
     rows = rows.select("query_id", F.coalesce("golds", F.lit(0)).cast("int").alias("golds"), F.coalesce("ranks", F.array().cast("array<int>")).alias("ranks"))
     gain = lambda ranks: F.aggregate(ranks, F.lit(0.0), lambda acc, r: acc + 1 / F.log2(r + F.lit(1)))

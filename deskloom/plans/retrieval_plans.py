@@ -102,8 +102,7 @@ def _metrics_sql(ranked: str, gold: str, queries: str) -> str:
 @R.add("r5_r7_bm25_metrics", f"WITH {BM25}, {GOLD}, items AS (SELECT item_id AS query_id FROM benchmark), {_metrics_sql('bm', 'gold', 'items')}")
 def bm25_metrics(spark, d):
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    # a stated set of passages is looked up in every document
-    gold = table(spark, d, "documents").join(F.broadcast(b), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
+    gold = re_.containing(table(spark, d, "documents"), b)
     return ev.ranking_metrics(_bm25(spark, d), gold, b)
 
 
@@ -115,8 +114,10 @@ def bm25_metrics(spark, d):
 def dense_metrics(spark, d):
     v = table(spark, d, "embeddings")
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    gold = asked.join(v.select("vec_id", "label"), "label").where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("doc_id"))
-    return ev.ranking_metrics(_dense(spark, d), gold, asked)
+    # gold is every other vector of the label: its number follows from the label's, and only ranked vectors are looked up
+    sizes = asked.join(v.groupBy("label").agg((F.count("*") - 1).alias("golds")), "label").select("query_id", "golds")
+    hits = _dense(spark, d).join(v.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").join(asked, ["query_id", "label"])
+    return ev.hit_metrics(hits.select("query_id", "rank"), sizes, asked)
 
 
 @R.add("r8_a26_coverage", f"WITH {VECTORS}, b AS (SELECT query_id, max(score) AS s FROM de GROUP BY 1) SELECT round(avg(s), 4) AS mean_best, round(avg(CASE WHEN s < 0.35 THEN 1 ELSE 0 END), 4) AS low_share FROM b")
@@ -191,7 +192,7 @@ def ablation(spark, d):
     a, b = _bm25(spark, d), _words(spark, d)
     runs = [x.select(F.lit(name).alias("variant"), "query_id", "doc_id", "rank") for name, x in (("bm25", a), ("words", b), ("fusion", re_.fuse([a, b], 5)))]
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    gold = table(spark, d, "documents").join(F.broadcast(items), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
+    gold = re_.containing(table(spark, d, "documents"), items)
     rows = runs[0].unionByName(runs[1]).unionByName(runs[2]).join(gold, ["query_id", "doc_id"]).withColumn("k", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))))
     return rows.groupBy("variant", "k").agg(F.countDistinct(F.when(F.col("rank") <= F.col("k"), F.col("query_id"))).alias("hits"))
 

@@ -401,3 +401,13 @@ def test_fetch_tries_again(codes, ok):
                 export.fetch(url, 3, 0.01)
         server.shutdown()
     assert len(asked) == len(codes)
+
+
+def test_passages_in_texts(spark):
+    texts = ["alpha beta gamma delta epsilon zeta", "xalpha beta gamma delta epsilonx tail", "beta gamma", " lead in  two spaces here", "", None, "a b c d", "one beta gamma delta two"]
+    asked = ["alpha beta gamma delta epsilon", "pha beta gamma delta eps", "beta gamma", "", None, " lead in  two spaces", "lead in two spaces here", "b c d", "eta gamma del"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("passage", F.lit("clash"))
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, passage string").withColumn("text", F.lit("clash"))
+    got = sorted((r.query_id, r.doc_id) for r in retrieval.containing(docs, queries).collect())
+    assert got == [(q, d) for q, p in enumerate(asked) for d, t in enumerate(texts) if p is not None and t is not None and p in t]
+    assert retrieval.containing(docs.limit(0), queries).count() == retrieval.containing(docs, queries.limit(0)).count() == 0
