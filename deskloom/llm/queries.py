@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deskloom.llm import chat, quality, topk, url_filter
+from deskloom.llm import chat, exact_dedup, quality, topk, url_filter
 from deskloom.llm.bpe import bpe_digests
 from deskloom.llm.html_text import extract_text
 from deskloom.llm.language import predict_languages
@@ -72,9 +72,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the one of their equal texts that stays."""
+    return exact_dedup.exact_dedup(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_mix_sources, op3_bpe, op4_ngram_join, op5_language_id, op6_html_text, op7_norm_topk, op8_url_filter, op9_warc, op10_quality_rules)
+    for f in (op1_chat_format, op2_mix_sources, op3_bpe, op4_ngram_join, op5_language_id, op6_html_text, op7_norm_topk, op8_url_filter, op9_warc, op10_quality_rules, op13_exact_dedup)
 }
 #: SQL of those that SQL can express.
-ORACLE: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op8_url_filter": url_filter.ORACLE, "op10_quality_rules": quality.quality_sql()}
+ORACLE: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op8_url_filter": url_filter.ORACLE, "op10_quality_rules": quality.quality_sql(), "op13_exact_dedup": exact_dedup.ORACLE}

@@ -58,3 +58,24 @@ def numbered(df: DataFrame, *order: Column, name: str) -> DataFrame:
     before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.withColumn("__before", before).drop("__n")
     return parts.join(F.broadcast(sizes), "__part").withColumn(name, F.col("__before") + F.col("__at") - F.col("__low")).drop("__part", "__at", "__low", "__before")
+
+
+#: Groups that are broadcast at most, and rows that a group of a join by shuffle has at least before it may be broadcast.
+MOST_GROUPS, LARGE = 100_000, 10_000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with the columns of groups, which has one row for each key, null too, and the key's number of rows.
+
+    Groups of more than LARGE rows and of more than a share of 1 / MOST_GROUPS of all
+    rows, so MOST_GROUPS of them at most, are broadcast; the rest, whose groups are
+    small, meet by a shuffle. No task gets a large group whole.
+    """
+    most = max(LARGE, (groups.agg(F.sum(size)).first()[0] or 0) // MOST_GROUPS)
+    groups = groups.withColumnRenamed(key, "__key").withColumn("__met", F.lit(True))
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    marked = rows.join(F.broadcast(groups.where(F.col(size) > most)), same, "left")
+    large = marked.where(F.col("__met")).drop("__key", "__met")
+    rest = marked.where(F.col("__met").isNull()).select(*rows.columns)
+    small = rest.join(groups.where(F.col(size) <= most), same).drop("__key", "__met")
+    return large.unionByName(small)
