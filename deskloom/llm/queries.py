@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deskloom.llm import chat, codes, exact_dedup, quality, topk, url_filter
+from deskloom.llm import chat, codes, exact_dedup, lexical, quality, topk, url_filter
 from deskloom.llm.bpe import bpe_digests
 from deskloom.llm.html_text import extract_text
 from deskloom.llm.language import predict_languages
@@ -72,6 +72,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank highest for each benchmark item, of all documents."""
+    return lexical.lexical_search(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors as codes of 16 parts, with their errors."""
     return codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -84,7 +89,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_mix_sources, op3_bpe, op4_ngram_join, op5_language_id, op6_html_text, op7_norm_topk, op8_url_filter, op9_warc, op10_quality_rules, op12_vector_codes, op13_exact_dedup)
+    for f in (op1_chat_format, op2_mix_sources, op3_bpe, op4_ngram_join, op5_language_id, op6_html_text, op7_norm_topk, op8_url_filter, op9_warc, op10_quality_rules, op11_lexical_search, op12_vector_codes, op13_exact_dedup)
 }
 #: SQL of those that SQL can express.
-ORACLE: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op8_url_filter": url_filter.ORACLE, "op10_quality_rules": quality.quality_sql(), "op12_vector_codes": codes.codes_sql(), "op13_exact_dedup": exact_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op8_url_filter": url_filter.ORACLE, "op10_quality_rules": quality.quality_sql(), "op11_lexical_search": lexical.ORACLE, "op12_vector_codes": codes.codes_sql(), "op13_exact_dedup": exact_dedup.ORACLE}
