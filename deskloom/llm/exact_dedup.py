@@ -79,7 +79,7 @@ def _twice(rows: pd.DataFrame) -> pd.DataFrame:
     bits[again] = 1
     words = np.packbits(bits, bitorder="little").view(np.int64).reshape(GROUP, CELLS // 64)
     some = np.flatnonzero(words.any(axis=1))
-    return pd.DataFrame({"segment": rows["group"].iat[0] * GROUP + some, "bits": list(words[some])})
+    return pd.DataFrame({"segment": rows["group"].iat[0] * GROUP + some, "bits": pd.Series(list(words[some]), dtype=object)})
 
 
 def repeated_filter(digests: DataFrame, segments: int) -> DataFrame:
