@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -100,37 +98,6 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 42, vector: str = "embedding"
     return KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="cluster").fit(rows).transform(rows).drop("__x")
 
 
-def linked_clusters(vectors: DataFrame, group: str, key: str, least: float = 0.65, most: int = 5000, vector: str = "embedding") -> DataFrame:
-    """(group, key, cluster): within each group, average-link clusters, merged while the mean similarity of two is least or more.
-
-    For groups of most rows at most, which are compared as a matrix; larger ones raise.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        if len(pdf) > most:
-            raise ValueError(f"a group of {len(pdf)} rows: split it first")
-        x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        sums, sizes, label = x @ x.T, np.ones(len(x)), np.arange(len(x))
-        alive = np.ones(len(x), bool)
-        while alive.sum() > 1:
-            mean = np.where(alive[:, None] & alive[None, :], sums / np.outer(sizes, sizes), -np.inf)
-            np.fill_diagonal(mean, -np.inf)
-            a, b = divmod(int(mean.argmax()), len(x))
-            if mean[a, b] < least:
-                break
-            a, b = min(a, b), max(a, b)
-            sums[a] += sums[b]
-            sums[:, a] += sums[:, b]
-            sizes[a] += sizes[b]
-            alive[b], label[label == b] = False, a
-        return pd.DataFrame({group: pdf[group], key: pdf[key], "cluster": pdf[key].to_numpy()[label]})
-
-    kind = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    return vectors.select(group, key, vector).groupBy(group).applyInPandas(run, f"{group} {kind[group]}, {key} {kind[key]}, cluster {kind[key]}")
-
-
 def trained_labels(vectors: DataFrame, label: str = "label", vector: str = "embedding", c: float = 1.0, top: int = 3) -> DataFrame:
     """vectors with predicted: the top labels of a logistic regression with their probabilities, likeliest first."""
     rows = vectors.withColumn("__x", array_to_vector(F.col(vector).cast("array<double>"))).withColumn("__y", F.col(label).cast("double"))

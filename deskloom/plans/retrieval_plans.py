@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from deskloom.functions.vocabulary import RANKING_STOP_WORDS
+from deskloom.operators import density
 from deskloom.operators import evaluation as ev
 from deskloom.operators import mining as mi
 from deskloom.operators import retrieval as re_
@@ -235,7 +236,12 @@ def kmeans(spark, d):
 
 @R.add("r11_linked_clusters")
 def linked(spark, d):
-    return mi.linked_clusters(table(spark, d, "embeddings"), "label", "vec_id", least=0.2)
+    return density.average_links(table(spark, d, "embeddings"), "label", "vec_id", least=0.2)
+
+
+@R.add("r11_density_clusters")
+def density_clusters(spark, d):
+    return density.density_clusters(table(spark, d, "embeddings"))
 
 
 @R.add("r15_trained_labels")

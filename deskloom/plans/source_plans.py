@@ -11,24 +11,12 @@ from deskloom.plans.registry import Registry
 from deskloom.sources import files
 from deskloom.sources.export import TicketExport
 from deskloom.sources.tables import table
+from deskloom.stores import scratch
 from deskloom.streaming import desk_stream as st
 
 R = Registry()
 
 
-def scratch(spark, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one where none is set and the session is local."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='deskloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @R.add("s1_scan", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
 def scan(spark, d):
     rows = table(spark, d, "lineitem").where("l_shipdate <= TIMESTAMP_NTZ '1998-09-02 00:00:00'")

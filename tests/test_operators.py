@@ -226,12 +226,6 @@ def test_noise_reason(spark):
     assert [r[0] for r in rows.select(mining.noise_reason(F.col("c"), F.col("t"))).collect()] == ["api", "short", "notice", None]
 
 
-def test_linked_clusters(spark):
-    rows = [(1, 1, [1.0, 0.0]), (1, 2, [0.99, 0.1]), (1, 3, [0.0, 1.0]), (2, 4, [1.0, 0.0])]
-    got = mining.linked_clusters(spark.createDataFrame(rows, "g long, k long, embedding array<double>"), "g", "k", least=0.8).collect()
-    assert {r.k: r.cluster for r in got} == {1: 1, 2: 1, 3: 3, 4: 4}
-
-
 def test_isotonic_with_one_class(spark):
     rows = spark.createDataFrame([(0.2, 1), (0.9, 1)], "p double, truth int")
     assert {r.calibrated for r in mining.isotonic(rows).collect()} == {1.0}
