@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -137,12 +138,12 @@ def clean_body(text: Column, most: int = 2000) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Plain text as HTML: blank lines part paragraphs, line ends are breaks, special characters are escaped."""
-    safe = text
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+    """Plain text as HTML: two line ends part paragraphs, single ones are breaks, special characters and quotes are escaped; one empty paragraph for no text."""
+    safe = F.coalesce(text, F.lit(""))
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         safe = F.replace(safe, F.lit(char), F.lit(entity))
-    parts = F.filter(F.split(safe, r"\n\s*\n"), lambda p: F.trim(p) != "")
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<p>"), F.replace(F.trim(p), F.lit("\n"), F.lit("<br>")), F.lit("</p>"))), "")
+    parts = F.split(F.regexp_replace(safe, r"(?U)^\s+|\s+$", ""), "\n\n")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit("<br>")), F.lit("</p>"))), "")
 
 
 def stripped_html(html: Column) -> Column:
@@ -267,30 +268,59 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b)])
 
 
+def _shared_counts(a: list[str], b: list[str]) -> np.ndarray:
+    """How many words a has in common, in order, with each beginning of b: a row of bits for b is moved on word by word of a."""
+    places: dict[str, int] = {}
+    for j, word in enumerate(b):
+        places[word] = places.get(word, 0) | 1 << j
+    row = whole = (1 << len(b)) - 1
+    for word in a:
+        met = row & places.get(word, 0)
+        row = (row + met | row - met) & whole
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.r_[0, np.cumsum(bits == 0)]
+
+
+def shared_words(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence in both, in linear space: a is halved, and b cut where the halves share most."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        low, high, left, right = todo.pop()
+        while low < high and left < right and a[low] == b[left]:
+            out.append((low, left))
+            low, left = low + 1, left + 1
+        while low < high and left < right and a[high - 1] == b[right - 1]:
+            high, right = high - 1, right - 1
+            out.append((high, right))
+        if low == high or left == right:
+            continue
+        if high - low == 1:
+            if a[low] in b[left:right]:
+                out.append((low, b.index(a[low], left, right)))
+            continue
+        middle = (low + high) // 2
+        ahead, back = _shared_counts(a[low:middle], b[left:right]), _shared_counts(a[middle:high][::-1], b[left:right][::-1])
+        cut = left + int((ahead + back[::-1]).argmax())
+        todo += [(low, middle, left, cut), (middle, high, cut, right)]
+    return sorted(out)
+
+
 @F.pandas_udf(T.StringType())
 def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    """A JSON list of [kind, words]: what two texts share, and what was removed and added, by a longest common subsequence of their words."""
+    """A JSON list of [kind, words]: what two texts share, and what was removed and added, by a longest common subsequence of their words. Null counts as empty."""
 
     def one(a, b):
         a, b = (a or "").split(), (b or "").split()
-        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in reversed(range(len(a))):
-            for j in reversed(range(len(b))):
-                table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
-        out: list[list] = []
+        out: list[tuple[str, list[str]]] = []
         i = j = 0
-        while i < len(a) or j < len(b):
-            if i < len(a) and j < len(b) and a[i] == b[j]:
-                kind, word, i, j = "equal", a[i], i + 1, j + 1
-            elif j == len(b) or i < len(a) and table[i + 1][j] >= table[i][j + 1]:
-                kind, word, i = "removed", a[i], i + 1
-            else:
-                kind, word, j = "added", b[j], j + 1
-            if out and out[-1][0] == kind:
-                out[-1][1] += f" {word}"
-            else:
-                out.append([kind, word])
-        return json.dumps(out, ensure_ascii=False)
+        for x, y in [*shared_words(a, b), (len(a), len(b))]:
+            for kind, words in (("removed", a[i:x]), ("added", b[j:y]), ("equal", a[x : x + 1])):
+                if words and out and out[-1][0] == kind:
+                    out[-1][1].extend(words)
+                elif words:
+                    out.append((kind, words))
+            i, j = x + 1, y + 1
+        return json.dumps([[kind, " ".join(words)] for kind, words in out], ensure_ascii=False)
 
     return pd.Series([one(a, b) for a, b in zip(before, after)])
 

@@ -120,7 +120,9 @@ def pending(spark, d):
 
 @R.add("c32_chunks")
 def chunks(spark, d):
-    return chunked(table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("body")))
+    spaced, heading = F.replace("text", F.lit("\n"), F.lit("\n\n")), lambda mark, name: F.concat(F.lit(f"\n{mark} "), name, F.lit("\n"))
+    body = F.concat(spaced, heading("##", F.col("source")), F.col("text"), heading("###", F.col("lang")), F.lit("#tag\n#### note\n"), spaced, heading("##", F.lit("Contact")), F.lit("Write to us."))
+    return chunked(table(spark, d, "documents").select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), body.alias("body")))
 
 
 def _events_folder(spark, d) -> tuple[str, object]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from deskloom.functions import routing as ro
 from deskloom.functions import text as tx
+from deskloom.functions.markup import sanitised as sanitised_html
 from deskloom.functions.vocabulary import INTENT_NAMES, KEYWORDS, RANKING_STOP_WORDS
 from deskloom.plans.registry import Registry
 from deskloom.sources.tables import table, views_sql
@@ -209,12 +210,20 @@ def stripped(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(tx.stripped_html(F.col("html"))).alias("preview"))
 
 
-@R.add("c25_paragraphs", "SELECT item_id, '<p>' || replace(replace(replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p><p>a &lt; b<br>c</p>' AS html FROM benchmark")
+@R.add(
+    "c25_paragraphs",
+    "SELECT item_id, '<p>' || replace(replace(replace(replace(replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') || '</p><p><br>&quot;a&quot; &lt; b<br>it&#x27;s</p>' AS html FROM benchmark",
+)
 def paragraphs(spark, d):
-    t = F.concat(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit("\n\n\na < b\nc"))
+    t = F.concat(F.lit("\n"), F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit("\n\n\n\"a\" < b\nit's\n"))
     return table(spark, d, "benchmark").select("item_id", tx.paragraphs(t).alias("html"))
 
 
+@R.add("c25_sanitised")
+def sanitised(spark, d):
+    return table(spark, d, "pages").select("page_id", sanitised_html("html").alias("html"))
+
+
 @R.add(
     "c22_fingerprint",
     f"""{D} SELECT id, sha1('[["' || policy_key || '", ["' || least(intent_a, intent_b) || '", "' || greatest(intent_a, intent_b) || '"]]]') AS fingerprint FROM policies""",
@@ -317,5 +326,5 @@ def identifiers(spark, d):
 
 @R.add("c35_word_diff")
 def word_diff(spark, d):
-    b = table(spark, d, "benchmark")
-    return b.select("item_id", tx.word_diff(F.col("text"), F.regexp_replace("text", r"\bthe\b", "a")).alias("diff"))
+    b = table(spark, d, "documents")
+    return b.select("doc_id", tx.word_diff(F.col("text"), F.regexp_replace("text", r"\bthe\b", "a")).alias("diff"))

@@ -218,7 +218,7 @@ def test_chunks():
     assert chunks.pack("w " * 220) == ["w " * 220]
     long = "\n\n".join(["w " * 99 + "w"] * 3)
     assert [len(c.split()) for c in chunks.pack(long)] == [100, 100, 100]
-    assert chunks.split_sections("too short\n# A\ntext") == [("A", "text")]
+    assert list(chunks.sections("T", "too short\n## A\ntext")) == [("T — A", "text")]
 
 
 def test_noise_reason(spark):
