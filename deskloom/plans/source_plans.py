@@ -138,9 +138,9 @@ def _events_folder(spark, d) -> tuple[str, object]:
 )
 def stream_daily(spark, d):
     path, schema = _events_folder(spark, d)
-    name = f"volumes_{uuid.uuid4().hex}"
-    st.run_once(st.daily_volumes(st.audit_stream(spark, path, schema)), scratch(spark, "check"), name=name)
-    return spark.table(name).select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")
+    target = scratch(spark, "volumes")
+    st.run_once(st.daily_volumes(st.audit_stream(spark, path, schema)), scratch(spark, "check"), st.by_batch(target))
+    return spark.read.parquet(target).select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
 @R.add("stream_once", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
@@ -155,9 +155,35 @@ def stream_once(spark, d):
 
 @R.add("stream_dead_letters", "SELECT 'good' AS kind, count(*) FILTER (event_id % 4 <> 0) AS n FROM events UNION ALL SELECT 'bad', count(*) FILTER (event_id % 4 = 0) FROM events")
 def dead_letters(spark, d):
+    path, good, bad = (scratch(spark, x) for x in ("lines", "good", "dead"))
     rows = table(spark, d, "events").select(F.when(F.col("event_id") % 4 != 0, F.to_json(F.struct("event_id", "event_type"))).otherwise(F.lit("{oops")).alias("value"))
-    good, bad = st.well_formed(rows, "event_id long, event_type string")
-    return good.agg(F.lit("good").alias("kind"), F.count("*").alias("n")).unionByName(bad.agg(F.lit("bad").alias("kind"), F.count("*").alias("n")))
+    rows.repartition(4).write.text(path)
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(path)
+    st.run_once(lines, scratch(spark, "check"), st.split_by_batch(good, bad, "event_id long, event_type string"))
+    count = lambda target, kind: spark.read.parquet(target).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    return count(good, "good").unionByName(count(bad, "bad"))
+
+
+#: Turns of a conversation that have come by each poll but the last, which has all.
+POLLS = (2, 4)
+_TURNS = f"""
+WITH c AS (SELECT conv_id, turn, role, CASE WHEN turn < {POLLS[0]} THEN 0 WHEN turn < {POLLS[1]} THEN 1 ELSE 2 END AS poll FROM conversations),
+p AS (SELECT conv_id, poll, count(*) AS n, max(turn) AS last, bool_or(role = 'user') AS asked, poll = min(poll) OVER (PARTITION BY conv_id) AS first FROM c GROUP BY conv_id, poll)
+SELECT conv_id AS ticket_id, n AS new_comments, last AS last_comment_id, CASE WHEN first THEN 'classify' WHEN NOT asked THEN 'append' WHEN conv_id % 5 = 0 THEN 'surface' ELSE 'reprocess' END AS action FROM p"""
+
+
+@R.add("stream_ticket_actions", _TURNS)
+def ticket_actions(spark, d):
+    folder, check, target = (scratch(spark, x) for x in ("polls", "check", "actions"))
+    status = F.when(F.col("conv_id") % 5 == 0, "closed").when(F.col("conv_id") % 5 == 1, "solved").otherwise("open")
+    rows = table(spark, d, "conversations").select(
+        F.col("conv_id").alias("ticket_id"), F.col("turn").alias("comment_id"), F.when(F.col("role") == "user", F.col("conv_id")).otherwise(-1).alias("author_id"), F.col("conv_id").alias("requester_id"), (F.col("role") != "system").alias("public"), status.alias("status"), F.timestamp_seconds(F.col("turn") * 60 + 1_750_000_000).alias("created_at")
+    )
+    for upto in (*POLLS, None):
+        # each poll brings whole threads, and a query that starts again where the last one stopped
+        (rows if upto is None else rows.where(F.col("comment_id") < upto)).write.mode("append").parquet(folder)
+        st.run_once(st.ticket_actions(st.audit_stream(spark, folder, rows.schema)), check, st.by_batch(target))
+    return spark.read.parquet(target).drop("batch")
 
 
 @R.add("s7_markdown", "SELECT item_id, 'Item ' || item_id AS title, ['a', 'b'] AS tags, md5(text) AS body FROM benchmark")
