@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from deskloom.stores import numbered_by, stored
+
 #: What stands for the messages that were left out.
 OMITTED = "[… %s earlier message(s) omitted …]"
 
@@ -135,3 +137,28 @@ def people_once(people: Column) -> Column:
 def notes_of(messages: DataFrame, authors: list[int], after, before) -> DataFrame:
     """Messages that are surely internal, by the authors and within the turns: a message whose flag is missing isn't."""
     return messages.where((F.col("public") == F.lit(False)) & F.col("author_id").isin(*authors) & F.col("turn").between(after, before))
+
+
+def dealt_pairs(rows: DataFrame, same: Column, month: str, key: str, least: int, most: int, size: int) -> DataFrame:
+    """(key, month, frequency, batch): templates and single letters, dealt out in turn to batches of size at most.
+
+    Rows that are the same are one, the one with the smallest key, and a template if
+    there are least of them. What templates leave of most is shared out to the months by
+    their singles, one at least, and each month's share is taken evenly from its singles
+    by key. Templates come first, the most frequent ones leading, then singles by month
+    and key. key is unique; null months are a month.
+    """
+    kinds = rows.groupBy(same.alias("__same")).agg(F.min_by(F.struct(key, month), key).alias("__r"), F.count("*").alias("frequency")).select(f"__r.{key}", f"__r.{month}", "frequency")
+    kinds = stored(kinds, "kinds")
+    templates, singles = kinds.where(F.col("frequency") >= least), kinds.where(F.col("frequency") < least)
+    budget, total = most - templates.count(), singles.count()
+    placed = numbered_by(singles, "__place", month, key)
+    months = placed.groupBy(month).agg(F.min("__place").alias("__first"), F.count("*").alias("__n")).withColumnRenamed(month, "__month")
+    share = F.greatest(F.lit(1), F.bround(F.lit(float(budget)) * F.col("__n") / F.lit(max(total, 1)))).cast("long")
+    months = months.withColumn("__share", share).withColumn("__step", F.greatest(F.lit(1), F.floor(F.col("__n") / F.col("__share"))))
+    at = F.col("__place") - F.col("__first")
+    sampled = placed.join(months, F.col(month).eqNullSafe(F.col("__month"))).where((at % F.col("__step") == 0) & (at < F.col("__step") * F.col("__share")))
+    both = templates.select(key, month, "frequency", F.lit(0).alias("__bucket")).unionByName(sampled.select(key, month, "frequency", F.lit(1).alias("__bucket")))
+    order = F.struct("__bucket", F.when(F.col("__bucket") == 0, -F.col("frequency")).otherwise(0).alias("n"), F.when(F.col("__bucket") == 1, F.col(month)).alias("m"), key)
+    pairs = stored(numbered_by(both.withColumn("__order", order), "batch", "__order"), "pairs")
+    return pairs.select(key, month, "frequency", F.pmod("batch", F.lit(max(1, -(-pairs.count() // size)))).alias("batch"))

@@ -125,12 +125,12 @@ def templates(spark, d):
 
 @R.add(
     "a27_label_index",
-    f"""{D}, p AS (SELECT DISTINCT label, id FROM (SELECT unnest([intent_a, intent_b]) AS label, id FROM policies WHERE status = 'inactive' AND id % 3 = 0)),
+    f"""{D}, p AS (SELECT DISTINCT label, id FROM (SELECT unnest([intent_a, intent_b]) AS label, id FROM policies)),
     v AS (SELECT unnest([{", ".join(f"'{x}'" for x in INTENT_NAMES)}, 'unused']) AS label)
     SELECT v.label, coalesce(list(p.id ORDER BY p.id) FILTER (p.id IS NOT NULL), []) AS keys FROM v LEFT JOIN p ON p.label = v.label GROUP BY v.label""",
 )
 def label_index(spark, d):
-    rows = table(spark, d, "policies").where("status = 'inactive' AND id % 3 = 0").withColumn("labels", F.array("intent_a", "intent_b"))
+    rows = table(spark, d, "policies").withColumn("labels", F.array("intent_a", "intent_b"))
     vocabulary = spark.createDataFrame([(x,) for x in (*INTENT_NAMES, "unused")], "label string")
     return an.label_index(rows, "labels", "id", vocabulary)
 

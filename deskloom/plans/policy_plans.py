@@ -74,9 +74,9 @@ def insert_once(spark, d):
     return po.inserted_once(rows.where("event_id % 3 = 0"), rows.where("event_id % 5 = 0"), "event_id")
 
 
-@R.add("w4_patch", f"{views_sql('tickets')} SELECT id, 'approved' AS status, lane FROM tickets WHERE id % 7 = 0")
+@R.add("w4_patch", f"{views_sql('tickets')} SELECT id, 'approved' AS status, lane FROM tickets")
 def patch(spark, d):
-    rows = table(spark, d, "tickets").where("id % 7 = 0").select("id", "status", "lane")
+    rows = table(spark, d, "tickets").select("id", "status", "lane")
     return po.patched(rows, {"status": F.lit("approved"), "lane": F.lit("faq"), "bogus": F.lit(1)}, ("status", "owner_id"))
 
 
@@ -114,14 +114,14 @@ def slug(spark, d):
 
 @R.add(
     "j10_pruned_conflicts",
-    f"""{D}, t AS (SELECT policy_key FROM policies WHERE status = 'active' AND superseded_by IS NULL), r AS (SELECT id, unnest(['policy_' || (id + 3), 'policy_' || (id + 1), 'policy_' || (id * 2)]) AS policy_key, unnest([1, 2, 3]) AS pos FROM policies WHERE id % 8 = 1)
+    f"""{D}, t AS (SELECT policy_key FROM policies WHERE status = 'active' AND superseded_by IS NULL), r AS (SELECT id, unnest(['policy_' || (id + 3), 'policy_' || (id + 1), 'policy_' || (id * 2)]) AS policy_key, unnest([1, 2, 3]) AS pos FROM policies)
     SELECT r.id, coalesce(list(t.policy_key ORDER BY pos) FILTER (t.policy_key IS NOT NULL), []) AS kept, CASE WHEN count(t.policy_key) = 0 THEN 'No conflicts.' ELSE count(t.policy_key) || ' conflict(s).' END AS summary FROM r LEFT JOIN t USING (policy_key) GROUP BY r.id""",
 )
 def conflicts(spark, d):
     rows = table(spark, d, "policies")
     key = lambda x: F.concat(F.lit("policy_"), x.cast("string"))
     i = F.col("id")
-    return po.pruned_conflicts(rows.where("id % 8 = 1").select("id", F.array(key(i + 3), key(i + 1), key(i * 2)).alias("keys")), po.live_tips(rows))
+    return po.pruned_conflicts(rows.select("id", F.array(key(i + 3), key(i + 1), key(i * 2)).alias("keys")), po.live_tips(rows))
 
 
 @R.add("w14_review_state", f"{A} SELECT email_id, arg_max(action, (ts, id)) AS state, count(*) AS changes FROM audit_log GROUP BY email_id")
@@ -240,7 +240,7 @@ def people_once(spark, d):
 
 @R.add("w13_learned")
 def learned(spark, d):
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 20).alias("title"), F.col("text").alias("content"))
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("title"), F.col("text").alias("content"))
     old = b.where("id % 2 = 0").withColumn("seen_count", F.lit(1).cast("long"))
     new = b.select((F.col("id") + 1000).alias("id"), "title", F.concat("content", F.lit(" please")).alias("content"), (F.col("id") % 3 > 0).alias("edited"), F.lit(True).alias("had_placeholder"))
     return po.learned(old, new)

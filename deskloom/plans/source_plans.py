@@ -10,6 +10,7 @@ from deskloom.functions.chunks import chunked
 from deskloom.plans.registry import Registry
 from deskloom.sources import files
 from deskloom.sources.export import TicketExport
+from deskloom.sources.matrix import Matrix
 from deskloom.sources.tables import table
 from deskloom.stores import scratch
 from deskloom.streaming import desk_stream as st
@@ -45,10 +46,9 @@ def rotated(spark, d):
     for i in range(3):
         rows = table(spark, d, "events").where(F.col("event_id") % 3 == i)
         lines = rows.select(F.to_json(F.struct(F.col("user_id").alias("email_id"), F.col("event_type").alias("stage"))).alias("value"))
-        # a rotated file is one file; Spark's part files stand in one folder for each generation
-        lines.write.text(f"{folder}/generation={i}")
-    rows = spark.read.schema("email_id long, stage string").option("mode", "DROPMALFORMED").json(folder)
-    return rows.where("email_id = 7").groupBy(F.col("generation").cast("long").alias("generation")).agg(F.count("*").alias("n"))
+        lines.write.text(f"{folder}/trace.jsonl.{i}" if i else f"{folder}/trace.jsonl")
+    rows = files.rotated_log(spark, folder, "trace.jsonl", email_id=7)
+    return rows.groupBy(F.col("generation").cast("long").alias("generation")).agg(F.count("*").alias("n"))
 
 
 @R.add("s9_child_events", "SELECT o_orderkey AS ticket_id, l_linenumber AS event_id, l_returnflag AS body FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linestatus = 'F'")
@@ -82,13 +82,13 @@ EXPORTED = "SELECT event_id AS id, event_type AS subject, user_id AS requester_i
 
 @R.add("s8_s10_export", EXPORTED.format(complete="true"))
 def exported(spark, d):
-    rows = spark.read.format("ticket_export").option("path", _export(spark, d, True)).option("start", "first").option("pages", 1_000_000).load()
+    rows = spark.read.format("ticket_export").option("path", _export(spark, d, True)).option("start", "first").load()
     return rows.select("id", "subject", "requester_id", "requester_name", "complete")
 
 
 @R.add("s13_truncated_export", EXPORTED.format(complete="event_id // 500 < (SELECT max(event_id) // 500 FROM events)"))
 def truncated(spark, d):
-    rows = spark.read.format("ticket_export").option("path", _export(spark, d, False)).option("start", "first").option("pages", 1_000_000).load()
+    rows = spark.read.format("ticket_export").option("path", _export(spark, d, False)).option("start", "first").load()
     return rows.select("id", "subject", "requester_id", "requester_name", "complete")
 
 
@@ -97,10 +97,20 @@ def users_once(spark, d):
     return table(spark, d, "events").dropDuplicates(["user_id"]).select("user_id")
 
 
-@R.add("s12_vectors", "SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 4) AS norm FROM embeddings")
+@R.add(
+    "s12_vectors",
+    """WITH e AS (SELECT vec_id % 7 AS k, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS row FROM embeddings WHERE embedding IS NOT NULL)
+    SELECT row, list_transform(embedding, lambda x: x * CAST(k AS FLOAT) + CAST(0 AS FLOAT)) AS vector, CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS length FROM e""",
+)
 def vectors(spark, d):
-    norm = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    return table(spark, d, "embeddings").select("vec_id", F.round(norm, 4).alias("norm"))
+    """The matrix as it was written, and the lengths of its rows as they are read scaled; every seventh row has zeros."""
+    spark.dataSource.register(Matrix)
+    path, by = scratch(spark, "matrix"), (F.col("vec_id") % 7).cast("float")
+    rows = table(spark, d, "embeddings").where("embedding IS NOT NULL").repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id")
+    rows.select(F.transform("embedding", lambda x: x * by + F.lit(0).cast("float")).alias("vector")).write.format("npy_matrix").mode("append").option("rows", 100).save(path)
+    read = lambda scaled: spark.read.format("npy_matrix").option("rows", 64).option("scaled", scaled).load(path)
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+    return read("false").join(read("true").select("row", F.round(length, 4).alias("length")), "row")
 
 
 @R.add("w1_w7_append", "SELECT action, count(*) AS n FROM (SELECT event_type AS action FROM events UNION ALL SELECT 'extra' FROM nation) GROUP BY 1")

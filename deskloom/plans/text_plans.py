@@ -279,11 +279,11 @@ def labels(spark, d):
     return rows.select("id", "x.label", "x.is_fallback", "known")
 
 
-@R.add("c36_display", f"{T} SELECT id, upper(left(intent, 1)) || replace(substr(intent, 2), '_', ' ') AS label, 'C' AS initials, CASE WHEN date_diff('day', received_at, TIMESTAMP '2001-08-02') >= 0 THEN 'd' END AS unit FROM tickets WHERE received_at < TIMESTAMP '2001-07-31'")
+@R.add("c36_display", f"{T} SELECT id, upper(left(intent, 1)) || replace(substr(intent, 2), '_', ' ') AS label, 'C' AS initials, CASE WHEN date_diff('day', received_at, TIMESTAMP '2001-08-02') >= 1 THEN 'd' END AS unit FROM tickets")
 def display(spark, d):
-    rows = table(spark, d, "tickets").where("received_at < TIMESTAMP_NTZ '2001-07-31 00:00:00'")
+    rows = table(spark, d, "tickets")
     age = tx.age_label(F.col("received_at"), dt.datetime(2001, 8, 2))
-    return rows.select("id", tx.display_label(F.col("intent")).alias("label"), tx.initials(F.substring("sender", 1, 8)).alias("initials"), F.regexp_extract(age, r"^\d+([mhd]) ago$", 1).alias("unit"))
+    return rows.select("id", tx.display_label(F.col("intent")).alias("label"), tx.initials(F.col("sender")).alias("initials"), F.regexp_extract(age, r"^\d+([mhd]) ago$", 1).alias("unit"))
 
 
 @R.add("c37_template_draft", f"{D} SELECT id, md5('Thank you.' || chr(10) || chr(10) || concat_ws(chr(10) || chr(10), title, content) || chr(10) || chr(10) || 'Kind regards') AS draft FROM policies")

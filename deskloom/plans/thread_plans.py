@@ -99,3 +99,17 @@ def assign_once(spark, d):
 def threads(spark, d):
     emails = table(spark, d, "tickets").where("id < 200").select(F.col("id").alias("email_id"))
     return th.with_results(emails, table(spark, d, "messages")).select(F.col("email_id").alias("id"), "thread")
+
+
+@R.add(
+    "u5_dealt_pairs",
+    """WITH k AS (SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, count(*) AS frequency FROM documents GROUP BY text),
+    s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM k WHERE frequency < 2),
+    q AS (SELECT *, greatest(1, CAST(round_even((500 - (SELECT count(*) FROM k WHERE frequency >= 2))::DOUBLE * n / total, 0) AS BIGINT)) AS share FROM s),
+    g AS (SELECT doc_id, source, frequency FROM q WHERE i % greatest(1, n // share) = 0 AND i < greatest(1, n // share) * share),
+    b AS (SELECT doc_id, source, frequency, row_number() OVER (ORDER BY frequency DESC, doc_id) - 1 AS place FROM k WHERE frequency >= 2
+        UNION ALL SELECT doc_id, source, frequency, (SELECT count(*) FROM k WHERE frequency >= 2) + row_number() OVER (ORDER BY source, doc_id) - 1 FROM g)
+    SELECT doc_id, source, frequency, place % (((SELECT count(*) FROM b) + 39) // 40) AS batch FROM b""",
+)
+def dealt_pairs(spark, d):
+    return th.dealt_pairs(table(spark, d, "documents"), F.col("text"), "source", "doc_id", least=2, most=500, size=40)

@@ -9,6 +9,7 @@ cursor, so Spark's checkpoint is the export's.
 from __future__ import annotations
 
 import json
+import math
 import time
 import urllib.error
 import urllib.parse
@@ -63,7 +64,7 @@ def rows_of(found: dict, complete: bool) -> Iterator[tuple]:
 class _Batch(DataSourceReader):
     """One partition follows the cursors of the pages; several take numbered pages in turn, so a long export is read in parallel."""
 
-    def __init__(self, where: str, start: int | str, most: int, parts: int):
+    def __init__(self, where: str, start: int | str, most: float, parts: int):
         self.where, self.start, self.most, self.parts = where, start, most, parts
         if parts > 1 and not str(start).isdigit():
             raise ValueError("pages are read in parallel only where cursors are numbers")
@@ -76,12 +77,10 @@ class _Batch(DataSourceReader):
 
     def _chain(self):
         at, found = self.start, page(self.where, self.start)
-        for _ in range(self.most):
-            if found is None:
-                return
-            ended = bool(found.get("end_of_stream"))
-            at = following(found, at)
-            later = None if ended or at is None else page(self.where, at)
+        read = 0
+        while found is not None:
+            read, ended, at = read + 1, bool(found.get("end_of_stream")), following(found, at)
+            later = None if ended or at is None or read >= self.most else page(self.where, at)
             yield from rows_of(found, ended or later is not None)
             found = later
 
@@ -91,7 +90,8 @@ class _Batch(DataSourceReader):
             if not str(found.get("after_cursor", at + 1)).isdigit():
                 raise ValueError("pages are read in parallel only where cursors are numbers")
             ended = bool(found.get("end_of_stream"))
-            yield from rows_of(found, ended or page(self.where, at + 1) is not None)
+            within = at + 1 < int(self.start) + self.most
+            yield from rows_of(found, ended or within and page(self.where, at + 1) is not None)
             if ended:
                 return
             at += self.parts
@@ -129,10 +129,12 @@ class _Stream(SimpleDataSourceStreamReader):
 
 
 class TicketExport(DataSource):
-    """format("ticket_export") with options path, start (cursor), pages (most, of a read or a micro-batch) and parts.
+    """format("ticket_export") with options path, start (cursor), pages and parts.
 
-    complete is false in rows of a page after which the export broke off without an
-    end: a truncated export shows.
+    pages: the most of a read, which has no limit without it, or of a micro-batch, 1000
+    without it; a stream goes on with the others. complete is false in rows of a page
+    after which the export broke off without an end, or pages ended the read: a
+    truncated export shows.
     """
 
     @classmethod
@@ -142,12 +144,12 @@ class TicketExport(DataSource):
     def schema(self):
         return SCHEMA
 
-    def _where(self):
+    def _where(self, most: float):
         start = self.options.get("start", "0")
-        return self.options["path"], int(start) if start.isdigit() else start, int(self.options.get("pages", 1000))
+        return self.options["path"], int(start) if start.isdigit() else start, int(self.options["pages"]) if "pages" in self.options else most
 
     def reader(self, schema):
-        return _Batch(*self._where(), int(self.options.get("parts", 1)))
+        return _Batch(*self._where(math.inf), int(self.options.get("parts", 1)))
 
     def simpleStreamReader(self, schema):
-        return _Stream(*self._where())
+        return _Stream(*self._where(1000))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +23,12 @@ def json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 
 
 def rotated_log(spark: SparkSession, folder: str, name: str, email_id: int | None = None, schema: str = TRACE) -> DataFrame:
-    """name.3, name.2, name.1 and name, with generation: the oldest has the largest number, the current file 0. Sort by it, falling, for the order of writing."""
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("pathGlobFilter", f"{name}*").json(folder)
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"\.(\d+)$", 1)
+    """name.3, name.2, name.1 and name, with generation: the oldest has the largest number, the current one 0. Sort by it, falling, for the order of writing.
+
+    Each is a file, or a folder of files as Spark writes them; other names in the folder aren't read.
+    """
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(f"{folder}/{name}{{,.[0-9],.[0-9][0-9],.[0-9][0-9][0-9]}}")
+    number = F.regexp_extract(F.col("_metadata.file_path"), rf".*/{re.escape(name)}(?:\.(\d+))?(?:/[^/]*)?$", 1)
     rows = rows.withColumn("generation", F.coalesce(number.try_cast("int"), F.lit(0)))
     return rows if email_id is None else rows.where(F.col("email_id") == email_id)
 
