@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from deskloom.stores import stored
+
 
 def noise_reason(channel: Column, text: Column, notice: str = r"(?i)automatic (reply|notice)|do not reply", forward: str = r"(?i)^\s*fwd?:") -> Column:
     """Why a row is noise, the first reason that holds, or null."""
@@ -44,7 +46,7 @@ def overlap(a: Column, b: Column) -> Column:
 def tfidf_terms(docs: DataFrame, cluster: str, doc: str, tokens: Column, n: int = 5, least_df: int = 5, most_share: float = 0.5) -> DataFrame:
     """(cluster, term, weight, place): each cluster's n terms of the largest mean weight; smooth idf, rows of length 1, terms in least_df documents or more and most_share of them at most."""
     total = docs.count()
-    counts = docs.select(cluster, doc, F.explode(tokens).alias("term")).groupBy(cluster, doc, "term").agg(F.count("*").alias("tf"))
+    counts = stored(docs.select(cluster, doc, F.explode(tokens).alias("term")).groupBy(cluster, doc, "term").agg(F.count("*").alias("tf")), "counts")
     df = counts.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= least_df) & (F.col("df") <= most_share * total))
     rows = counts.join(df, "term").withColumn("w", F.col("tf") * (F.log((1.0 + total) / (1 + F.col("df"))) + 1))
     norms = rows.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

@@ -43,13 +43,18 @@ def _asked(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _bm25(spark, d, k=10):
-    return re_.bm25(_asked(spark, d), table(spark, d, "documents").select("doc_id", "text"), k)
+def _index(spark, d):
+    return re_.corpus_index(table(spark, d, "documents").select("doc_id", "text"))
 
 
-def _words(spark, d):
-    """A second ranking of all documents, by the cosine of their words with the query's."""
-    return re_.word_cosine(_asked(spark, d), table(spark, d, "documents").select("doc_id", "text"), 10)
+def _bm25(spark, d, index=None, k=10):
+    return re_.bm25(_asked(spark, d), table(spark, d, "documents").select("doc_id", "text"), k, index=index)
+
+
+def _both(spark, d):
+    """Two rankings of all documents, by BM25 and by the cosine of their words with the query's, over one index."""
+    index = _index(spark, d)
+    return _bm25(spark, d, index), re_.word_cosine(_asked(spark, d), None, 10, index=index)
 
 
 def _dense(spark, d, k=5):
@@ -70,7 +75,7 @@ def dense(spark, d):
 
 @R.add("r3_fusion", f"WITH {BM25}, {WORDS}, {FUSED} SELECT query_id, doc_id, score, rank FROM fu")
 def fusion(spark, d):
-    return re_.fuse([_bm25(spark, d), _words(spark, d)], 5)
+    return re_.fuse(list(_both(spark, d)), 5)
 
 
 @R.add(
@@ -80,7 +85,7 @@ def fusion(spark, d):
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM p QUALIFY rank <= 5""",
 )
 def intent_prior(spark, d):
-    a, b = _bm25(spark, d), _words(spark, d)
+    a, b = _both(spark, d)
     pairs = a.select("query_id", "doc_id").unionByName(b.select("query_id", "doc_id")).distinct()
     prior = pairs.where("doc_id % 14 = query_id % 14").withColumn("bonus", F.lit(1 / 61))
     return re_.fuse([a, b], 5, prior=prior)
@@ -133,7 +138,7 @@ def coverage(spark, d):
     SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS place FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place) <= 20""",
 )
 def interleave(spark, d):
-    return re_.interleave(_bm25(spark, d), _words(spark, d))
+    return re_.interleave(*_both(spark, d))
 
 
 @R.add(
@@ -181,7 +186,7 @@ def reevaluation(spark, d):
 def conflict_candidates(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    return re_.top_k(re_.bm25_scores(asked, docs, "doc_id", F.col("text"), F.col("text")).where("score > 0 AND doc_id <> query_id"), 10)
+    return re_.bm25_top(asked, re_.corpus_index(docs), 10, F.col("text"), own=False)
 
 
 @R.add(
@@ -190,7 +195,7 @@ def conflict_candidates(spark, d):
     SELECT variant, k, count(DISTINCT CASE WHEN rank <= k THEN query_id END) AS hits FROM r JOIN gold USING (query_id, doc_id), (VALUES (1), (3), (5)) v(k) GROUP BY ALL""",
 )
 def ablation(spark, d):
-    a, b = _bm25(spark, d), _words(spark, d)
+    a, b = _both(spark, d)
     runs = [x.select(F.lit(name).alias("variant"), "query_id", "doc_id", "rank") for name, x in (("bm25", a), ("words", b), ("fusion", re_.fuse([a, b], 5)))]
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     gold = re_.containing(table(spark, d, "documents"), items)

@@ -341,14 +341,6 @@ def test_learned_with_many_suggestions(spark):
     assert len(got) == 1500 and got[3] == got[1400] == 3 and sum(got.values()) == 1504
 
 
-def test_dense_with_many_queries(spark, monkeypatch):
-    v = spark.range(40).selectExpr("id AS doc_id", "array(cos(id), sin(id)) AS vector")
-    q = v.withColumnRenamed("doc_id", "query_id")
-    want = sorted(map(tuple, retrieval.dense(q, v, 3).collect()))
-    monkeypatch.setattr(retrieval, "MOST_QUERIES", 12)
-    assert len(want) == 120 and sorted(map(tuple, retrieval.dense(q, v, 3).collect())) == want
-
-
 def test_export_follows_named_cursors(spark, tmp_path):
     (tmp_path / "first.json").write_text(json.dumps({"records": [{"id": 1}], "after_cursor": "x=="}))
     (tmp_path / "x==.json").write_text(json.dumps({"records": [{"id": 2}], "after_cursor": "y", "end_of_stream": True}))
