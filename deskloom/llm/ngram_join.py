@@ -119,8 +119,12 @@ def _profiles(n: int, num: int, den: int):
     return run
 
 
-def _segments(n: int):
-    edges = np.array([(i << 64) // PARTS for i in range(1, PARTS)], np.uint64)
+#: Where the order is cut into fragments.
+EDGES = np.array([(i << 64) // PARTS for i in range(1, PARTS)], np.uint64)
+
+
+def _segments(n: int, parts: int):
+    """The sets of classes, as PARTS fragments or, if parts is 1, whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -128,9 +132,9 @@ def _segments(n: int):
             for cls, s in zip(batch.column("cls").to_pylist(), ngram_sets(batch.column("text"), n), strict=True):
                 if _class(s) == cls:  # else it is another row of the same doc_id
                     owners.append(cls)
-                    grams += np.split(s, np.searchsorted(s, edges))
-            part = np.tile(np.arange(PARTS, dtype=np.int32), len(owners))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(owners, np.int64), PARTS)), pa.array(part), _lists(grams)], ["cls", "part", "grams"])
+                    grams += np.split(s, np.searchsorted(s, EDGES)) if parts > 1 else [s]
+            part = np.tile(np.arange(parts, dtype=np.int32), len(owners))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(owners, np.int64), parts)), pa.array(part), _lists(grams)], ["cls", "part", "grams"])
 
     return run
 
@@ -139,15 +143,18 @@ def _block_links(num: int, den: int):
     """Links of one block pair: each class with the least that it reaches within the pair."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        classes, row = np.unique(pdf["cls"].to_numpy(), return_inverse=True)
-        overlap, size = np.zeros((len(classes), len(classes)), np.float32), np.zeros(len(classes), np.int64)
-        for _, part in pdf.assign(row=row).groupby("part"):
-            lengths = part["grams"].map(len).to_numpy()
+        # a class of one block paired with itself comes once
+        pdf = pdf.drop_duplicates("cls").sort_values("cls")
+        classes, sets = pdf["cls"].to_numpy(), [np.asarray(s, np.int64).view(np.uint64) for s in pdf["grams"]]
+        overlap, size = np.zeros((len(classes), len(classes)), np.float32), np.array([len(s) for s in sets])
+        cuts = np.array([[0, *np.searchsorted(s, EDGES), len(s)] for s in sets])
+        for part in range(PARTS):
+            grams = [s[a:b] for s, a, b in zip(sets, cuts[:, part], cuts[:, part + 1])]
+            lengths = np.array([len(g) for g in grams])
             if not lengths.sum():
                 continue
-            np.add.at(size, part["row"].to_numpy(), lengths)
-            _, ids, often = np.unique(np.concatenate(part["grams"].to_list()), return_inverse=True, return_counts=True)
-            owner = np.repeat(part["row"].to_numpy(), lengths)
+            _, ids, often = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+            owner = np.repeat(np.arange(len(classes)), lengths)
             shared = often[ids] > 1
             _, ids = np.unique(ids[shared], return_inverse=True)
             owner, order = owner[shared], np.argsort(ids, kind="stable")
@@ -202,15 +209,15 @@ class _Sets:
     def __init__(self, docs: DataFrame, names: DataFrame, n: int, repeated: bool):
         self.docs, self.names, self.n, self.repeated = docs, names, n, repeated
 
-    def of(self, classes: DataFrame) -> DataFrame:
-        """(cls, part, grams) for classes (cls), from one document of each."""
+    def of(self, classes: DataFrame, parts: int = PARTS) -> DataFrame:
+        """(cls, part, grams) for classes (cls), from one document of each; parts is PARTS, or 1 for whole sets."""
         first = stored(self.names.join(classes.distinct(), "cls", "left_semi"), "compared")
         docs = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         if first.count() <= LISTED:
             docs = docs.join(F.broadcast(first), "doc_id")
         else:
             docs = marked(docs, "doc_id", first).where("__hit").drop("__hit").join(first, "doc_id")
-        sets = docs.select("cls", "text").mapInArrow(_segments(self.n), "cls long, part int, grams array<long>")
+        sets = docs.select("cls", "text").mapInArrow(_segments(self.n, parts), "cls long, part int, grams array<long>")
         return stored(sets.dropDuplicates(["cls", "part"]) if self.repeated else sets, "sets")
 
 
@@ -273,7 +280,7 @@ def _block_pairs(large: DataFrame, sets: _Sets, num: int, den: int) -> DataFrame
     rows = large.join(keys, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls", "key"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cls", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    found = rows.join(sets.of(large.select("cls")), "cls")
+    found = rows.join(sets.of(large.select("cls"), parts=1), "cls")
     return found.groupBy("key", "p", "q").applyInPandas(_block_links(num, den), "a long, b long")
 
 
