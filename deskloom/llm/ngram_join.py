@@ -197,7 +197,8 @@ def _kept_keys(profiles: DataFrame, num: int, den: int) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("often")).where("low < high")
     shared = stored(shared.select("key", "often"), "shared")
     # the keys that nobody shares, nearly all, don't get past the filter to the second shuffle
-    rows = marked(keyed, "key", shared).where("__hit").drop("__hit").join(shared, "key").distinct()
+    # dealt by class before rows of equal documents go, so that Spark can split a key that many classes have
+    rows = marked(keyed, "key", shared).where("__hit").drop("__hit").join(shared, "key").repartition("cls").distinct()
     mine = W.partitionBy("cls")
     rows = rows.withColumn("place", F.row_number().over(mine.orderBy(F.desc("often"), F.desc("key")))).withColumn("weight", F.sum("often").over(mine))
     return stored(rows.where(F.col("place") > F.expr(_spare("n", num, den))).select("key", "cls", "n", "weight"), "members")
