@@ -107,12 +107,16 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def _profiles(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in _slices(batches):
             sizes, classes, keys = [], [], []
-            for s in ngram_sets(batch.column("text"), n):
+            for doc, s in zip(batch.column("doc_id"), ngram_sets(batch.column("text"), n), strict=True):
                 sizes.append(len(s))
                 classes.append(_class(s))
-                keys.append(s[: prefix_length(len(s), num, den)] if len(s) else s)
+                again = classes[-1] in seen
+                keys.append(s[: 0 if again else prefix_length(len(s), num, den)] if len(s) else s)
+                if doc.is_valid:
+                    seen.add(classes[-1])
             made = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), _lists(keys)]
             yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_shingles", "cls", "keys"])
 
@@ -182,7 +186,7 @@ def _block_links(num: int, den: int):
 
 
 def ngram_profiles(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Each document's doc_id, n_shingles (set size), cls (the hash of its set) and keys (its prefix in the global order)."""
+    """Each document's doc_id, n_shingles (set size), cls (the hash of its set) and keys (its prefix in the global order, once a task for equal sets)."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _profiles(n, num, den), "doc_id long, n_shingles long, cls long, keys array<long>"
     )
