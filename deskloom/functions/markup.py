@@ -44,7 +44,7 @@ def safe_link(tag: str, name: str, value: str) -> bool:
     return not found or found[1] in PROTOCOLS
 
 
-def _tag(text: str, at: int) -> tuple[str, list[tuple[str, str]], int] | None:
+def tag_at(text: str, at: int) -> tuple[str, list[tuple[str, str]], int] | None:
     """(name, attributes, end) of the tag whose name begins at at; None if the text ends within it."""
     name = _NAME.match(text, at)
     at, found = name.end(), []
@@ -110,7 +110,7 @@ def clean(text: str | None) -> str | None:
         say(text[at:start])
         after = text[start + 1 : start + 2]
         if after.isascii() and after.isalpha():
-            found = _tag(text, start + 1)
+            found = tag_at(text, start + 1)
             if not found:
                 say(text[start:])
                 break
@@ -129,7 +129,7 @@ def clean(text: str | None) -> str | None:
                     opened.append(tag)
                     count[tag] += 1
         elif after == "/" and text[start + 2 : start + 3].isascii() and text[start + 2 : start + 3].isalpha():
-            found = _tag(text, start + 2)
+            found = tag_at(text, start + 2)
             if not found:
                 say(text[start:])
                 break
