@@ -12,8 +12,10 @@ from deskloom.llm.shared import numbered, stored, word_count
 BINS, LEVELS = 4096, 2
 #: A document is large if it has more than one part in so many of what its source lacks.
 LARGE = 64
-#: Inclusion probabilities of the rest lie between this and 1 less it.
-LEAST = 1e-9
+#: Inclusion probabilities that aren't 1 lie between this and 1 less it.
+LEAST = 1e-12
+#: Ranks are the quotients' binary logarithms, scaled from this range (plus and minus) to 0 to 1, so that small probabilities' ranks don't crowd.
+POWERS = 128
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
@@ -50,13 +52,36 @@ def pareto_odds(u: Column, inclusion: Column) -> Column:
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    """rows (size, hash, lack, scale) with inclusion, tier and rank: the Pareto quotient q as q / (1 + q)."""
+    """rows (size, hash, lack, scale) with inclusion, tier and rank: the Pareto quotient's logarithm, scaled; certain documents have rank 0."""
+    certain = F.col("scale") * F.col("size") >= 1
     inclusion = F.least(F.lit(1 - LEAST), F.greatest(F.lit(LEAST), F.col("scale") * F.col("size")))
     u = (F.shiftrightunsigned("hash", 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
-    rows = rows.withColumn("inclusion", inclusion).withColumn("rank", pareto_odds(u, F.col("inclusion")))
+    rows = rows.withColumn("rank", F.when(certain, F.lit(0.0)).otherwise(0.5 + F.log2(pareto_odds(u, inclusion)) / (2 * POWERS)))
     over, large = F.col("size") > F.col("lack"), F.col("size") * LARGE > F.col("lack")
     tier = F.when((F.col("size") <= 0) | (F.col("lack") <= 0), F.lit(None)).when(over, "over").when(large, "large").otherwise("small")
-    return rows.withColumn("rank", F.col("rank") / (1 + F.col("rank"))).withColumn("tier", tier)
+    return rows.withColumn("inclusion", F.when(certain, F.lit(1.0)).otherwise(inclusion)).withColumn("tier", tier)
+
+
+def _levelled(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan (source, lack, ...) with scale: inclusion probabilities min(1, scale * size) then add up to lack words.
+
+    sizes: (source, size, n), n documents of a size. Documents whose probability would
+    pass 1 are certain, and what that leaves goes to the others, until no more are.
+    """
+    rows = stored(_same(sizes.where("size > 0"), plan.where("lack > 0").select("source", "lack")).withColumn("scale", F.lit(0.0)), "levels")
+    full = 0
+    while True:
+        certain = F.col("scale") * F.col("size") >= 1
+        words, squares = F.col("size") * F.col("n"), (F.col("size") * F.col("size")).cast("decimal(38,0)") * F.col("n")
+        taken, others = F.coalesce(F.sum(F.when(certain, words)), F.lit(0)), F.sum(F.when(~certain, squares)).cast("double")
+        # where all are certain the scale stays
+        scale = F.when(others > 0, F.greatest(F.lit(0.0), F.max("lack") - taken) / others).otherwise(F.max("scale"))
+        scales = stored(rows.groupBy("source").agg(scale.alias("scale")), "scales")
+        rows = _same(rows.drop("scale"), scales)
+        count = rows.agg(F.sum(F.when(F.col("scale") * F.col("size") >= 1, F.col("n")))).first()[0] or 0
+        if count == full:
+            return _same(plan, scales, "left").withColumn("scale", F.coalesce("scale", F.lit(0.0)))
+        full = count
 
 
 def _place() -> Column:
@@ -108,19 +133,18 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
     A document is expected to be taken target / source_size times. The whole part
     of that number is certain. What a source then lacks is a sample with a fixed
     size in words: a document's inclusion probability is proportional to its own
-    words, and documents are taken by Pareto rank. Large documents are drawn before
+    words, up to 1, and the probabilities of all give as many words as are lacking.
+    Documents are taken by Pareto rank, certain ones first. Large documents are drawn before
     small ones, which make up for what the large ones leave. Of the documents with
     more words than their source lacks, which come before all others, the first
     is taken that brings the source nearer to what is expected of them.
     """
     sized = stored(_sized(docs.select("doc_id", "source", "text"), seed).select("source", "size", "hash"), "sized")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") * F.col("size")).cast("decimal(38,0)")).cast("double").alias("squares"))
-    sources = stored(sources, "sizes")
-    plan = _same(source_targets(sources.select("source", "source_size"), weights, most), sources.select("source", "squares"))
+    sizes = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
+    plan = source_targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)
     plan = plan.withColumn("whole", whole.cast("int")).withColumn("lack", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    # the probabilities add up to as many words as are lacking
-    plan = stored(plan.withColumn("scale", F.when(F.col("squares") > 0, F.col("lack") / F.col("squares")).otherwise(0.0)).drop("squares"), "plan")
+    plan = stored(_levelled(sizes, stored(plan, "targets")), "plan")
 
     rest = _ranked(_same(sized, plan)).where("tier IS NOT NULL")
     tier = lambda t, x: F.coalesce(F.sum(F.when(F.col("tier") == t, x)), F.lit(0)).alias

@@ -369,6 +369,15 @@ def test_mixing_takes_documents_longer_than_what_is_lacking(spark):
     assert words_taken(spark, {"a": [20000] + [200] * 100, "b": [1600] * 25}, (4, 46)) == {"a": (6400, 6400), "b": (73600, 73600)}
 
 
+def level(sizes, lack):
+    """The scale at which min(1, scale * size) documents of each size have as many words as are lacking, by halving."""
+    low, high = 0.0, 2 / min(s for s in sizes if s)
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (low, mid) if sum(min(1, mid * s) * s for s in sizes) > lack else (mid, high)
+    return low
+
+
 def test_mixing_takes_by_pareto_rank(spark):
     """The rest of a source is a prefix of the ranks that odds over inclusion odds give, of large documents and then of small ones."""
     r = random.Random(3)
@@ -379,12 +388,11 @@ def test_mixing_takes_by_pareto_rank(spark):
         own = [x for x in rows if x.source == source]
         whole = int(own[0].target // own[0].source_size)
         lack = own[0].target - whole * own[0].source_size
-        scale = lack / sum(x.size**2 for x in own)
+        scale = level([x.size for x in own], lack)
         hashes = {x.doc_id: x.h for x in docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("h")).collect()}
         for x in own:
-            u, p = ((hashes[x.doc_id] % (1 << 64) >> 11) + 0.5) * 2.0**-53, min(1 - 1e-9, max(1e-9, scale * x.size))
-            q = (u / (1 - u)) / (p / (1 - p))
-            assert x.rank == pytest.approx(q / (1 + q), rel=1e-9)
+            u, p = ((hashes[x.doc_id] % (1 << 64) >> 11) + 0.5) * 2.0**-53, scale * x.size
+            assert x.rank == (0 if p >= 1 else pytest.approx(0.5 + math.log2((u / (1 - u)) / (p / (1 - p))) / 256, rel=1e-9))
         large = [x for x in own if lack < 64 * x.size <= 64 * lack]
         small = [x for x in own if 64 * x.size <= lack]
         want = [sum(min(1, scale * x.size) * x.size for x in some) for some in (large, small)]
@@ -409,6 +417,28 @@ def test_pareto_inclusion_follows_size(spark):
         assert x.share == pytest.approx(x.size * x.target / (2000 * (30**2 + 10**2)), abs=0.03)
 
 
+def test_realised_inclusion_is_that_of_the_design(spark):
+    """Over 200 sources with the same sizes, one document of each so long that it is certain."""
+    sizes = [800] + [40] * 40 + [10] * 160
+    # sources weigh 5, 2, 1 in turn; those that weigh 1 lack 3/8 of their words
+    rows = [(1000 * s + i, "w " * n, f"{s:04d}") for s in range(600) for i, n in enumerate(sizes)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)).where("CAST(source AS INT) % 3 = 2")
+    got = {r["size"]: r for r in got.groupBy("size").agg(F.avg("copies").alias("share"), F.avg("target").alias("target")).collect()}
+    lack = got[10]["target"]
+    scale = level(sizes, lack)
+    assert lack == pytest.approx(sum(sizes) * 3 / 8) and scale * 800 > 1
+    assert got[800]["share"] == 1
+    # a source ends within half a small document of its target, which one with so few words shows
+    assert got[40]["share"] == pytest.approx(scale * 40, rel=0.1)
+    assert got[10]["share"] == pytest.approx(scale * 10, rel=0.1)
+
+
+def test_ranks_of_small_probabilities_do_not_crowd(spark):
+    rows = spark.range(20_000).select(F.lit(10).cast("long").alias("size"), F.xxhash64("id").alias("hash"), F.lit(1e6).alias("lack"), F.lit(1e-10).alias("scale"))
+    bins = mixing._ranked(rows).groupBy(F.floor(F.col("rank") * 4096.0**2)).count()
+    assert bins.agg(F.max("count")).first()[0] < 20
+
+
 def test_numbered(spark):
     rows = [(i * 37 % 1000, str(i)) for i in range(1000)] + [(None, "n")]
     got = numbered(spark.createDataFrame(rows, "k long, v string").repartition(7), F.col("k").asc_nulls_last(), name="at").collect()
