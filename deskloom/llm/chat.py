@@ -13,14 +13,31 @@ TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DO
 Schema = dict[str, tuple[str, bool]]
 
 
+def _path(name: str) -> str:
+    """A parameter's place in a variant; the name is quoted, as it may hold dots and brackets."""
+    quote = next((q for q in "'\"" if q not in name), None)
+    if quote is None:
+        raise ValueError(f"a parameter's name can't hold both kinds of quotes: {name}")
+    return f"$[{quote}{name}{quote}]"
+
+
+def readable(arguments: Column) -> Column:
+    """Arguments as a variant; null if they aren't JSON, or hold a number too large for a double, which JSON couldn't write again."""
+    parsed, infinite = F.try_parse_json(arguments), F.lit('"-?Infinity"')
+    grown = F.regexp_count(F.to_json(F.struct(parsed.alias("a"))), infinite) > F.regexp_count(arguments, infinite)
+    return F.when(~F.coalesce(arguments.rlike(r"[0-9][eE][+]?[0-9]{3}|[0-9]{300}") & grown, F.lit(False)), parsed)
+
+
 def argument_error(name: Column, arguments: Column, schemas: dict[str, Schema]) -> Column:
     """Why the arguments don't fit the tool's schema, or null: the first of the failed checks, in order.
 
     schemas: for each tool its parameters, with their JSON type and whether they
     must be there. The order: unknown tool, not an object, then by parameter
     missing or of another type, then unknown parameters. JSON null counts as missing.
+    Arguments with a number beyond a double's range aren't an object. A parameter's
+    name may hold anything but both kinds of quotes.
     """
-    parsed = F.try_parse_json(arguments)
+    parsed = readable(arguments)
     out = F.lit("unknown tool")
     for tool, schema in schemas.items():
         error = F.when(F.schema_of_variant(parsed).startswith("OBJECT").eqNullSafe(True), F.lit(None).cast("string")).otherwise(F.lit("not an object"))
@@ -28,13 +45,13 @@ def argument_error(name: Column, arguments: Column, schemas: dict[str, Schema])
         strange = F.array_sort(F.array_except(F.json_object_keys(arguments), known))
         rest = F.when(F.size(strange) > 0, F.concat(F.lit("unknown "), F.get(strange, F.lit(0))))
         for key, (kind, required) in reversed(schema.items()):
-            value = F.try_variant_get(parsed, f"$.{key}", "variant")
+            value = F.try_variant_get(parsed, _path(key), "variant")
             absent = value.isNull() | F.is_variant_null(value)
             typed = F.lit(False)
             for t in TYPES[kind]:
                 typed = typed | F.schema_of_variant(value).startswith(t)
             if kind == "integer":  # 1.0 is one too
-                number = F.try_variant_get(parsed, f"$.{key}", "double")
+                number = F.try_variant_get(parsed, _path(key), "double")
                 typed = typed | (F.schema_of_variant(value).rlike("^(DOUBLE|DECIMAL)") & (number == F.floor(number)))
             rest = F.when(~absent & ~typed, F.lit(f"{key} is not {kind}")).otherwise(rest)
             if required:
@@ -97,7 +114,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, Sch
     )
     text = F.to_json(
         F.struct(
-            F.coalesce(F.try_parse_json("arguments"), F.to_variant_object(F.struct(F.col("arguments").alias("text")))).alias("arguments"),
+            F.coalesce(readable(F.col("arguments")), F.to_variant_object(F.struct(F.col("arguments").alias("text")))).alias("arguments"),
             F.col("call_id").alias("id"),
             F.col("name"),
             F.col("content").alias("result"),

@@ -55,6 +55,19 @@ def test_tool_calls(spark):
     assert linked(spark, [], []) == {}
 
 
+def test_names_of_parameters_and_numbers_out_of_range(spark):
+    tools = {"t": {"a.b": ("integer", True), "c[0]": ("string", False), "it's": ("boolean", False)}}
+    given = ['{"a.b": 1, "c[0]": "x", "it\'s": true}', '{"a": {"b": 1}}', '{"a.b": 1, "c[0]": 2}', '{"a.b": 1e400}', '{"a.b": 1, "c[0]": "Infinity 1e400"}', '{"a.b": 1, "c[0]": "-Infinity"}', '{"a.b": -1E+999, "c[0]": "\\"Infinity\\""}', "1e308", None, '{"a.b": 1' + "0" * 400 + "}", '{"a.b": 2, "c[0]": "' + "x" * 100_000 + '"}']
+    calls = spark.createDataFrame([(1, str(i), None, i, "t", g) for i, g in enumerate(given)], CALLS).withColumn("error", F.lit("clash"))
+    got = {int(r.call_id): r for r in chat.link_tool_calls(calls, spark.createDataFrame([], RESULTS), tools).collect()}
+    assert [got[i].error for i in range(len(given))] == [None, "a.b is missing", "c[0] is not string", "not an object", None, None, "not an object", "not an object", "not an object", "not an object", None]
+    for i, g in enumerate(given):
+        arguments = json.loads(got[i].json)["arguments"]
+        assert arguments == ({"text": g} if i in (3, 6, 8, 9) else json.loads(g)), i
+    with pytest.raises(ValueError):
+        chat._path("a'b\"c")
+
+
 def test_tool_calls_whose_ids_hold_colons(spark):
     calls = spark.createDataFrame([("a:b", "c", "b:c", 1, "add", '{"a": 1, "b": 2.0}'), ("a", "b:c", None, 2, "add", None)], CALLS.replace("conv_id long", "conv_id string"))
     results = spark.createDataFrame([("a", "b:c", 3, "mine")], RESULTS.replace("conv_id long", "conv_id string"))
