@@ -10,7 +10,7 @@ from deskloom.llm.mixing import mixed_rows
 from deskloom.llm.ngram_join import without_copies
 from deskloom.llm.quality import passing
 from deskloom.llm.queries import VOCABULARY
-from deskloom.llm.shared import documents, stored
+from deskloom.llm.shared import documents, small_batches, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +20,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned: rejected are und, and texts that no language's statistics fit."""
+    small_batches(spark)
     model = language.train(docs.where(~language.held_out()))
     return language.in_a_language(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares four fifths of its five-word shingles."""
+    small_batches(spark)
     return without_copies(docs)
 
 
@@ -36,6 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every copy, as digests."""
+    small_batches(spark)
     return bpe_digests(docs, VOCABULARY)
 
 
