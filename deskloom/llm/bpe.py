@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deskloom.llm.shared import worker_cache
+
 #: Fixed value: the pattern that splits text into words before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words whose encodings a worker keeps at least, and at most half of those it holds; pairs of tokens that it keeps. Both together take about 80 MB.
@@ -130,15 +132,12 @@ class Merges:
         return out
 
 
-_loaded: dict[str, tuple[Merges, list[dict[str, bytes]]]] = {}
-
-
 def merges(path: str) -> tuple[Merges, list[dict[str, bytes]]]:
     """The vocabulary of a file and the words that this worker has encoded with it, as int32 bytes: recent and older ones."""
-    path = os.path.abspath(path)
-    if path not in _loaded:
-        _loaded[path] = (Merges(path), [{}, {}])
-    return _loaded[path]
+    path, loaded = os.path.abspath(path), worker_cache("bpe")
+    if path not in loaded:
+        loaded[path] = (Merges(path), [{}, {}])
+    return loaded[path]
 
 
 def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, list[int]]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskloom.llm.shared import stored, uniform
+from deskloom.llm.shared import stored, uniform, worker_cache
 
 #: Bytes of the longest context.
 ORDER = 4
@@ -256,6 +256,7 @@ def _coded(docs: DataFrame, model: PpmModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("language")
         m = shared.value.prepared()
         for batch in (whole.iloc[at : at + ROWS] for whole in batches for at in range(0, len(whole), ROWS)):
             raw = [t.encode("utf-8", "replace") if t is not None and any(map(str.isalpha, t)) else b"" for t in batch["text"]]

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from deskloom.llm.bloom import marked
 from deskloom.llm.components import connected_components
-from deskloom.llm.shared import stored
+from deskloom.llm.shared import stored, worker_cache
 from deskloom.llm.shingles import ngram_sets
 
 #: A prefix has one n-gram to spare for so many in which a set may differ from a partner; as many are left out as the most frequent.
@@ -107,6 +107,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def _profiles(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("ngrams")  # an encoder's words, say, go
         seen = set()
         for batch in _slices(batches):
             sizes, classes, keys = [], [], []
@@ -131,6 +132,7 @@ def _segments(n: int, parts: int):
     """The sets of classes, as PARTS fragments or, if parts is 1, whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("ngrams")
         for batch in _slices(batches):
             owners, grams = [], []
             for cls, s in zip(batch.column("cls").to_pylist(), ngram_sets(batch.column("text"), n), strict=True):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +37,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker from task to task. What others kept there goes, and its memory back to the system."""
+    if _kept.keys() - {owner}:
+        for other in _kept.keys() - {owner}:
+            _kept.pop(other).clear()
+        gc.collect()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+    return _kept.setdefault(owner, {})
+
+
 def small_batches(spark: SparkSession, most: int = 1000) -> None:
     """Rows go to Python in batches of so many at most from now on, as long texts add up in executors and workers."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
