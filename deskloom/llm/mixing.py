@@ -68,8 +68,8 @@ def _levelled(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     sizes: (source, size, n), n documents of a size. Documents whose probability would
     pass 1 are certain, and what that leaves goes to the others, until no more are.
     """
-    rows = stored(_same(sizes.where("size > 0"), plan.where("lack > 0").select("source", "lack")).withColumn("scale", F.lit(0.0)), "levels")
-    full = 0
+    base = stored(_same(sizes.where("size > 0"), plan.where("lack > 0").select("source", "lack")), "levels")
+    rows, full = base.withColumn("scale", F.lit(0.0)), 0
     while True:
         certain = F.col("scale") * F.col("size") >= 1
         words, squares = F.col("size") * F.col("n"), (F.col("size") * F.col("size")).cast("decimal(38,0)") * F.col("n")
@@ -77,7 +77,7 @@ def _levelled(sizes: DataFrame, plan: DataFrame) -> DataFrame:
         # where all are certain the scale stays
         scale = F.when(others > 0, F.greatest(F.lit(0.0), F.max("lack") - taken) / others).otherwise(F.max("scale"))
         scales = stored(rows.groupBy("source").agg(scale.alias("scale")), "scales")
-        rows = _same(rows.drop("scale"), scales)
+        rows = _same(base, scales)
         count = rows.agg(F.sum(F.when(F.col("scale") * F.col("size") >= 1, F.col("n")))).first()[0] or 0
         if count == full:
             return _same(plan, scales, "left").withColumn("scale", F.coalesce("scale", F.lit(0.0)))
