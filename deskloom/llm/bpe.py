@@ -25,8 +25,10 @@ from deskloom.llm.shared import worker_cache
 
 #: Fixed value: the pattern that splits text into words before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct words whose encodings a worker keeps at least, and at most half of those it holds; pairs of tokens that it keeps. Both together take about 80 MB.
-KEPT, PAIRS_KEPT = 100_000, 200_000
+#: Distinct words whose encodings a worker keeps at least, and at most half of those it holds; pairs of tokens that it keeps. Both together take about 170 MB.
+KEPT, PAIRS_KEPT = 300_000, 600_000
+#: Bytes by whose end tokens are looked up, and the lengths of tokens that are shorter.
+TAIL, SHORT = 3, (2, 1)
 #: Characters of the longest word that is kept.
 LONGEST_KEPT = 200
 #: Rows that are turned into Python objects at once, and characters of text after which their words are encoded.
@@ -53,7 +55,6 @@ class Merges:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"] if x["special"]}
         self.bytes_of = {i: b for b, i in self.id_of.items()} | {i: s.encode() for s, i in self.special.items()}
         self.lengths = {i: len(b) for i, b in self.bytes_of.items()}
-        self.longest = max(map(len, self.id_of))
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, (a, b) in enumerate(x if isinstance(x, list) else x.split(" ") for x in spec["model"]["merges"]):
@@ -61,6 +62,12 @@ class Merges:
             made = self.id_of[bytes(letters[c] for c in a + b)]
             self.rank[left, right] = (rank, made)
             self.parts.setdefault(made, (rank, left, right))
+        #: By their last bytes the lengths of tokens, the longest first: what may end a prefix at all.
+        tails: dict[bytes, set[int]] = {}
+        for b in self.id_of:
+            if len(b) >= TAIL:
+                tails.setdefault(b[-TAIL:], set()).add(len(b))
+        self.tails = {b: [*sorted(n, reverse=True), *SHORT] for b, n in tails.items()}
         self.fits_cache: dict[tuple[int, int], bool] = {}
         self.stop = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words = regex.compile(PATTERN)
@@ -98,9 +105,12 @@ class Merges:
 
     def extend(self, word: bytes, path: list[int]) -> None:
         """Adds the last tokens of word's prefixes to path, which has those of the first ones."""
-        id_of, fits, longest = self.id_of.get, self.fits, self.longest
+        id_of, fits, tails = self.id_of.get, self.fits, self.tails.get
         for end in range(len(path) + 1, len(word) + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            for n in tails(word[end - TAIL : end], SHORT) if end >= TAIL else SHORT:
+                start = end - n
+                if start < 0:
+                    continue
                 token = id_of(word[start:end])
                 if token is not None and (not start or fits(path[start - 1], token)):
                     path.append(token)
