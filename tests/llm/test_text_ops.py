@@ -212,7 +212,7 @@ def test_quality_stage_keeps_columns(spark, small):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_rows_as_duckdb(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     df = QUERIES[name](spark, small)
     columns = sorted(df.columns)
