@@ -2,56 +2,98 @@
 
 Candidates are grouped by length into buckets. For a query with a known bound b
 on its k-th best product, a bucket whose largest length is l needs a cosine of
-b / (|q| l) at least. Above 1, the bucket is out (length pruning). Otherwise the
-bucket is pruned by coordinate: a unit vector p with that cosine to the query lies,
-in each of the query's largest coordinates, within a range about the query's own
-value; or, where the local cosine is so low that the ranges exclude little, by
-length alone. What is left is verified by exact integer products.
-
-Bounds come first from a grid of the longest vectors, so every query starts with
-one; both steps work on blocks of queries against blocks of one bucket.
+b / (|q| l) at least, the local threshold. Above 1, the bucket is out (length
+pruning). Where it is high, a unit vector p with that cosine to the query lies, in
+each of the query's largest coordinates, within a range about the query's own
+value. Where it is low, such ranges exclude little; then the products over the
+coordinates in which the queries are largest are taken first, and a pair whose
+lengths over the other coordinates can't make up what is lacking is out. What is
+left is verified by exact integer products.
+
+Bounds come first from the longest vectors, about a block of them, so every query
+starts with one; both steps work on blocks of queries against blocks of one bucket.
 """
 
 from __future__ import annotations
 
+import operator
+import sys
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deskloom.llm.shared import stored
 
-#: Coordinates of a query that are looked at, and the local cosine below which lengths alone prune.
-FOCUS, COSINE = 6, 0.45
+#: Coordinates of a query that are looked at, the local cosine below which partial products prune instead, and the coordinates these take.
+FOCUS, COSINE, PART = 6, 0.45, 0.75
+#: Lengths are counted to this, so that squares are finite; the ends of 64 bits hold every product beyond.
+LONGEST = 1e150
 #: Vectors in a block of candidates and in one of queries, and lengths told apart within a factor of 2.
 BLOCK, QUERIES, STEPS = 4000, 20_000, 8
 #: Rows of a tile within a block.
 TILE = 256
 
 
+def _fits(a: np.ndarray, b: np.ndarray) -> float:
+    """No sum of products of a's and b's rows is larger than this."""
+    return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+
+
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer products; by floats where these hold every sum exactly."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    """Products of whole numbers held as doubles: by doubles or 64 bits where these hold every sum exactly, else by integers of any size, and then held within 64 bits."""
+    most = _fits(a, b)
     if most < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+        return (a @ b.T).astype(np.int64)
     if most < 2**63:
-        return a @ b.T
-    raise OverflowError("an inner product may pass 64 bits")
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = [[[int(x) for x in row] for row in side] for side in (a, b)]
+    out = [[max(-(2**63), min(2**63 - 1, sum(map(operator.mul, x, y)))) for y in whole[1]] for x in whole[0]]
+    return np.array(out, np.int64).reshape(len(a), len(b))
+
+
+def _lengths(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((np.clip(v, -LONGEST, LONGEST) ** 2).sum(axis=1))
+
+
+def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
+    """Vectors as rows of doubles, filled up with zeros to a width."""
+    out = np.zeros((len(vectors), width))
+    for row, v in zip(out, vectors):
+        row[: len(v)] = v
+    return out
+
+
+def _survivors(q: np.ndarray, c: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of queries and candidates whose product may reach the query's bound, and their exact products.
+
+    The coordinates with most of the queries' squares come first. Over the others a
+    product is at most that of the two lengths there.
+    """
+    head = np.argsort(-(q**2).sum(axis=0), kind="stable")
+    head, tail = np.split(head, [int(np.ceil(PART * len(head)))])
+    part = q[:, head] @ c[:, head].T
+    rest = np.outer(_lengths(q[:, tail]), _lengths(c[:, tail]))
+    i, j = np.nonzero(part + rest * (1 + 1e-9) >= bounds[:, None] - 1e-9 * np.abs(bounds[:, None]))
+    return i, j, (part[i, j] + np.einsum("ij,ij->i", q[np.ix_(i, tail)], c[np.ix_(j, tail)])).astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of a row's k highest scores, ties to the smaller id."""
-    return np.lexsort((ids, -scores))[:k]
+    return np.lexsort((ids, ~scores))[:k]
 
 
 def _pruned(q: np.ndarray, unit: np.ndarray, lengths: np.ndarray, bound: float) -> np.ndarray:
     """Places of a block's vectors (by falling length) that may reach the bound."""
-    size = float(np.sqrt((q.astype(np.float64) ** 2).sum()))
+    size = float(_lengths(q[None].astype(np.float64))[0])
     if bound <= 0 or not len(lengths):
         return np.arange(len(lengths))
     if size * lengths[0] < bound * (1 - 1e-9):
         return np.empty(0, np.int64)
-    # by length: only the first ones are long enough
+    # only the first ones are long enough
     upto = int(np.searchsorted(-lengths, -bound * (1 - 1e-9) / size, side="right"))
     local = bound * (1 - 1e-9) / (size * lengths[0])
     if local < COSINE:
@@ -74,22 +116,17 @@ def _search(k: int):
         candidates, queries = block[~block["asks"]], block[block["asks"]]
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(candidates) and len(queries):
-            c = np.stack(candidates["v"].to_numpy())
-            length = np.sqrt((c.astype(np.float64) ** 2).sum(axis=1))
+            width = int(block["v"].map(len).max())
+            c, q = _matrix(candidates["v"], width), _matrix(queries["v"], width)
+            length = _lengths(c)
             order = np.argsort(-length, kind="stable")
             c, length, ids = c[order], length[order], candidates["vec_id"].to_numpy()[order]
             unit = c / np.where(length > 0, length, 1)[:, None]
-            q = np.stack(queries["v"].to_numpy())
             bounds = queries["bound"].fillna(-np.inf).to_numpy(np.float64)
             for low in range(0, len(q), TILE):
-                some, own = q[low : low + TILE], queries["vec_id"].to_numpy()[low : low + TILE]
-                keeps = [_pruned(x, unit, length, b) for x, b in zip(some, bounds[low : low + TILE])]
-                dense = sum(map(len, keeps)) > 0.2 * len(some) * len(c)
-                products = _exact(some, c) if dense else None
-                for i, keep in enumerate(keeps):
-                    keep = keep[ids[keep] != own[i]]
-                    scores = products[i, keep] if dense else _exact(some[i : i + 1], c[keep])[0]
-                    good = scores >= bounds[low + i]
+                some, own, least = q[low : low + TILE], queries["vec_id"].to_numpy()[low : low + TILE], bounds[low : low + TILE]
+                for i, keep, scores in _verified(some, c, unit, length, least):
+                    good = (ids[keep] != own[i]) & (scores >= least[i])
                     keep, scores = keep[good], scores[good]
                     best = _best(scores, ids[keep], k)
                     out["query_id"] += [own[i]] * len(best)
@@ -100,13 +137,42 @@ def _search(k: int):
     return run
 
 
+def _verified(q: np.ndarray, c: np.ndarray, unit: np.ndarray, length: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each of some queries the places of the candidates that pruning leaves, and their exact products."""
+    keeps = [_pruned(x, unit, length, b) for x, b in zip(q, bounds)]
+    narrow = np.array([len(keep) <= 0.2 * len(c) for keep in keeps], bool)
+    for i in np.flatnonzero(narrow):
+        yield i, keeps[i], _exact(q[i : i + 1], c[keeps[i]])[0]
+    # what has no bound above 0 yet needs all products
+    partial = ~narrow & (bounds > 0) & (_fits(q, c) < 2**53)
+    wide = np.flatnonzero(~narrow & ~partial)
+    if len(wide):
+        for i, scores in zip(wide, _exact(q[wide], c)):
+            yield i, np.arange(len(c)), scores
+    some = np.flatnonzero(partial)
+    if len(some):
+        at, places, scores = _survivors(q[some], c, bounds[some])
+        ends = np.searchsorted(at, np.arange(len(some) + 1))
+        for n, i in enumerate(some):
+            yield i, places[ends[n] : ends[n + 1]], scores[ends[n] : ends[n + 1]]
+
+
 def whole_vectors(vectors: DataFrame, vector: str = "embedding", factor: float = 256.0) -> DataFrame:
-    """(vec_id, v, norm): floor(factor * x) of each component x as double; rows with a null id, vector or component, or one that isn't finite, go."""
+    """(vec_id, v, norm): floor(factor * x) of each component x as double, as a whole number held by a double; rows with a null id, vector or component, or one that isn't finite, go.
+
+    A product with the factor that no double holds counts as the largest double.
+    """
     x = F.col(vector)
     fine = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a.cast("double")) < float("inf")))
-    v = F.transform(x, lambda a: F.floor(F.lit(factor) * a.cast("double")).cast("long"))
-    rows = vectors.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, a: acc + a.cast("double") * a.cast("double"))))
+    most = F.lit(sys.float_info.max)
+
+    def floored(a: Column) -> Column:
+        y = F.greatest(-most, F.least(most, F.lit(factor) * a.cast("double")))
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)  # beyond, all doubles are whole
+
+    rows = vectors.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, floored).alias("v"))
+    limit = F.lit(LONGEST)
+    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, a: acc + F.pow(F.least(limit, F.abs(a)), F.lit(2.0)))))
 
 
 def _met(candidates: DataFrame, queries: DataFrame, key: list[str]):
@@ -118,9 +184,11 @@ def _met(candidates: DataFrame, queries: DataFrame, key: list[str]):
 def norm_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k best candidates by integer inner product, ties to the smaller vec_id.
 
-    vectors and queries: (vec_id, v, norm) as of whole_vectors, v of one length
-    throughout. A query's own id is no candidate for it; all candidates where there are
-    fewer than k. Repeated ids are candidates each. Empty sides give an empty result.
+    vectors and queries: (vec_id, v, norm) as of whole_vectors; of two lengths, the
+    shorter vector counts as filled up with zeros. Products beyond 64 bits count as the
+    largest, or smallest, number of 64 bits. A query's own id is no candidate for it;
+    all candidates where there are fewer than k. Repeated ids are candidates each.
+    Empty sides give an empty result.
     """
     bucket = F.when(F.col("norm") > 0, F.floor(F.log2("norm") * STEPS)).otherwise(F.lit(-9999)).cast("int")
     rows = stored(vectors.withColumn("bucket", bucket), "vectors")
@@ -133,8 +201,9 @@ def norm_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     blocks = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), "blocks").cast("int"))
     schema = "query_id long, vec_id long, score long"
 
-    # the bounds: each query against one block of the longest vectors
-    longest = sizes.orderBy(F.desc("bucket")).limit(1).select(F.col("bucket").alias("__top"))
+    # the bounds: each query against a block of each bucket until there is about one block of the longest vectors
+    above = F.coalesce(F.sum("n").over(W.orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    longest = sizes.withColumn("above", above).where(F.col("above") < BLOCK).select(F.col("bucket").alias("__top"))
     first = blocks.join(F.broadcast(longest), F.col("bucket") == F.col("__top")).where("block = 0").drop("__top")
     parts = max(1, min(64, -(-n_queries // 500)))
     spread = first.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -152,6 +221,7 @@ def norm_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     there = blocks.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(grids - 1))))
     key = ["bucket", "block", "grid"]
     found = _met(there, sent, key).applyInPandas(_search(k), schema)
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v")))), 1, k)
+    # the complement of a score falls as it rises, without an overflow at the end of 64 bits
+    top = F.slice(F.array_sort(F.collect_list(F.struct(F.bitwise_not("score").alias("s"), F.col("vec_id").alias("v")))), 1, k)
     ranked = found.groupBy("query_id").agg(top.alias("top")).select("query_id", F.posexplode("top").alias("rank", "x"))
-    return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.v").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.v").alias("vec_id"), F.bitwise_not("x.s").alias("score"))

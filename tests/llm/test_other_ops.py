@@ -6,8 +6,10 @@ import base64
 import hashlib
 import json
 import math
+import operator
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -109,6 +111,36 @@ def test_topk_of_few(spark, n):
     assert sorted(tuple(x) for x in topk.norm_topk(vectors, vectors).collect()) == best(rows, 50)
 
 
+def test_topk_of_large_and_ragged_vectors(spark):
+    """Products beyond 64 bits are held there, and shorter vectors filled up with zeros."""
+    r = random.Random(8)
+    rows = [(i, [r.choice([-1, 1]) * 10.0 ** r.uniform(-3, 20) for _ in range(r.randint(0, 5))]) for i in range(120)]
+    rows += [(200, [1e308, -1e308]), (201, [1e18, -1e17]), (202, [1.0, 1.0]), (250, []), (251, [1e-3])]
+    whole = {i: [int(256 * x) if abs(256 * x) >= 2**53 else math.floor(256 * x) for x in v] for i, v in rows if i != 200}
+    whole[200] = [int(sys.float_info.max), -int(sys.float_info.max)]
+    want = []
+    for i, v in whole.items():
+        if i % 50 == 0:
+            scores = [(max(-(2**63), min(2**63 - 1, sum(map(operator.mul, v, w)))), j) for j, w in whole.items() if j != i]
+            want += [(i, n, j, s) for n, (s, j) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:5], 1)]
+    vectors = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(tuple(x) for x in topk.norm_topk(vectors, vectors.where("vec_id % 50 = 0")).collect()) == sorted(want)
+
+
+def test_partial_products_keep_what_reaches_the_bound():
+    """On unit vectors in 64 coordinates, most pairs are out after three quarters of the products."""
+    r = np.random.default_rng(3)
+    c = r.normal(size=(3000, 64))
+    c = np.floor(256 * c / np.sqrt((c**2).sum(axis=1))[:, None])
+    q = c[:40]
+    scores = q @ c.T
+    bounds = np.sort(scores, axis=1)[:, -6]
+    i, j, products = topk._survivors(q, c, bounds)
+    assert (products == scores[i, j]).all()
+    assert set(zip(*np.nonzero(scores >= bounds[:, None]))) <= set(zip(i, j))
+    assert len(i) < 0.15 * scores.size
+
+
 def test_topk_query(spark, small):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
     assert sorted(tuple(x) for x in QUERIES["op7_norm_topk"](spark, small).select("query_id", "rank", "vec_id", "score").collect()) == best(rows, 50)
