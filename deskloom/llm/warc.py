@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from deskloom.llm.shared import shared_dir, stored
 
-#: Records of an archive at most, captures of a range about, and keys that the driver sees to place the cuts.
-RECORDS, RANGE, CUTS_FROM = 5_000, 20_000, 20_000
+#: Records of an archive at most and bytes after which it ends, captures of a range about, and keys that the driver sees to place the cuts.
+RECORDS, BYTES, RANGE, CUTS_FROM = 5_000, 64 << 20, 20_000, 20_000
 #: What ends a record, and what may stand between records.
 END = "\r\n\r\n"
 #: Fixed value: the time of page 0 in seconds since 1970; a page's own is its id later.
@@ -71,11 +71,23 @@ def _record(page_id: int, url: str | None, html: str | None, first: int | None)
     return "\r\n".join([*head, f"Content-Length: {len(block.encode('utf-8'))}", "", block])
 
 
-def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        firsts = batch["first"].astype("Int64")
-        rows = zip(batch["page_id"], batch["url"], batch["html"], firsts, strict=True)
-        yield pd.DataFrame({"value": [_record(int(p), u, h, None if f is pd.NA else int(f)) for p, u, h, f in rows]})
+def _records(most: int, full: int):
+    """Each row's record, and the number of the task's archive that takes it: one ends after most records or full bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        archive = records = size = 0
+        for batch in batches:
+            firsts = batch["first"].astype("Int64")
+            values, archives = [], []
+            for p, u, h, f in zip(batch["page_id"], batch["url"], batch["html"], firsts, strict=True):
+                values.append(_record(int(p), u, h, None if f is pd.NA else int(f)))
+                archives.append(archive)
+                records, size = records + 1, size + len(values[-1].encode("utf-8"))
+                if records >= most or size >= full:
+                    archive, records, size = archive + 1, 0, 0
+            yield pd.DataFrame({"value": values, "archive": archives})
+
+    return run
 
 
 def first_captures(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -97,14 +109,17 @@ def _digest() -> Column:
 def write_archives(pages: DataFrame, folder: str, least: int = 0) -> None:
     """Writes a record for each of pages (page_id, url, html) to gzipped archives in folder. Rows without page_id can't be named and go.
 
+    An archive ends after RECORDS records or BYTES bytes, so a task that reads one
+    back holds BYTES and one page at most, however long pages are. A task's
+    archives stand in folders archive=i.
     Revisits are listed in a table of their own, which Spark broadcasts if it is
     small by its files and joins by shuffle otherwise.
     """
     pages = pages.select("page_id", "url", "html").where("page_id IS NOT NULL")
     revisits = stored(first_captures(pages, least).distinct(), "revisits")
     rows = pages.withColumn("digest", _digest()).join(revisits, ["page_id", "digest"], "left")
-    records = rows.mapInPandas(_records, "value string")
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(folder)
+    records = rows.mapInPandas(_records(RECORDS, BYTES), "value string, archive int")
+    records.write.partitionBy("archive").option("lineSep", END).option("compression", "gzip").text(folder)
 
 
 def parse_archive(raw: bytes, archive: str) -> list[tuple]:
@@ -132,14 +147,14 @@ def parse_archive(raw: bytes, archive: str) -> list[tuple]:
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
-            rows = parse_archive(gzip.decompress(content), path.rsplit("/", 1)[-1])
+            rows = parse_archive(gzip.decompress(content), "/".join(path.split("/")[-2:]))
             rows.sort(key=lambda r: r[:3])
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in INDEX.split(", ")]).astype({"refers_to": "Int64"})
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """The index of all archives in folder; an archive's rows stand together, sorted by URL key, time and page: one run."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).load(folder).select("path", "content")
     return files.mapInPandas(_runs, INDEX)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import math
@@ -206,6 +207,17 @@ def test_archives(spark, monkeypatch):
     assert histories(spark, []) == []
 
 
+def test_archives_end_by_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "BYTES", 30_000)
+    rows = [(i, f"http://h/{i}", "x" * (20_000 if i % 5 == 0 else 100)) for i in range(60)]
+    warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), str(tmp_path / "w"), 1 << 30)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "w").rglob("*.gz")]
+    assert len(sizes) > 5 and max(sizes) < 30_000 + 21_000
+    index = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert sorted(r.page_id for r in index) == list(range(60))
+    assert len({r.archive for r in index}) == len(sizes)
+
+
 def test_loser_tree():
     r = random.Random(1)
     for k in (0, 1, 2, 3, 7, 8):
