@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import re
+from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -248,24 +249,74 @@ def age_label(at: Column, now: dt.datetime) -> Column:
     return F.when(minutes < 1, "just now").when(minutes < 60, F.format_string("%dm ago", minutes)).when(minutes < 1440, F.format_string("%dh ago", F.floor(minutes / 60))).otherwise(F.format_string("%dd ago", F.floor(minutes / 1440)))
 
 
-@F.pandas_udf(T.DoubleType())
-def edit_ratio(before: pd.Series, after: pd.Series) -> pd.Series:
-    """1 - the similarity of two texts' words by matching blocks; 0 if both are empty."""
-    import difflib
+#: Sequences from which on frequent elements begin no block, and the share that makes them so.
+LONG, FREQUENT = 200, 100
 
-    def one(a, b):
-        a, b = (a or "").split(), (b or "").split()
-        return 1.0 - difflib.SequenceMatcher(None, a, b).ratio() if a or b else 0.0
 
-    return pd.Series([one(a, b) for a, b in zip(before, after)])
+def matching(a: Sequence, b: Sequence) -> int:
+    """How many elements two sequences share in matching blocks: the longest block, the first in a and then in b, and so on left and right of it.
+
+    In a b of LONG elements or more, those that make up over 1 / FREQUENT of it don't
+    begin blocks, and only extend them. Blocks grow for all places of an element in b at once.
+    """
+    known: dict = {}
+    x, y = (np.array([known.setdefault(e, len(known)) for e in side], np.int64) for side in (a, b))
+    order = np.argsort(y, kind="stable")
+    starts = np.searchsorted(y[order], np.arange(len(known) + 1))
+    usual = np.diff(starts) > (len(y) // FREQUENT + 1 if len(y) >= LONG else len(y))
+    places = [order[:0] if skip else order[low:high] for skip, low, high in zip(usual, starts, starts[1:])]
+    ends = np.zeros(len(y) + 1, np.int64)  # the block that ends before each place of b, in the row at hand
+    shared, todo = 0, [(0, len(x), 0, len(y))]
+    while todo:
+        top, bottom, left, right = todo.pop()
+        size, row, column, seen = 0, top, left, order[:0]
+        for i in range(top, bottom):
+            at = places[x[i]]
+            if left or right < len(y):
+                at = at[np.searchsorted(at, left) : np.searchsorted(at, right)]
+            grown = ends[at] + 1
+            ends[seen + 1] = 0
+            seen = at
+            if len(at):
+                ends[at + 1] = grown
+                best = int(grown.argmax())
+                if grown[best] > size:
+                    size = int(grown[best])
+                    row, column = i + 1 - size, int(at[best]) + 1 - size
+        ends[seen + 1] = 0
+        while row > top and column > left and x[row - 1] == y[column - 1]:
+            row, column, size = row - 1, column - 1, size + 1
+        while row + size < bottom and column + size < right and x[row + size] == y[column + size]:
+            size += 1
+        if size:
+            shared += size
+            todo += [p for p in ((top, row, left, column), (row + size, bottom, column + size, right)) if p[0] < p[1] and p[2] < p[3]]
+    return shared
+
+
+def matching_ratio(a: Sequence, b: Sequence) -> float:
+    """Twice the elements in matching blocks by all elements; 1 if there are none."""
+    return 2.0 * matching(a, b) / (len(a) + len(b)) if len(a) + len(b) else 1.0
+
+
+def alike(a: str, b: str, least: float) -> bool:
+    """Whether matching_ratio is least or more. Lengths, then the characters in any order, rule most pairs out before blocks are sought."""
+    total = len(a) + len(b)
+    if 2.0 * min(len(a), len(b)) < least * total or 2.0 * (Counter(a) & Counter(b)).total() < least * total:
+        return False
+    return matching_ratio(a, b) >= least
 
 
 @F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The similarity of two lower-cased texts' characters by matching blocks."""
-    import difflib
+def edit_ratio(before: pd.Series, after: pd.Series) -> pd.Series:
+    """1 - the similarity of two texts' words by matching blocks; 0 if both are empty. Null counts as empty."""
+    return pd.Series([1.0 - matching_ratio((a or "").split(), (b or "").split()) for a, b in zip(before, after)])
 
-    return pd.Series([difflib.SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b)])
+
+@F.pandas_udf(T.DoubleType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The similarity of two lower-cased texts' characters by matching blocks. Null counts as empty."""
+    return pd.Series([matching_ratio((x or "").lower(), (y or "").lower()) for x, y in zip(a, b)])
 
 
 def _shared_counts(a: list[str], b: list[str]) -> np.ndarray:
@@ -325,25 +376,22 @@ def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(before, after)])
 
 
-#: A submission's number after its cue, with one word between at most, and after #; a conference before it; years.
-CUED = re.compile(r"(?<![A-Za-z0-9])(?:paper|submission)s?(?:\s*(?:id|no\.?|number))?(?P<filler>(?:\s*[A-Za-z][A-Za-z.\-]{0,11}){0,1})\s*[#:\-]?\s*(?P<number>\d{4,5})(?!\d)", re.I)
-HASHED = re.compile(r"(?<![\w/])#(?P<number>\d{4,5})(?!\d)")
-CONFERENCE = re.compile(r"(?:AAAI|IAAI|EAAI)[-\s]*$", re.I)
-YEARS = range(2020, 2036)
+#: White space; a submission's number after its cue, with one word between at most, and after #; a conference before it; years.
+SPACE = r"[\s\x1c-\x1f]"
+CUED = rf"(?iuU)(?<![A-Za-z0-9])(?:paper|submission)s?(?:{SPACE}*(?:id|no\.?|number))?((?:{SPACE}*[A-Za-z][A-Za-z.\-]{{0,11}})?){SPACE}*[#:\-]?{SPACE}*(\d{{4,5}})(?!\d)"
+HASHED = r"(?U)(?<![\p{L}\p{N}_/])#(\d{4,5})(?!\d)"
+CONFERENCE = rf"(?iuU)(?:AAAI|IAAI|EAAI)(?:-|{SPACE}){{0,36}}\d{{4,5}}$"
+YEARS = r"^20(2\d|3[0-5])$"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def submission_numbers(subject: pd.Series, body: pd.Series) -> pd.Series:
-    """Submission numbers, each once: subject before body, cued before hashed. Years after another word and conferences' years aren't any."""
+def _numbers_in(text: Column) -> Column:
+    """A text's submission numbers, cued before hashed. Years after another word and numbers after a conference aren't any."""
+    found = [F.regexp_extract_all(text, F.lit(CUED), F.lit(i)) for i in range(3)]
+    hits = F.zip_with(F.zip_with(found[0], found[1], lambda hit, word: F.struct(hit.alias("hit"), word.alias("word"))), found[2], lambda h, n: F.struct(h["hit"].alias("hit"), h["word"].alias("word"), n.alias("number")))
+    fine = F.filter(hits, lambda h: ~h["hit"].rlike(CONFERENCE) & ~((h["word"] != "") & h["number"].rlike(YEARS)))
+    return F.concat(F.transform(fine, lambda h: h["number"]), F.regexp_extract_all(text, F.lit(HASHED), F.lit(1)))
 
-    def one(*texts):
-        hits = ((m, t) for t in texts for p in (CUED, HASHED) for m in p.finditer(t or ""))
-        fine = []
-        for m, t in hits:
-            word = (m.groupdict().get("filler") or "").strip()
-            dated = bool(word) and len(m["number"]) == 4 and int(m["number"]) in YEARS
-            if not dated and not CONFERENCE.search(t[max(0, m.start("number") - 40) : m.start("number")]):
-                fine.append(m["number"])
-        return list(dict.fromkeys(fine))
 
-    return pd.Series([one(s, b) for s, b in zip(subject, body)])
+def submission_numbers(subject: Column | str, body: Column | str) -> Column:
+    """Submission numbers, each once: subject before body, cued before hashed."""
+    return F.array_distinct(F.concat(*(_numbers_in(F.coalesce(t, F.lit(""))) for t in (subject, body))))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from deskloom.functions.text import alike
+
 
 def root_of(root: str = "root_key", key: str = "policy_key") -> Column:
     """A policy's lineage: its root, or itself where that is null or empty."""
@@ -140,7 +142,6 @@ def learned(suggestions: DataFrame, candidates: DataFrame, least: float = 0.82)
     first such; any other comes in, seen once, under its own id. Candidates meet the
     suggestions whose length lets them be similar enough, by a join on its logarithm.
     """
-    import difflib
     import math
     from collections.abc import Iterator
 
@@ -156,10 +157,7 @@ def learned(suggestions: DataFrame, candidates: DataFrame, least: float = 0.82)
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            good = []
-            for text, other in zip(batch["lower"], batch["other"]):
-                match = difflib.SequenceMatcher(None, text, other)
-                good.append(match.real_quick_ratio() >= least and match.quick_ratio() >= least and match.ratio() >= least)
+            good = [alike(text, other, least) for text, other in zip(batch["lower"], batch["other"])]
             yield batch.loc[np.array(good, bool), ["row", "hit"]]
 
     fields = "id long, title string, content string, lower string, size long"

@@ -33,6 +33,7 @@ px AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 FUSED = """
 fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
     SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM px) GROUP BY 1, 2) QUALIFY rank <= 5)"""
+CENTROIDS = "c AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY 1, 2), m AS (SELECT label, list(m ORDER BY i) AS centroid FROM c GROUP BY label)"
 VECTORS = """
 dq AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS score
     FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
@@ -78,6 +79,23 @@ def fusion(spark, d):
     return re_.fuse(list(_both(spark, d)), 5)
 
 
+@R.add(
+    "r3_dense_fusion",
+    f"""WITH {CENTROIDS}, q AS (SELECT e.vec_id, e.embedding, m.centroid FROM embeddings e JOIN m USING (label) WHERE vec_id % 20 = 0),
+    d AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, unnest([1, 2]) AS way, unnest([round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 5), round(list_inner_product(q.centroid, CAST(e.embedding AS DOUBLE[])), 5)]) AS score
+        FROM q JOIN embeddings e ON e.vec_id <> q.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id, way ORDER BY score DESC, doc_id) AS rank FROM d QUALIFY rank <= 10)
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM r GROUP BY 1, 2) QUALIFY rank <= 5""",
+)
+def dense_fusion(spark, d):
+    """Two dense rankings fused: by a query's own vector, and by the mean of its label."""
+    v = table(spark, d, "embeddings")
+    vectors = v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("vector"))
+    means = asked.select("query_id", "label").join(mi.centroids(v), "label").select("query_id", F.col("centroid").alias("vector"))
+    return re_.fuse([re_.dense(asked.drop("label"), vectors, 10), re_.dense(means, vectors, 10)], 5)
+
+
 @R.add(
     "r4_intent_prior",
     f"""WITH {BM25}, {WORDS}, s AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM px) GROUP BY 1, 2),
@@ -203,9 +221,6 @@ def ablation(spark, d):
     return rows.groupBy("variant", "k").agg(F.countDistinct(F.when(F.col("rank") <= F.col("k"), F.col("query_id"))).alias("hits"))
 
 
-CENTROIDS = "c AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY 1, 2), m AS (SELECT label, list(m ORDER BY i) AS centroid FROM c GROUP BY label)"
-
-
 @R.add("r13_close_groups", f"WITH {CENTROIDS} SELECT a.label AS a, b.label AS b, round(list_cosine_similarity(a.centroid, b.centroid), 4) AS similarity FROM m a JOIN m b ON a.label < b.label WHERE round(list_cosine_similarity(a.centroid, b.centroid), 4) >= -0.1")
 def close_groups(spark, d):
     return mi.close_groups(mi.centroids(table(spark, d, "embeddings")), least=-0.1)

@@ -317,7 +317,24 @@ def similarity(spark, d):
     return pairs.select("item_id", F.round(tx.similarity(F.col("text"), F.col("other")), 6).alias("similarity"))
 
 
-@R.add("c11_c12_identifiers")
+# a mark after each run of digits stands for the look-ahead, which DuckDB's patterns lack
+_CUED = r"(?:paper|submission)s?(?:\s*(?:id|no\.?|number))?((?:\s*[A-Za-z][A-Za-z.\-]{0,11})?)\s*[#:\-]?\s*([0-9]{4,5})\x01"
+
+
+def _numbers_sql(text: str) -> str:
+    marked = f"regexp_replace({text}, '([0-9]+)', '\\1' || chr(1), 'g')"
+    hits = f"regexp_extract_all({marked}, '(?i)(?:^|[^A-Za-z0-9\\x01])({_CUED})', 1)"
+    dated = f"(regexp_extract(h, '(?i){_CUED}', 1) <> '' AND regexp_matches(h, '[^0-9]20(2[0-9]|3[0-5])\\x01$'))"
+    fine = f"list_filter({hits}, lambda h: NOT regexp_matches(h, '(?i)(?:AAAI|IAAI|EAAI)[-\\s]*[0-9]+\\x01$') AND NOT {dated})"
+    return f"list_transform({fine}, lambda h: regexp_extract(h, '([0-9]+)\\x01$', 1)) || regexp_extract_all({marked}, '(?:^|[^\\w/\\x01])#([0-9]{{4,5}})\\x01', 1)"
+
+
+@R.add(
+    "c11_c12_identifiers",
+    f"""WITH {TEXTS}, l AS (SELECT id, subject, body || ' openreview.net/forum?id=Ab3xY9kLm2 #' || CAST(id % 90000 + 10000 AS VARCHAR) AS body FROM texts),
+    n AS (SELECT id, {_numbers_sql('subject')} || {_numbers_sql('body')} AS numbers, regexp_extract_all(body, '(?i:openreview\\.net/(?:forum|pdf)\\?id=)([A-Za-z0-9]{{10}})(?:$|[^A-Za-z0-9])', 1) AS forums FROM l)
+    SELECT id, list_filter(numbers, lambda x, i: list_position(numbers, x) = i) AS numbers, list_filter(forums, lambda x, i: list_position(forums, x) = i) AS forums FROM n""",
+)
 def identifiers(spark, d):
     rows = _texts(spark, d)
     link = F.concat(F.col("body"), F.lit(" openreview.net/forum?id=Ab3xY9kLm2 #"), (F.col("id") % 90000 + 10000).cast("string"))

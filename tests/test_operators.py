@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import difflib
 import http.server
 import json
 import math
+import random
+import re
 import threading
 import urllib.error
 
@@ -196,6 +199,30 @@ def test_submission_numbers(spark):
     assert got == [["12345", "1234", "54321"], ["2026"], [], ["1234"]]
 
 
+def numbers_by_hand(*texts):
+    """Submission numbers by Python's patterns, hit by hit."""
+    cued = re.compile(r"(?<![A-Za-z0-9])(?:paper|submission)s?(?:\s*(?:id|no\.?|number))?(?P<word>(?:\s*[A-Za-z][A-Za-z.\-]{0,11})?)\s*[#:\-]?\s*(?P<n>\d{4,5})(?!\d)", re.I)
+    hashed = re.compile(r"(?<![\w/])#(?P<n>\d{4,5})(?!\d)")
+    out = []
+    for t in texts:
+        for pattern in (cued, hashed):
+            for m in pattern.finditer(t or ""):
+                year = pattern is cued and m["word"].strip() and len(m["n"]) == 4 and 2020 <= int(m["n"]) <= 2035
+                if not year and not re.search(r"(?:AAAI|IAAI|EAAI)[-\s]*$", t[: m.start("n")], re.I):
+                    out.append(m["n"])
+    return list(dict.fromkeys(out))
+
+
+def test_submission_numbers_of_any_text(spark):
+    r = random.Random(6)
+    parts = ["paper", "Papers", "SUBMISSION", "id", "no.", "number", " ", "  ", "\n", "\u00a0", "\x1c", "#", ":", "-", "/", "1234", "12345", "2026", "123456", "AAAI", "eaai-", "due", "é", "_", "x.y", "ſubmiſſion", "\u0661\u0662\u0663\u0664"]
+    rows = [tuple("".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(2)) for _ in range(3000)]
+    rows += [(None, None), ("", None), ("paper 1234 " * 5000, "#12345 " * 5000)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, s string, b string")
+    got = {x.i: x.n for x in df.select("i", text.submission_numbers("s", "b").alias("n")).collect()}
+    assert got == {i: numbers_by_hand(*x) for i, x in enumerate(rows)}
+
+
 def test_forum_ids_keep_their_case(spark):
     t = "openreview.net/forum?id=Ab3xY9kLm2 OpenReview.net/PDF?id=ab3xy9klm2 openreview.net/group?id=Ab3xY9kLm2 openreview.net/forum?id=Ab3xY9kLm2xx"
     assert spark.createDataFrame([(t,)], "t string").select(text.forum_ids(F.col("t"))).first()[0] == ["Ab3xY9kLm2", "ab3xy9klm2"]
@@ -208,6 +235,22 @@ def test_sections(spark):
     assert got[1] == {"reply": "just policy_3", "citations": ["policy_3"], "notes": None, "confidence": None}
 
 
+def test_matching_blocks_are_those_of_the_standard_library():
+    r = random.Random(7)
+    for n in range(400):
+        letters = "ab" if n % 3 == 0 else "abcdefgh " if n % 3 == 1 else [f"w{i}" for i in range(60)]
+        a, b = ([r.choice(letters) for _ in range(r.choice([0, 1, 5, 40, 199, 200, 260]))] for _ in range(2))
+        if n % 2:
+            b = [x for x in a if r.random() < 0.9] + b[:5]
+        assert text.matching_ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+        assert text.alike("".join(a), "".join(b), 0.82) == (difflib.SequenceMatcher(None, "".join(a), "".join(b)).ratio() >= 0.82)
+
+
+def test_similarity(spark):
+    rows = spark.createDataFrame([("Abc", "aBd"), (None, ""), ("x", None)], "a string, b string")
+    assert [r[0] for r in rows.select(text.similarity("a", "b")).collect()] == [pytest.approx(2 / 3), 1.0, 0.0]
+
+
 def test_edit_ratio_and_diff(spark):
     rows = spark.createDataFrame([("a b c", "a c d"), (None, "")], "a string, b string")
     assert [r[0] for r in rows.select(text.edit_ratio("a", "b")).collect()] == [pytest.approx(1 / 3), 0.0]
