@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from deskloom.stores import stored
 
+#: Terms with their numbers of documents that are broadcast at most; more meet their rows by a shuffle.
+MOST_TERMS = 1_000_000
 
 def noise_reason(channel: Column, text: Column, notice: str = r"(?i)automatic (reply|notice)|do not reply", forward: str = r"(?i)^\s*fwd?:") -> Column:
     """Why a row is noise, the first reason that holds, or null."""
@@ -46,12 +48,14 @@ def overlap(a: Column, b: Column) -> Column:
 def tfidf_terms(docs: DataFrame, cluster: str, doc: str, tokens: Column, n: int = 5, least_df: int = 5, most_share: float = 0.5) -> DataFrame:
     """(cluster, term, weight, place): each cluster's n terms of the largest mean weight; smooth idf, rows of length 1, terms in least_df documents or more and most_share of them at most."""
     total = docs.count()
-    counts = stored(docs.select(cluster, doc, F.explode(tokens).alias("term")).groupBy(cluster, doc, "term").agg(F.count("*").alias("tf")), "counts")
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= least_df) & (F.col("df") <= most_share * total))
-    rows = counts.join(df, "term").withColumn("w", F.col("tf") * (F.log((1.0 + total) / (1 + F.col("df"))) + 1))
-    norms = rows.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    # rows of a document meet by its text's shuffle; its terms, their weights and its norm need no other
+    counts = docs.repartition(doc).select(cluster, doc, F.explode(tokens).alias("term")).groupBy(cluster, doc, "term").agg(F.count("*").alias("tf"))
+    df = stored(counts.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= least_df) & (F.col("df") <= most_share * total)), "df")
+    known = F.broadcast(df) if df.count() <= MOST_TERMS else df.hint("merge")
+    rows = counts.join(known, "term").withColumn("w", F.col("tf") * (F.log((1.0 + total) / (1 + F.col("df"))) + 1))
+    rows = rows.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(doc))))
     sizes = docs.groupBy(cluster).agg(F.count("*").alias("size"))
-    means = rows.join(norms, doc).groupBy(cluster, "term").agg(F.sum(F.col("w") / F.col("norm")).alias("s")).join(sizes, cluster)
+    means = rows.groupBy(cluster, "term").agg(F.sum(F.col("w") / F.col("norm")).alias("s")).join(sizes, cluster)
     means = means.select(cluster, "term", F.round(F.col("s") / F.col("size"), 6).alias("weight"))
     return means.withColumn("place", F.row_number().over(W.partitionBy(cluster).orderBy(F.desc("weight"), "term"))).where(F.col("place") <= n)
 

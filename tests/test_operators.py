@@ -440,3 +440,35 @@ def test_passages_in_texts(spark):
     got = sorted((r.query_id, r.doc_id) for r in retrieval.containing(docs, queries).collect())
     assert got == [(q, d) for q, p in enumerate(asked) for d, t in enumerate(texts) if p is not None and t is not None and p in t]
     assert retrieval.containing(docs.limit(0), queries).count() == retrieval.containing(docs, queries.limit(0)).count() == 0
+
+
+def test_tfidf_terms_meet_their_documents_once(spark):
+
+
+    data = [(1, "x", "a b b"), (1, "y", "a c"), (2, "x", "b c d"), (3, "y", "d e"), (4, None, "b e")]
+    docs = spark.createDataFrame(data, "doc long, c string, text string")
+    found = mining.tfidf_terms(docs, "c", "doc", F.split("text", " "), n=9, least_df=1, most_share=1.0)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    df = {t: sum(t in text.split() for _, _, text in data) for t in "abcde"}
+    weight = {(d, c, t): text.split().count(t) * (math.log(6 / (1 + df[t])) + 1) for d, c, text in data for t in set(text.split())}
+    norm = {d: math.sqrt(sum(w * w for (e, _, _), w in weight.items() if e == d)) for d, _, _ in data}
+    want = {}
+    for (d, c, t), w in weight.items():
+        if c:
+            want[c, t] = want.get((c, t), 0) + w / norm[d] / 2
+    assert {(r.c, r.term): r.weight for r in found.collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
+def test_word_diffs_take_small_arrow_batches(spark, small):
+    from pyspark.util import PythonEvalType
+
+    from deskloom.plans.catalog import CORE
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        CORE.queries["c35_word_diff"](spark, small)
+        assert int(spark.conf.get(name)) <= 500
+    finally:
+        spark.conf.set(name, before)
+    assert text.word_diff.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
