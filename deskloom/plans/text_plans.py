@@ -11,6 +11,7 @@ from deskloom.functions import text as tx
 from deskloom.functions.markup import sanitised as sanitised_html
 from deskloom.functions.vocabulary import INTENT_NAMES, KEYWORDS, RANKING_STOP_WORDS
 from deskloom.plans.registry import Registry
+from deskloom.session import small_batches
 from deskloom.sources.tables import table, views_sql
 
 R = Registry()
@@ -343,5 +344,6 @@ def identifiers(spark, d):
 
 @R.add("c35_word_diff")
 def word_diff(spark, d):
+    small_batches(spark)
     b = table(spark, d, "documents")
     return b.select("doc_id", tx.word_diff(F.col("text"), F.regexp_replace("text", r"\bthe\b", "a")).alias("diff"))
