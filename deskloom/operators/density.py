@@ -201,6 +201,11 @@ def local_groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, str]:
 # groups that are too large for one task
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that shuffles: rounds are many and their tables small as files, so broadcasts would add up in the driver."""
+    return df.hint("merge")
+
+
 def _search(rows: DataFrame, asks: DataFrame, similar: bool = False) -> DataFrame:
     """(grp, id, d, other): for each of asks (grp, id, comp) the row of its group nearest to it of those in another component, ties to the smaller id.
 
@@ -213,7 +218,7 @@ def _search(rows: DataFrame, asks: DataFrame, similar: bool = False) -> DataFram
     deal = lambda to, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(to)).cast("int")
     every = lambda to: F.explode(F.sequence(F.lit(0), F.col(to) - 1))
     there = rows.join(n, "grp").select("grp", "id", "comp", "v", F.lit(False).alias("asks"), deal("blocks", 1).alias("block"), every("grids").alias("grid"))
-    here = asks.select("grp", "id", "comp").join(rows.select("grp", "id", "v"), ["grp", "id"]).join(n, "grp")
+    here = asks.select("grp", "id", "comp").join(_shuffled(rows.select("grp", "id", "v")), ["grp", "id"]).join(n, "grp")
     here = here.select("grp", "id", "comp", "v", F.lit(True).alias("asks"), deal("grids", 2).alias("grid"), every("blocks").alias("block"))
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
@@ -239,10 +244,10 @@ def _search(rows: DataFrame, asks: DataFrame, similar: bool = False) -> DataFram
 def _roots(links: DataFrame) -> DataFrame:
     """(grp, comp, root) of links (grp, comp, to), one a component: each leads to a pair that link to each other, whose smaller one is the root."""
     back = links.select("grp", F.col("comp").alias("to"), F.col("to").alias("back"))
-    up = links.join(back, ["grp", "to"]).select("grp", "comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("root"))
+    up = links.join(_shuffled(back), ["grp", "to"]).select("grp", "comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("root"))
     up = stored(up, "up")
     while True:
-        far = up.join(up.select("grp", F.col("comp").alias("root"), F.col("root").alias("far")), ["grp", "root"])
+        far = up.join(_shuffled(up.select("grp", F.col("comp").alias("root"), F.col("root").alias("far"))), ["grp", "root"])
         if far.where("far <> root").isEmpty():
             return up
         up = stored(far.select("grp", "comp", F.col("far").alias("root")), "up")
@@ -251,28 +256,28 @@ def _roots(links: DataFrame) -> DataFrame:
 def spanning_tree(rows: DataFrame) -> DataFrame:
     """(grp, a, b, distance), a < b: the minimum spanning tree of each group of rows (grp, id, v), equal distances by a, then b."""
     state = rows.select("grp", "id", F.col("id").alias("comp"))
-    state = stored(state.join(_search(rows.join(state, ["grp", "id"]), state), ["grp", "id"], "left"), "state")
+    state = stored(state.join(_shuffled(_search(rows.join(_shuffled(state), ["grp", "id"]), state)), ["grp", "id"], "left"), "state")
     tree = None
     pair = F.struct("d", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), F.col("other_comp").alias("to"))
     while True:
         there = state.select("grp", F.col("id").alias("other"), F.col("comp").alias("other_comp"))
-        rest = state.where("other IS NOT NULL").join(there, ["grp", "other"])
+        rest = state.where("other IS NOT NULL").join(_shuffled(there), ["grp", "other"])
         known = rest.where("comp <> other_comp").groupBy("grp", "comp").agg(F.min(pair).alias("best"))
-        stale = rest.where("comp = other_comp").join(known, ["grp", "comp"], "left").where(F.col("best").isNull() | (F.col("d") <= F.col("best.d")))
+        stale = rest.where("comp = other_comp").join(_shuffled(known), ["grp", "comp"], "left").where(F.col("best").isNull() | (F.col("d") <= F.col("best.d")))
         stale = stored(stale.select("grp", "id", "comp"), "stale")
-        fresh = _search(rows.join(state.select("grp", "id", "comp"), ["grp", "id"]), stale).withColumn("fresh", F.lit(True))
+        fresh = _search(rows.join(_shuffled(state.select("grp", "id", "comp")), ["grp", "id"]), stale).withColumn("fresh", F.lit(True))
         # a point that searched in vain has nothing outside its component, which is then the whole group
-        asked = state.join(stale.select("grp", "id", F.lit(True).alias("asked")), ["grp", "id"], "left").join(fresh.withColumnsRenamed({"d": "d2", "other": "other2"}), ["grp", "id"], "left")
+        asked = state.join(_shuffled(stale.select("grp", "id", F.lit(True).alias("asked"))), ["grp", "id"], "left").join(_shuffled(fresh.withColumnsRenamed({"d": "d2", "other": "other2"})), ["grp", "id"], "left")
         state = stored(asked.select("grp", "id", "comp", F.when(F.col("asked"), F.col("d2")).otherwise(F.col("d")).alias("d"), F.when(F.col("asked"), F.col("other2")).otherwise(F.col("other")).alias("other")), "state")
         there = state.select("grp", F.col("id").alias("other"), F.col("comp").alias("other_comp"))
-        best = state.where("other IS NOT NULL").join(there, ["grp", "other"]).where("comp <> other_comp").groupBy("grp", "comp").agg(F.min(pair).alias("best"))
+        best = state.where("other IS NOT NULL").join(_shuffled(there), ["grp", "other"]).where("comp <> other_comp").groupBy("grp", "comp").agg(F.min(pair).alias("best"))
         best = stored(best, "best")
         if best.isEmpty():
             break
         edges = best.select("grp", "best.a", "best.b", F.sqrt("best.d").alias("distance")).distinct()
         tree = edges if tree is None else tree.unionByName(edges)
         roots = _roots(best.select("grp", "comp", F.col("best.to").alias("to")))
-        state = stored(state.join(roots, ["grp", "comp"]).select("grp", "id", F.col("root").alias("comp"), "d", "other"), "state")
+        state = stored(state.join(_shuffled(roots), ["grp", "comp"]).select("grp", "id", F.col("root").alias("comp"), "d", "other"), "state")
     empty = state.select("grp", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance")).limit(0)
     return stored(empty if tree is None else tree, "tree")
 
@@ -307,17 +312,17 @@ def condensed_groups(rows: DataFrame, tree: DataFrame, least: int) -> DataFrame:
     states, parts = None, []
     for level in range(most):
         own = lambda c: comps.select("grp", F.col("id").alias(c), F.col("comp").alias(f"c{c}"))  # noqa: B023, E731
-        edges = stored(leveled.where(F.col("level") == level).join(own("a"), ["grp", "a"]).join(own("b"), ["grp", "b"]), "edges")
+        edges = stored(leveled.where(F.col("level") == level).join(_shuffled(own("a")), ["grp", "a"]).join(_shuffled(own("b")), ["grp", "b"]), "edges")
         touched = edges.select("grp", F.col("ca").alias("id")).unionByName(edges.select("grp", F.col("cb").alias("id"))).distinct()
         if states is None:
             states = comps.select("grp", "id", F.lit(None).cast("long").alias("to"), F.lit(1).cast("long").alias("size"), F.array().cast("array<long>").alias("points"), F.lit(0.0).alias("total"), F.lit(None).cast("double").alias("within")).limit(0)
-        met = edges.groupBy("grp").cogroup(states.join(touched, ["grp", "id"], "left_semi").groupBy("grp")).applyInPandas(_level(least), _FOLDED)
+        met = edges.groupBy("grp").cogroup(states.join(_shuffled(touched), ["grp", "id"], "left_semi").groupBy("grp")).applyInPandas(_level(least), _FOLDED)
         out = stored(met, "folded")
         parts.append(out)
         fresh = out.where("kind = 'state'").select("grp", "id", "to", "size", "points", "total", "within")
-        states = stored(states.join(touched, ["grp", "id"], "left_anti").unionByName(fresh), "states")
+        states = stored(states.join(_shuffled(touched), ["grp", "id"], "left_anti").unionByName(fresh), "states")
         roots = out.where("kind = 'root'").select("grp", F.col("id").alias("comp"), F.col("to").alias("root"))
-        comps = stored(comps.join(roots, ["grp", "comp"], "left").select("grp", "id", F.coalesce("root", "comp").alias("comp")), "comps")
+        comps = stored(comps.join(_shuffled(roots), ["grp", "comp"], "left").select("grp", "id", F.coalesce("root", "comp").alias("comp")), "comps")
     if not parts:
         return rows.select("grp", "id", F.lit(None).cast("long").alias("label"))
     every = parts[0]
@@ -329,11 +334,11 @@ def condensed_groups(rows: DataFrame, tree: DataFrame, least: int) -> DataFrame:
     up = stored(up, "clusters")
     while True:
         above = up.select("grp", F.col("cluster").alias("up"), F.col("up").alias("up2"), F.col("label").alias("label2"))
-        far = stored(up.join(above, ["grp", "up"], "left").select("grp", "cluster", F.col("up2").alias("up"), F.coalesce("label2", "label").alias("label")), "clusters")
+        far = stored(up.join(_shuffled(above), ["grp", "up"], "left").select("grp", "cluster", F.col("up2").alias("up"), F.coalesce("label2", "label").alias("label")), "clusters")
         up = far
         if far.where("up IS NOT NULL").isEmpty():
             break
-    return rows.select("grp", "id").join(points, ["grp", "id"], "left").join(up.select("grp", "cluster", "label"), ["grp", "cluster"], "left").select("grp", "id", "label")
+    return rows.select("grp", "id").join(_shuffled(points), ["grp", "id"], "left").join(_shuffled(up.select("grp", "cluster", "label")), ["grp", "cluster"], "left").select("grp", "id", "label")
 
 
 def linked_groups(rows: DataFrame, least: float = LINKED) -> DataFrame:
@@ -343,13 +348,13 @@ def linked_groups(rows: DataFrame, least: float = LINKED) -> DataFrame:
     while True:
         near = stored(_search(means, means, similar=True).where(F.col("d") <= -least), "near")
         back = near.select("grp", F.col("id").alias("other"), F.col("other").alias("back"))
-        pairs = near.join(back, ["grp", "other"]).where("back = id AND id < other").select("grp", F.col("id").alias("a"), F.col("other").alias("b"))
+        pairs = near.join(_shuffled(back), ["grp", "other"]).where("back = id AND id < other").select("grp", F.col("id").alias("a"), F.col("other").alias("b"))
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
             return own
         to = pairs.select("grp", F.col("b").alias("id"), F.col("a").alias("to"))
-        own = stored(own.join(to.withColumnRenamed("id", "label"), ["grp", "label"], "left").select("grp", "id", F.coalesce("to", "label").alias("label")), "linked")
-        moved = means.join(to, ["grp", "id"], "left").select("grp", F.coalesce("to", "id").alias("id"), F.col("n"), "v")
+        own = stored(own.join(_shuffled(to.withColumnRenamed("id", "label")), ["grp", "label"], "left").select("grp", "id", F.coalesce("to", "label").alias("label")), "linked")
+        moved = means.join(_shuffled(to), ["grp", "id"], "left").select("grp", F.coalesce("to", "id").alias("id"), F.col("n"), "v")
         # a pair at most meets, so its mean is that of two vectors
         both = moved.groupBy("grp", "id").agg(F.collect_list(F.struct("n", "v")).alias("p"), F.sum("n").alias("n"))
         mean = F.transform(F.get("p", F.lit(0))["v"], lambda _, i: F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x["n"] * F.get(x["v"], i)) / F.col("n"))
@@ -363,9 +368,9 @@ def _large(rows: DataFrame) -> DataFrame:
     none = some.where("found = 0").select("grp")
     bare = linked_groups(rows.join(none, "grp", "left_semi")).select("grp", "id", "label", F.lit(False).alias("recovered"), F.lit("linked").alias("method")) if not none.isEmpty() else None
     again = some.where(f"found > 0 AND noise >= {2 * RECOVERED}").select("grp")
-    rest = stored(rows.join(dense.where("label IS NULL"), ["grp", "id"]).join(again, "grp", "left_semi").select("grp", "id", "v"), "rest")
+    rest = stored(rows.join(_shuffled(dense.where("label IS NULL")), ["grp", "id"]).join(again, "grp", "left_semi").select("grp", "id", "v"), "rest")
     more = condensed_groups(rest, spanning_tree(rest), max(RECOVERED, LEAST_CLUSTER // 2)).select("grp", "id", F.col("label").alias("label2"))
-    out = dense.join(some.where("found > 0").select("grp"), "grp", "left_semi").join(more, ["grp", "id"], "left")
+    out = dense.join(some.where("found > 0").select("grp"), "grp", "left_semi").join(_shuffled(more), ["grp", "id"], "left")
     out = out.select("grp", "id", F.coalesce("label", "label2").alias("label"), F.col("label2").isNotNull().alias("recovered"), F.lit("density").alias("method"))
     return out if bare is None else out.unionByName(bare)
 
@@ -428,5 +433,5 @@ def density_clusters(vectors: DataFrame, group: str = "label", key: str = "vec_i
     placed = stored(numbered_by(sizes, "place", "grp", "recovered", "size", "first"), "placed")
     start = placed.groupBy("grp").agg(F.min("place").alias("start"))
     numbers = placed.join(start, "grp").select("grp", "recovered", "label", (F.col("place") - F.col("start")).alias("cluster"))
-    done = out.join(numbers, ["grp", "recovered", "label"], "left").join(groups.select("grp", "g"), "grp")
+    done = out.join(_shuffled(numbers), ["grp", "recovered", "label"], "left").join(groups.select("grp", "g"), "grp")
     return done.select(F.col("g").alias(group), F.col("id").alias(key), "cluster", "recovered", "method")

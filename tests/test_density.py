@@ -168,3 +168,9 @@ def test_copies_and_empty_tables(spark):
     assert {(r["vec_id"] < 20, r["cluster"]) for r in density.density_clusters(same).collect()} == {(True, 0), (False, 1)}
     spread = spark.createDataFrame([(1, i, [math.cos(i / 70), math.sin(i / 70)]) for i in range(220)], schema)
     assert {r["method"] for r in density.density_clusters(spread).collect()} <= {"linked", "density"}
+
+
+def test_rounds_join_by_shuffle(spark):
+    rows = spark.createDataFrame([(0, i, i, [1.0, float(i)]) for i in range(4)], "grp long, id long, comp long, v array<double>")
+    plan = density._search(rows, rows)._jdf.queryExecution().toString()
+    assert "strategy=merge" in plan and "SortMergeJoin [grp" in plan
