@@ -18,6 +18,9 @@ from deskloom.stores import stored
 #: Terms with their numbers of documents that are broadcast at most; more meet their rows by a shuffle.
 MOST_TERMS = 1_000_000
 
+#: Groups whose rows are looked up by a broadcast at most; more meet their rows by a shuffle.
+MOST_GROUPS = 100_000
+
 def noise_reason(channel: Column, text: Column, notice: str = r"(?i)automatic (reply|notice)|do not reply", forward: str = r"(?i)^\s*fwd?:") -> Column:
     """Why a row is noise, the first reason that holds, or null."""
     return F.when(channel == "api", "api").when(F.length(F.trim(text)) < 40, "short").when(text.rlike(notice), "notice").when(text.rlike(forward) & (F.length(text) < 200), "forward")
@@ -146,6 +149,22 @@ def kmeans_by_silhouette(vectors: DataFrame, ks: tuple[int, ...] = (12, 20, 28,
     return best[1].transform(rows).drop("__x"), found
 
 
+def rounded_means(rows: DataFrame, keys: list[str], value: str, place: list[str], digits: int, mean: str, size: str, most: int = MOST_GROUPS) -> DataFrame:
+    """(keys, mean, size): each group's rows and the rounded mean of its doubles, added in the order of place, whatever the partitions. Any order does where the mean is so far from the middle of two roundings that no order reaches it; the other groups' rows are sorted."""
+    scaled = F.abs(mean) * 10.0**digits
+    error = 2.0**-51 * (F.col(size) + 2) * F.col("__far") * 10.0**digits  # twice what two orders can differ by
+    doubt = F.coalesce((F.abs(scaled % 1 - 0.5) <= error) | (error >= 0.5), F.lit(False))
+    means = rows.groupBy(*keys).agg(F.avg(value).alias(mean), F.count("*").alias(size), F.avg(F.abs(value)).alias("__far"))
+    means = stored(means.withColumn("__doubt", doubt).drop("__far"), "means")
+    open_ = means.where("__doubt").select(*(F.col(k).alias(f"__{k}") for k in keys), size)
+    open_ = F.broadcast(open_) if open_.count() <= most else open_.hint("merge")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    order = W.partitionBy(*keys).orderBy(*place)
+    so_far = F.avg(value).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    added = rows.join(open_, same).select(*keys, so_far.alias(mean), size, F.row_number().over(order).alias("__row")).where(F.col("__row") == F.col(size))
+    return means.where("NOT __doubt").drop("__doubt").unionByName(added.drop("__row")).withColumn(mean, F.round(mean, digits))
+
+
 def chosen_trials(trials: DataFrame, group: str, plateau: float = 0.01) -> DataFrame:
     """Each group's chosen trial (coverage, run_length, size): the best coverage within plateau, then the longest run, then the smallest size."""
     best = F.max("coverage").over(W.partitionBy(group))

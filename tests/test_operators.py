@@ -472,3 +472,48 @@ def test_word_diffs_take_small_arrow_batches(spark, small):
     finally:
         spark.conf.set(name, before)
     assert text.word_diff.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+
+
+def test_trials_add_discounts_in_the_order_of_the_table(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from deskloom.plans.catalog import CORE
+
+    # one sum of all eight lies just below the middle of two roundings, the sum of two files' sums on it
+    cents = [3, 3, 6, 5, 0, 2, 0, 2]
+    (tmp_path / "lineitem.parquet").mkdir()
+    for i in (0, 1):
+        rows = {"l_suppkey": pa.array([1] * 4, "int64"), "l_linenumber": pa.array([1] * 4, "int32"), "l_discount": [c / 100 for c in cents[4 * i : 4 * i + 4]]}
+        pq.write_table(pa.table(rows), tmp_path / "lineitem.parquet" / f"part-{i}.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(CORE.oracle["r12_chosen_trials"]).fetchall()
+    assert want == [(1, 1, 0.0262, 8)]
+    assert [tuple(r) for r in CORE.queries["r12_chosen_trials"](spark, str(tmp_path)).collect()] == want
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_rounded_means_do_not_hang_on_partitions(spark, most):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng = random.Random(3)
+    groups = {(k or None, j): [rng.choice([None, *(c / 100 for c in range(-3, 11))]) for _ in range(8 * (1 + k % 4))] for k in range(12) for j in (1, 2)}
+    groups |= {(20, 1): [None, None], (20, 2): [float("nan"), 1.0], (20, 3): [1e300, 1e300, -1e300], (20, 4): [-0.00005]}
+    data = [(*g, i, x) for g, values in groups.items() for i, x in enumerate(values)]
+
+    def mean(values):
+        known, total = [x for x in values if x is not None], 0.0
+        for x in known:
+            total += x
+        value = total / len(known) if known else None
+        return value if value is None or math.isnan(value) else float(Decimal(repr(value)).quantize(Decimal("0.0001"), ROUND_HALF_UP)) if abs(value) < 1e9 else value
+
+    want = {g: (repr(mean(values)), len(values)) for g, values in groups.items()}
+    rng.shuffle(data)
+    for parts in (1, 7):
+        rows = spark.createDataFrame(data, "k long, j int, at long, x double").repartition(parts)
+        found = mining.rounded_means(rows, ["k", "j"], "x", ["at"], 4, "mean", "n", most)
+        assert {(r.k, r.j): (repr(r["mean"]), r.n) for r in found.collect()} == want
