@@ -149,6 +149,13 @@ def kmeans_by_silhouette(vectors: DataFrame, ks: tuple[int, ...] = (12, 20, 28,
     return best[1].transform(rows).drop("__x"), found
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """value rounded half up after it is scaled, as SQL engines do: round() itself goes by the shortest decimal, and differs near the middle of two roundings."""
+    scaled = value * 10.0**digits
+    # from there on doubles have no more digits
+    return F.when(F.abs(scaled) < 2.0**52, F.round(scaled) / 10.0**digits).otherwise(value)
+
+
 def rounded_means(rows: DataFrame, keys: list[str], value: str, place: list[str], digits: int, mean: str, size: str, most: int = MOST_GROUPS) -> DataFrame:
     """(keys, mean, size): each group's rows and the rounded mean of its doubles, added in the order of place, whatever the partitions. Any order does where the mean is so far from the middle of two roundings that no order reaches it; the other groups' rows are sorted."""
     scaled = F.abs(mean) * 10.0**digits
@@ -162,7 +169,7 @@ def rounded_means(rows: DataFrame, keys: list[str], value: str, place: list[str]
     order = W.partitionBy(*keys).orderBy(*place)
     so_far = F.avg(value).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     added = rows.join(open_, same).select(*keys, so_far.alias(mean), size, F.row_number().over(order).alias("__row")).where(F.col("__row") == F.col(size))
-    return means.where("NOT __doubt").drop("__doubt").unionByName(added.drop("__row")).withColumn(mean, F.round(mean, digits))
+    return means.where("NOT __doubt").drop("__doubt").unionByName(added.drop("__row")).withColumn(mean, rounded(F.col(mean), digits))
 
 
 def chosen_trials(trials: DataFrame, group: str, plateau: float = 0.01) -> DataFrame:

@@ -495,6 +495,23 @@ def test_trials_add_discounts_in_the_order_of_the_table(spark, tmp_path):
     assert [tuple(r) for r in CORE.queries["r12_chosen_trials"](spark, str(tmp_path)).collect()] == want
 
 
+def test_trials_are_rounded_as_by_sql(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from deskloom.plans.catalog import CORE
+
+    # scaled by 10,000 some lie below the middle of two roundings and some on it, whatever their shortest decimals say
+    means = [0.00145, 0.00465, 0.0018499999999999999, 0.0033499999999999997, 0.02625, 0.026249999999999996, 0.05, -0.00145, 0.49999999999999994e-4, 1e15 / 3]
+    rows = {"l_suppkey": pa.array(range(len(means)), "int64"), "l_linenumber": pa.array([1] * len(means), "int32"), "l_discount": means}
+    pq.write_table(pa.table(rows), tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = sorted(con.execute(CORE.oracle["r12_chosen_trials"]).fetchall())
+    assert sorted(tuple(r) for r in CORE.queries["r12_chosen_trials"](spark, str(tmp_path)).collect()) == want
+
+
 @pytest.mark.parametrize("most", [0, 100])
 def test_rounded_means_do_not_hang_on_partitions(spark, most):
     from decimal import ROUND_HALF_UP, Decimal
