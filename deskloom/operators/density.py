@@ -11,7 +11,11 @@ tree grows by Borůvka rounds, in which only points whose nearest one outside is
 longer outside, and might be nearer than their component's best, search again; its
 edges are then folded by levels of a bounded number, the state of components kept in
 a table between them. Average links merge all pairs of clusters that are each
-other's nearest in a round, which gives the same clusters as one after the other.
+other's nearest in a round, which gives the same clusters as one after the other. A
+merged cluster is no nearer to a third than the nearer of its two was, so only
+clusters that were merged, or whose nearest was, search again, and those without a
+near enough one are done. Large groups search in blocks until so few clusters are left
+that one task can merge the rest.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ TOLERANCE = 0.05
 #: Rows of a group that one task takes, rows of a block of candidates and of one of searching points, and edges folded at once.
 LOCAL, BLOCK, ASKS, LEVEL = 2000, 4096, 16_384, 500_000
 TILE = 512
+#: Rows of blocks that average links meet in, and components of a group's cluster means (32 MB) that one task merges, their nearest ones known.
+LINKS, MEANS = 16_384, 4_000_000
 #: Squared distances are rounded to 12 digits, so this is the least one above 0; copies count as being so near.
 NEAREST = 1e-6
 
@@ -139,24 +145,63 @@ def condensed(n: int, edges: list, least: int) -> np.ndarray:
     return label
 
 
-def linked(x: np.ndarray, least: float = LINKED) -> np.ndarray:
-    """Average links: clusters, named by their first row, are merged, pairs that are each other's most similar at once, while their mean similarity is least or more."""
-    label, ids, means, sizes = np.arange(len(x)), np.arange(len(x)), x.copy(), np.ones(len(x))
-    while len(ids) > 1:
-        similar = np.round(means @ means.T, 12)
-        np.fill_diagonal(similar, -np.inf)
-        near, rows = similar.argmax(axis=1), np.arange(len(ids))
-        a = np.flatnonzero((near[near] == rows) & (rows < near) & (similar[rows, near] >= least))
+def most_similar(similar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, similarity) of each row's largest, rounded to 12 digits; of equal ones the first."""
+    rows, most = np.arange(len(similar)), np.round(similar.max(axis=1), 12)
+    at = (similar >= most[:, None] - 1e-12).argmax(axis=1)
+    # the first may be off by a digit, so rows in which it is are rounded throughout
+    off = np.flatnonzero(np.round(similar[rows, at], 12) != most)
+    at[off] = np.round(similar[off], 12).argmax(axis=1)
+    return at, most
+
+
+def nearest_means(means: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """most_similar among the other means, for the rows asked."""
+    found = [(np.zeros(0, int), np.zeros(0))]
+    for low in range(0, len(asked), TILE):
+        some = asked[low : low + TILE]
+        similar = means[some] @ means.T
+        similar[np.arange(len(some)), some] = -np.inf
+        found.append(most_similar(similar))
+    near, similar = (np.concatenate(c) for c in zip(*found))
+    return near, similar
+
+
+def linked(x: np.ndarray, least: float = LINKED, sizes: np.ndarray | None = None, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Average links: clusters, named by their first row, are merged, pairs that are each other's most similar at once, while their mean similarity is least or more.
+
+    Copies are a cluster from the start, but for zeros, which are like nothing. sizes,
+    known: rows of each cluster of which x has the means, without copies, and its
+    nearest_means.
+    """
+    label = np.arange(len(x))
+    if known is None:
+        _, first, which = np.unique(x, axis=0, return_index=True, return_inverse=True)
+        label = np.where(x.any(axis=1) & (least <= 1), first[which.reshape(-1)], label)
+        ids, sizes = np.unique(label, return_counts=True)
+        means, sizes = x[ids], sizes.astype(float)
+        near, similar = nearest_means(means, np.arange(len(ids)))
+    else:
+        ids, means, sizes, (near, similar) = label, x.copy(), sizes.astype(float), known
+    while True:
+        rows = np.arange(len(ids))
+        a = np.flatnonzero((near[near] == rows) & (rows < near) & (similar >= least))
         if not len(a):
-            break
+            return label
         b = near[a]
         means[a] = (means[a] * sizes[a, None] + means[b] * sizes[b, None]) / (sizes[a] + sizes[b])[:, None]
         sizes[a] += sizes[b]
         to = np.arange(len(x))
         to[ids[b]] = ids[a]
-        label, left = to[label], np.setdiff1d(rows, b)
-        ids, means, sizes = ids[left], means[left], sizes[left]
-    return label
+        label = to[label]
+        moved = np.zeros(len(ids), bool)
+        moved[a] = moved[b] = True
+        left = moved | (similar >= least)
+        left[b] = False
+        place, stale = np.cumsum(left) - 1, (moved | moved[near] | ~left[near])[left]
+        ids, means, sizes, near, similar = ids[left], means[left], sizes[left], place[near[left]], similar[left]
+        again = np.flatnonzero(stale)
+        near[again], similar[again] = nearest_means(means, again)
 
 
 def sizes_tried(n: int) -> list[int]:
@@ -210,11 +255,12 @@ def _search(rows: DataFrame, asks: DataFrame, similar: bool = False) -> DataFram
     """(grp, id, d, other): for each of asks (grp, id, comp) the row of its group nearest to it of those in another component, ties to the smaller id.
 
     rows: grp, id, comp, v. d is the squared distance, or the mean similarity's
-    negative. Blocks of candidates meet blocks of searching points; each pair of blocks
+    negative, for which each row is a component. Blocks of candidates meet blocks of searching points; each pair of blocks
     sends one row a point.
     """
+    block, grid = (LINKS, LINKS) if similar else (BLOCK, ASKS)
     n = rows.groupBy("grp").agg(F.count("*").alias("n"))
-    n = n.select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / ASKS).cast("int").alias("grids"))
+    n = n.select("grp", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("n") / grid).cast("int").alias("grids"))
     deal = lambda to, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(to)).cast("int")
     every = lambda to: F.explode(F.sequence(F.lit(0), F.col(to) - 1))
     there = rows.join(n, "grp").select("grp", "id", "comp", "v", F.lit(False).alias("asks"), deal("blocks", 1).alias("block"), every("grids").alias("grid"))
@@ -229,7 +275,15 @@ def _search(rows: DataFrame, asks: DataFrame, similar: bool = False) -> DataFram
             for low in range(0, len(me), TILE):
                 some = me.iloc[low : low + TILE]
                 x = np.stack(some["v"].to_numpy())
-                d = np.round(-(x @ y.T), 12) if similar else squares(x, y)
+                if similar:
+                    s, own = x @ y.T, some["id"].to_numpy()
+                    at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+                    same = np.flatnonzero(ids[at] == own)
+                    s[same, at[same]] = -np.inf
+                    at, most = most_similar(s)
+                    found.append((-most, ids[at]))
+                    continue
+                d = squares(x, y)
                 d[some["comp"].to_numpy()[:, None] == comps[None]] = np.inf
                 at = d.argmin(axis=1)
                 found.append((d[np.arange(len(at)), at], ids[at]))
@@ -343,22 +397,50 @@ def condensed_groups(rows: DataFrame, tree: DataFrame, least: int) -> DataFrame:
 
 def linked_groups(rows: DataFrame, least: float = LINKED) -> DataFrame:
     """(grp, id, label): average links of rows (grp, id, v), as linked gives them."""
-    own = stored(rows.select("grp", "id", F.col("id").alias("label")), "linked")
-    means = stored(rows.select("grp", "id", F.col("id").alias("comp"), "v", F.lit(1).cast("long").alias("n")), "means")
+    # copies are a cluster from the start
+    apart = rows.withColumn("own", F.when(F.exists("v", lambda x: x != 0) & F.lit(least <= 1), F.lit(0)).otherwise(F.col("id")))
+    firsts = stored(apart.groupBy("grp", "v", "own").agg(F.min("id").alias("label"), F.count("*").alias("n")), "firsts")
+    own = apart.join(_shuffled(firsts), ["grp", "v", "own"]).select("grp", "id", "label")
+    means = firsts.select("grp", F.col("label").alias("id"), F.col("label").alias("comp"), "v", "n")
+    near = _search(means, means, similar=True).where(F.col("d") <= -least)
+    state = stored(means.join(_shuffled(near), ["grp", "id"]), "means")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids, other = pdf["id"].to_numpy(), pdf["other"].to_numpy()
+        at = np.minimum(np.searchsorted(ids, other), len(ids) - 1)
+        similar = np.where(ids[at] == other, -pdf["d"].to_numpy(), -np.inf)
+        to = ids[linked(np.stack(pdf["v"].to_numpy()), least, pdf["n"].to_numpy(), (at, similar))]
+        return pd.DataFrame({"grp": key[0], "id": ids, "to": to})[to != ids]
+
+    def relabelled(own: DataFrame, to: DataFrame) -> DataFrame:
+        return own.join(_shuffled(to.withColumnRenamed("id", "label")), ["grp", "label"], "left").select("grp", "id", F.coalesce("to", "label").alias("label"))
+
     while True:
-        near = stored(_search(means, means, similar=True).where(F.col("d") <= -least), "near")
-        back = near.select("grp", F.col("id").alias("other"), F.col("other").alias("back"))
-        pairs = near.join(_shuffled(back), ["grp", "other"]).where("back = id AND id < other").select("grp", F.col("id").alias("a"), F.col("other").alias("b"))
+        sizes = stored(state.groupBy("grp").agg((F.count("*") * F.max(F.size("v")) > MEANS).alias("large")), "sizes")
+        few = state.join(sizes.where("NOT large"), "grp", "left_semi")
+        own = stored(relabelled(own, few.groupBy("grp").applyInPandas(run, "grp long, id long, to long")), "linked")
+        if sizes.where("large").isEmpty():
+            return own
+        state = state.join(sizes.where("large"), "grp", "left_semi")
+        back = state.select("grp", F.col("id").alias("other"), F.col("other").alias("back"))
+        pairs = state.join(_shuffled(back), ["grp", "other"]).where("back = id AND id < other").select("grp", F.col("id").alias("a"), F.col("other").alias("b"))
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
             return own
-        to = pairs.select("grp", F.col("b").alias("id"), F.col("a").alias("to"))
-        own = stored(own.join(_shuffled(to.withColumnRenamed("id", "label")), ["grp", "label"], "left").select("grp", "id", F.coalesce("to", "label").alias("label")), "linked")
-        moved = means.join(_shuffled(to), ["grp", "id"], "left").select("grp", F.coalesce("to", "id").alias("id"), F.col("n"), "v")
+        own = relabelled(own, pairs.select("grp", F.col("b").alias("id"), F.col("a").alias("to")))
+        merged = pairs.select("grp", F.explode(F.array("a", "b")).alias("id"), F.col("a").alias("to"))
+        gone = merged.select("grp", F.col("id").alias("other"), F.lit(True).alias("lost"))
+        moved = state.join(_shuffled(merged), ["grp", "id"], "left").join(_shuffled(gone), ["grp", "other"], "left")
+        moved = moved.select("grp", F.coalesce("to", "id").alias("id"), "n", "v", "d", "other", (F.col("to").isNotNull() | F.col("lost").isNotNull()).alias("stale"))
         # a pair at most meets, so its mean is that of two vectors
-        both = moved.groupBy("grp", "id").agg(F.collect_list(F.struct("n", "v")).alias("p"), F.sum("n").alias("n"))
+        both = moved.groupBy("grp", "id").agg(F.collect_list(F.struct("n", "v")).alias("p"), F.sum("n").alias("n"), F.max("stale").alias("stale"), F.first("d").alias("d"), F.first("other").alias("other"))
         mean = F.transform(F.get("p", F.lit(0))["v"], lambda _, i: F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x["n"] * F.get(x["v"], i)) / F.col("n"))
-        means = stored(both.select("grp", "id", F.col("id").alias("comp"), mean.alias("v"), "n"), "means")
+        # a cluster that wasn't merged keeps its vector to the last bit
+        means = stored(both.select("grp", "id", F.col("id").alias("comp"), F.when(F.size("p") > 1, mean).otherwise(F.get("p", F.lit(0))["v"]).alias("v"), "n", "stale", "d", "other"), "moved")
+        again = means.where("stale").drop("d", "other")
+        again = again.join(_shuffled(_search(means, again, similar=True).where(F.col("d") <= -least)), ["grp", "id"])
+        state = stored(means.where("NOT stale").unionByName(again).drop("stale"), "means")
 
 
 def _large(rows: DataFrame) -> DataFrame:

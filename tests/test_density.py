@@ -174,3 +174,35 @@ def test_rounds_join_by_shuffle(spark):
     rows = spark.createDataFrame([(0, i, i, [1.0, float(i)]) for i in range(4)], "grp long, id long, comp long, v array<double>")
     plan = density._search(rows, rows)._jdf.queryExecution().toString()
     assert "strategy=merge" in plan and "SortMergeJoin [grp" in plan
+
+
+def links_table(spark):
+    x = np.concatenate([planted(70, 4, 0.5, 11), np.zeros((3, 8)), np.repeat(planted(4, 2, 0.5, 12), 4, axis=0)])
+    return x, spark.createDataFrame([(1, i, [float(v) for v in y]) for i, y in enumerate(x)], "g int, k long, embedding array<double>").repartition(3)
+
+
+@pytest.mark.parametrize("means", [0, 150, 300, 1_000_000])
+def test_average_links_by_rounds_and_by_one_task(spark, monkeypatch, means):
+    x, rows = links_table(spark)
+    monkeypatch.setattr(density, "MEANS", means)
+    monkeypatch.setattr(density, "LINKS", 30)
+    want = {i: min(s) for s in brute_links(density.unit(x), 0.3) for i in s}
+    assert len(set(want.values())) > 5 and [want[i] for i in (70, 71, 72)] == [70, 71, 72]
+    for local in (1000, 20):
+        assert {r["k"]: r["cluster"] for r in density.average_links(rows, "g", "k", least=0.3, local=local).collect()} == want
+
+
+def test_large_groups_search_for_all_clusters_once(spark, monkeypatch):
+    x, rows = links_table(spark)
+    sought, search = [], density._search
+    monkeypatch.setattr(density, "_search", lambda them, asks, similar=False: sought.append(asks) or search(them, asks, similar))
+    density.average_links(rows, "g", "k", least=0.3, local=20)
+    assert len(sought) == 1 and sought[0].count() == 70 + 3 + 4  # copies are one
+
+
+def test_copies_are_one_cluster_without_rounds(monkeypatch):
+    asked, nearest = [], density.nearest_means
+    monkeypatch.setattr(density, "nearest_means", lambda means, some: asked.append(len(some)) or nearest(means, some))
+    x = density.unit(np.repeat(planted(5, 2, 0.5, 12), 200, axis=0))
+    label = density.linked(x, 0.99)
+    assert [int(v) for v in np.unique(label)] == [0, 200, 400, 600, 800] and asked[0] == 5 and sum(asked) < 20
